@@ -15,7 +15,7 @@ SMALL_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateSto
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session("clickwarden-tests", "local[8]", {
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
