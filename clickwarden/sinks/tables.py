@@ -5,6 +5,7 @@ A sink is a function that takes a `DataStreamWriter` and returns it set up; `run
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable
 
@@ -23,14 +24,16 @@ def parquet_sink(path: str) -> Sink:
     return lambda writer: writer.format("parquet").option("path", path)
 
 
-def blocklist_sink(path: str, writer: str, ttl_seconds: int = TTL_SECONDS, files_per_batch: int = 1) -> Sink:
+def blocklist_sink(path: str, writer: str, ttl_seconds: int = TTL_SECONDS, rows_per_file: int = 1_000_000) -> Sink:
     """Write detections as blocklist entries, for any output mode.
 
     The table is laid out `writer=/run=/expires_on=/batch_id=`. Each detector writes under its own
     `writer`, and `run` is the query's id, kept in its checkpoint: a batch replayed after a failure
     replaces its own folder and nobody else's. Readers prune by `expires_on`, and whole days that
-    have passed can be deleted. `files_per_batch` is how many files the flagged ips of one batch
-    and day go to.
+    have passed can be deleted.
+
+    A batch is spread over as many tasks as its rows need, `rows_per_file` each: one file per state
+    partition would leave thousands of tiny files, one file per batch a single task's work.
     """
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", writer):
         raise ValueError(f"writer must be a plain name, not {writer!r}")
@@ -42,9 +45,15 @@ def blocklist_sink(path: str, writer: str, ttl_seconds: int = TTL_SECONDS, files
         entries = blocklist(batch, ttl_seconds)
         day = F.to_date(as_wall_clock(entries, "expires_at"))
         rows = entries.withColumn("expires_on", day).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        (rows.repartition(files_per_batch)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("expires_on", "batch_id").parquet(f"{path}/writer={writer}/run={run}"))
+        rows = rows.persist()
+        try:
+            files = math.ceil(rows.count() / rows_per_file)
+            if files:
+                (rows.repartition(files)
+                    .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("expires_on", "batch_id").parquet(f"{path}/writer={writer}/run={run}"))
+        finally:
+            rows.unpersist()
 
     return lambda stream: stream.foreachBatch(write)
 

@@ -1,0 +1,102 @@
+"""The physical plans are the ones meant: pruned and filtered scans, few shuffles, no Python."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as contract
+from clickwarden import exclude_ips, scratch_dir
+from clickwarden.plans import batch, streams
+from clickwarden.sinks import parquet_sink
+from clickwarden.streaming import AVAILABLE_NOW, run_stream
+
+FOLDER = "/root/testdata/sf0.001"
+
+# Shuffles and scans of each query.
+SHAPES = {
+    "parse_json_events": (0, 1),
+    "reject_bad_events": (0, 1),
+    "filter_clicks_and_views": (0, 1),
+    "count_per_window": (1, 1),
+    "action_counts_per_window": (1, 1),
+    "category_window_pairs": (1, 1),
+    "distinct_categories_per_window": (2, 1),
+    "high_activity_tumbling": (1, 1),
+    "high_activity_sliding": (1, 1),
+    "click_view_ratio_one": (1, 1),
+    "click_view_ratio_drop": (1, 1),
+    "category_spread_per_window": (2, 1),
+    "category_spread_all_windows": (2, 1),
+    "detect_all": (2, 1),
+    "combined_blocklist": (5, 3),
+    "blocklist_with_expiry": (3, 1),
+}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_shuffles_and_scans(spark, name):
+    text = plan(contract.queries()[name](spark, FOLDER))
+    assert (text.count("Exchange hashpartitioning"), text.count("FileScan parquet")) == SHAPES[name]
+
+
+@pytest.mark.parametrize("name", sorted(batch.QUERIES))
+def test_no_python_cross_join_or_single_partition(spark, name):
+    text = plan(contract.queries()[name](spark, FOLDER))
+    for node in ("Python", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
+        assert node not in text
+
+
+@pytest.mark.parametrize("name", [name for name, (shuffles, _) in SHAPES.items() if shuffles])
+def test_rows_are_aggregated_before_every_shuffle(spark, name):
+    lines = [re.sub(r"^[\s:+*()0-9-]*", "", line) for line in plan(contract.queries()[name](spark, FOLDER)).splitlines()]
+    below = [lines[i + 1] for i, line in enumerate(lines) if line.startswith("Exchange hashpartitioning")]
+    assert below and all(node.startswith(("HashAggregate", "ObjectHashAggregate")) for node in below)
+
+
+def test_scans_read_only_what_a_detector_needs(spark):
+    high = plan(contract.queries()["high_activity_tumbling"](spark, FOLDER))
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in high
+    ratio = plan(contract.queries()["click_view_ratio_one"](spark, FOLDER))
+    assert "In(event_type, [click,view])" in ratio and "props" not in ratio
+
+
+def test_excluded_ips_are_broadcast_only_below_the_size_limit(spark):
+    events, known = batch.events(spark, FOLDER), spark.range(10).selectExpr("cast(id as string) as ip")
+    assert "BroadcastHashJoin" in plan(exclude_ips(events, known))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        assert "Broadcast" not in plan(exclude_ips(events, known))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_stream_plan_keeps_the_filter_above_the_watermark_and_aggregates_first(spark, tmp_path):
+    stream = streams.all_detectors(streams.stream_events(spark, FOLDER))
+    query = run_stream(stream, parquet_sink(str(tmp_path / "t")), str(tmp_path / "c"), trigger=AVAILABLE_NOW)
+    text = query._jsq.explainInternal(False)
+    before = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(before) == 2 and "Python" not in text
+    lines = [re.sub(r"^[\s:+*()0-9-]*", "", line) for line in text.splitlines()]
+    assert all(lines[i + 1].startswith("HashAggregate")
+               for i, line in enumerate(lines) if line.startswith("Exchange hashpartitioning"))
+
+
+def test_scratch_folders_lie_below_the_shared_folder(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    one, two = scratch_dir(spark), scratch_dir(spark)
+    assert one.startswith(f"{base}/") and one != two
+
+
+@pytest.mark.parametrize("name", ["high_activity_sliding", "active_blocklist", "parse_json_events", "reject_bad_events",
+                                  "stream_detect_all", "stream_blocklist_table", "stream_high_activity_update"])
+def test_results_do_not_depend_on_the_session_zone(spark, name):
+    found = []
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.append(sorted(map(str, contract.queries()[name](spark, "/root/testdata/sf0.01").collect())))
+    assert found[0] == found[1] and found[0]
