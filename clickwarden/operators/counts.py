@@ -25,7 +25,7 @@ DEDUP_SALTS = 16
 def with_window(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
                 watermark_delay: str | None = None) -> DataFrame:
     """Events with the `window` they fall into; a sliding window repeats the event."""
-    if watermark_delay:
+    if watermark_delay and events.isStreaming:
         events = events.withWatermark("timestamp", watermark_delay)
     return events.withColumn("window", event_window("timestamp", window_duration, slide_duration))
 

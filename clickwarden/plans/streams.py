@@ -13,7 +13,8 @@ from clickwarden.operators import (
 from clickwarden.plans import batch
 from clickwarden.session import scratch_dir
 from clickwarden.sinks import (
-    blocklist_sink, parquet_sink, read_blocklist, read_snapshot, snapshot_sink, write_json_events)
+    blocklist_sink, changes_sink, parquet_sink, read_blocklist, read_changes, read_snapshot, snapshot_sink,
+    write_json_events)
 from clickwarden.sources import read_spool_events, stream_table
 from clickwarden.streaming import AVAILABLE_NOW, run_stream
 
@@ -29,13 +30,11 @@ def finish(spark: SparkSession, result: DataFrame, mode: str, keys=WINDOW_KEYS)
     """Run `result` over all the data there is and return what it wrote."""
     folder = scratch_dir(spark)
     table = f"{folder}/table"
-    sink = parquet_sink(table) if mode == "append" else snapshot_sink(table)
+    sink = {"append": parquet_sink, "update": changes_sink, "complete": snapshot_sink}[mode](table)
     run_stream(result, sink, f"{folder}/checkpoint", mode, AVAILABLE_NOW)
     if mode == "append":
-        written = spark.read.schema(result.schema).parquet(table)
-    else:
-        written = read_snapshot(spark, table, keys if mode == "update" else None)
-    return batch.plain(written)
+        return batch.plain(spark.read.schema(result.schema).parquet(table))
+    return batch.plain(read_changes(spark, table, keys) if mode == "update" else read_snapshot(spark, table))
 
 
 def high_activity(mode):

@@ -1,8 +1,8 @@
 from clickwarden.sinks.messages import console_sink, kafka_sink, kafka_sink_options, write_json_events
 from clickwarden.sinks.tables import (
-    Sink, blocklist_sink, cassandra_options, cassandra_sink, parquet_sink, read_blocklist,
-    read_snapshot, snapshot_sink, table_sink)
+    Sink, blocklist_sink, cassandra_options, cassandra_sink, changes_sink, parquet_sink, read_blocklist,
+    read_changes, read_snapshot, snapshot_sink, table_sink)
 
 __all__ = ["console_sink", "kafka_sink", "kafka_sink_options", "write_json_events", "Sink", "blocklist_sink",
-           "cassandra_options", "cassandra_sink", "parquet_sink", "read_blocklist", "read_snapshot",
-           "snapshot_sink", "table_sink"]
+           "cassandra_options", "cassandra_sink", "changes_sink", "parquet_sink", "read_blocklist", "read_changes",
+           "read_snapshot", "snapshot_sink", "table_sink"]

@@ -9,6 +9,7 @@ import math
 import re
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -62,7 +63,13 @@ def read_blocklist(spark: SparkSession, path: str, as_of=None) -> DataFrame:
     """All entries written under `path`, or only the ips blocked at `as_of` (a datetime or text)."""
     schema = ("ip string, blocked_at timestamp, expires_at timestamp, reasons array<string>, "
               "writer string, run string, expires_on date, batch_id bigint")
-    entries = spark.read.schema(schema).parquet(path)
+    try:
+        entries = spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        # Nobody has been blocked yet.
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        entries = spark.createDataFrame([], schema)
     if as_of is None:
         return entries
     moment = F.lit(as_of).cast("timestamp")
@@ -71,23 +78,32 @@ def read_blocklist(spark: SparkSession, path: str, as_of=None) -> DataFrame:
 
 
 def snapshot_sink(path: str) -> Sink:
-    """Keep each micro-batch's whole output in its own folder; for update and complete mode."""
+    """For complete mode: keep the latest whole result, and the one before it while it is replaced."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
 
     return lambda stream: stream.foreachBatch(write)
 
 
-def read_snapshot(spark: SparkSession, path: str, keys: Iterable[str] | None = None) -> DataFrame:
-    """The state of a result written by `snapshot_sink`.
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The latest result written by `snapshot_sink`."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.lit(False) if last is None else F.col("batch_id") == last).drop("batch_id", "slot")
 
-    Without `keys` the last batch, which in complete mode is the whole result; with `keys` the last
-    row of each key, which in update mode is.
-    """
-    rows = spark.read.option("basePath", path).parquet(path)
-    if keys is None:
-        last = rows.agg(F.max("batch_id")).first()[0]
-        return rows.filter(F.col("batch_id") == last).drop("batch_id")
+
+def changes_sink(path: str) -> Sink:
+    """For update mode: keep what each micro-batch changed, in a folder of its own."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return lambda stream: stream.foreachBatch(write)
+
+
+def read_changes(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFrame:
+    """The last row written by `changes_sink` for each key."""
+    rows = spark.read.parquet(path)
     keys = list(keys)
     others = [name for name in rows.columns if name not in keys and name != "batch_id"]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("row"))

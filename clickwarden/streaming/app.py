@@ -18,6 +18,14 @@ from clickwarden.sinks import Sink, blocklist_sink, cassandra_sink, console_sink
 from clickwarden.sources import read_kafka_events, read_spool_events
 from clickwarden.streaming.run import AVAILABLE_NOW, run_stream, start_stream
 
+# What the command line assumes where an option is not given.
+PRESETS = {
+    "tumbling": {"window": defaults.WINDOW, "missing_views": "one"},
+    "sliding": {"window": defaults.SLIDING_WINDOW, "slide": defaults.SLIDING_STEP, "missing_views": "drop",
+                "combine_window": defaults.COMBINE_WINDOW, "trigger": defaults.BATCH_INTERVAL,
+                "timeout": defaults.RUN_SECONDS},
+}
+
 DETECTORS = ("all", "high_activity", "click_view_ratio", "category_spread")
 
 
@@ -85,13 +93,16 @@ def parse_arguments(arguments: Sequence[str] | None = None) -> argparse.Namespac
     parser.add_argument("--rejects", metavar="PATH", help="keep unusable messages there")
     parser.add_argument("--checkpoint", required=True, metavar="PATH")
 
+    parser.add_argument("--preset", choices=tuple(PRESETS), default="tumbling",
+                        help="tumbling: long windows, runs until stopped; sliding: short overlapping windows, "
+                             "detections merged, stops after about a minute")
     parser.add_argument("--detector", choices=DETECTORS, default="all")
     parser.add_argument("--max-events", type=int, default=defaults.MAX_EVENTS)
     parser.add_argument("--max-ratio", type=int, default=defaults.MAX_RATIO)
     parser.add_argument("--max-categories", type=int, default=defaults.MAX_CATEGORIES)
-    parser.add_argument("--missing-views", choices=("one", "drop"), default="one")
+    parser.add_argument("--missing-views", choices=("one", "drop"))
     parser.add_argument("--scope", choices=("per_window", "all_windows"), default="per_window")
-    parser.add_argument("--window", default=defaults.WINDOW)
+    parser.add_argument("--window")
     parser.add_argument("--slide")
     parser.add_argument("--watermark", help="how late an event may come; needed in append mode")
     parser.add_argument("--combine-window", help="merge the detections of an ip over such windows")
@@ -99,6 +110,8 @@ def parse_arguments(arguments: Sequence[str] | None = None) -> argparse.Namespac
     parser.add_argument("--mode", choices=("append", "update", "complete"), default="append")
     parser.add_argument("--trigger", help=f"interval such as '10 seconds', or {AVAILABLE_NOW}")
     parser.add_argument("--timeout", type=float, help="stop after so many seconds")
+    preset = parser.parse_known_args(arguments)[0].preset
+    parser.set_defaults(**PRESETS[preset])
     options = parser.parse_args(arguments)
 
     if options.kafka and not options.topic:

@@ -120,6 +120,11 @@ def test_rows_without_time_or_on_either_time_type(spark):
     assert count_per_window(instants).collect()[0].n_events == 3
 
 
+def test_a_batch_needs_no_watermark_and_ignores_one(spark):
+    events = frame(spark, activity("a", clicks=3))
+    assert ips(detect_high_activity(events, 2, watermark_delay="1 minute")) == ["a"]
+
+
 @pytest.mark.parametrize("call", [
     lambda e: detect_high_activity(e, -1), lambda e: detect_high_activity(e, 1.5),
     lambda e: detect_click_view_ratio(e, True), lambda e: detect_click_view_ratio(e, missing_views="two"),

@@ -10,8 +10,8 @@ from clickwarden import (
     detect_high_activity, distinct_categories_per_window, events_from_json_lines, exclude_ips, parse_events,
     rejected_events, to_kafka_value)
 from clickwarden.sinks import (
-    blocklist_sink, cassandra_options, console_sink, kafka_sink, kafka_sink_options, parquet_sink, read_blocklist,
-    read_snapshot, snapshot_sink, table_sink)
+    blocklist_sink, cassandra_options, changes_sink, console_sink, kafka_sink, kafka_sink_options, parquet_sink,
+    read_blocklist, read_changes, read_snapshot, snapshot_sink, table_sink)
 from clickwarden.sources import kafka_source_options, read_kafka_events, read_spool_events, stream_table
 from clickwarden.streaming import AVAILABLE_NOW, run_stream, start_stream
 from clickwarden.streaming.app import build_detector, main, parse_arguments, run_app
@@ -48,12 +48,12 @@ def run(result, folder, mode="append", keys=None):
     spark = result.sparkSession
     table = f"{folder}/table-{uuid.uuid4().hex}"
     checkpoint = f"{folder}/checkpoint-{uuid.uuid4().hex}"
-    sink = parquet_sink(table) if mode == "append" else snapshot_sink(table)
+    sink = {"append": parquet_sink, "update": changes_sink, "complete": snapshot_sink}[mode](table)
     query = run_stream(result, sink, checkpoint, mode, AVAILABLE_NOW)
     assert query.exception() is None
     if mode == "append":
         return spark.read.schema(result.schema).parquet(table)
-    return read_snapshot(spark, table, keys if mode == "update" else None)
+    return read_changes(spark, table, keys) if mode == "update" else read_snapshot(spark, table)
 
 
 def same(found, expected):
@@ -259,6 +259,30 @@ def test_blocklist_in_other_modes(spark, folder):
         assert ips(read_blocklist(spark, path, moment(1200))) == ["a", "b", "c"]
 
 
+def test_a_blocklist_nobody_is_on(spark, folder):
+    path = str(folder / "blocklist")
+    assert read_blocklist(spark, path).count() == 0
+    block(stream_from_batches(spark, folder / "in", busy("a", 1, 2), [CLOSING]), path, str(folder / "checkpoint"))
+    assert read_blocklist(spark, path, moment(600)).count() == 0
+
+
+def test_many_entries_go_to_many_files(spark, folder):
+    path = str(folder / "blocklist")
+    lines = [text for number in range(40) for text in busy(f"ip{number}", 1, 6)]
+    raw = stream_from_batches(spark, folder / "in", lines, [CLOSING])
+    found = detect_high_activity(parse_events(raw), 5, watermark_delay="1 minute")
+    run_stream(found, blocklist_sink(path, "all", rows_per_file=10), str(folder / "c"), trigger=AVAILABLE_NOW)
+    assert len(list((folder / "blocklist").rglob("*.parquet"))) == 4
+    assert len(set(ips(read_blocklist(spark, path)))) == 40
+
+
+def test_only_two_snapshots_are_kept(spark, folder):
+    counts = count_per_window(stream(spark, folder)).select("ip", "n_events")
+    run_stream(counts, snapshot_sink(str(folder / "t")), str(folder / "c"), "complete", AVAILABLE_NOW)
+    assert sorted(entry.name for entry in (folder / "t").iterdir() if entry.is_dir()) == ["slot=0", "slot=1"]
+    same(read_snapshot(spark, str(folder / "t")), count_per_window(everything(spark)).select("ip", "n_events"))
+
+
 def test_blocklist_sink_arguments(spark):
     with pytest.raises(ValueError):
         blocklist_sink("x", "a/b")
@@ -383,6 +407,17 @@ def test_arguments_that_cannot_work_are_refused(arguments, capsys):
         parse_arguments([*arguments.split(), "--checkpoint", "c"])
 
 
+def test_presets():
+    needed = "--spool x --console --watermark w --checkpoint c".split()
+    options = parse_arguments(needed)
+    assert (options.window, options.slide, options.missing_views, options.timeout) == ("10 minutes", None, "one", None)
+    options = parse_arguments([*needed, "--preset", "sliding"])
+    assert (options.window, options.slide, options.missing_views) == ("60 seconds", "30 seconds", "drop")
+    assert (options.combine_window, options.trigger, options.timeout) == ("60 seconds", "10 seconds", 65)
+    options = parse_arguments([*needed, "--preset", "sliding", "--window", "2 minutes", "--timeout", "5"])
+    assert (options.window, options.slide, options.timeout) == ("2 minutes", "30 seconds", 5)
+
+
 def test_unknown_detector():
     with pytest.raises(ValueError):
         build_detector("other")
