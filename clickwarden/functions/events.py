@@ -72,6 +72,16 @@ def ip_from_id(number, subnet: str = "172.10") -> Column:
                        (number % 255).cast("string"))
 
 
+def json_field(text: str, name: str) -> Column:
+    """The value of a top-level field of the JSON objects in column `text`, as text.
+
+    Equal to `get_json_object`, which parses each row. An object that holds nothing but that field, with
+    a plain whole number, is read by pattern first, at about a fifth of the cost.
+    """
+    number = F.regexp_extract(text, rf'^\{{"{name}": ?(0|-?[1-9][0-9]{{0,17}})\}}$', 1)
+    return F.when(number != "", number).otherwise(F.get_json_object(text, f"$.{name}"))
+
+
 def events_from_table(table: DataFrame, ip: Column | None = None, category_id: Column | None = None,
                       type: Column | None = None, timestamp: str = "ts") -> DataFrame:
     """Map a table onto the event model; defaults fit `events(ts, user_id, event_type, props)`.
@@ -82,7 +92,7 @@ def events_from_table(table: DataFrame, ip: Column | None = None, category_id: C
     when = as_instant(table, timestamp) if table.isStreaming else F.col(timestamp)
     return table.select(
         (ip_from_id("user_id") if ip is None else ip).alias("ip"),
-        (F.get_json_object("props", "$.k") if category_id is None else category_id).alias("category_id"),
+        (json_field("props", "k") if category_id is None else category_id).alias("category_id"),
         (F.col("event_type") if type is None else type).alias("type"),
         when.alias("timestamp"))
 
@@ -107,5 +117,5 @@ def to_kafka_value(df: DataFrame, key: str | None = "ip") -> DataFrame:
 
 __all__ = [
     "EVENT_SCHEMA", "EVENT_COLUMNS", "tag_events", "typed_events", "parse_events", "rejected_events",
-    "ip_from_id", "events_from_table", "filter_actions", "to_json_lines", "to_kafka_value",
+    "ip_from_id", "json_field", "events_from_table", "filter_actions", "to_json_lines", "to_kafka_value",
 ]

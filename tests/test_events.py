@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickwarden import (
-    events_from_json_lines, events_from_table, filter_actions, ip_from_id, parse_events, read_json_events,
+    events_from_json_lines, events_from_table, filter_actions, ip_from_id, json_field, parse_events, read_json_events,
     rejected_events, tag_events, to_json_lines, to_kafka_value, write_json_events)
 from clickwarden.functions.times import instant_to_wall_clock, plus_seconds, wall_clock_to_instant
 from tests.data import START, at, frame, line, many_users
@@ -143,6 +143,18 @@ def test_ip_from_id(spark, number):
     assert df.select(ip_from_id(F.col("n"), "172.20").alias("ip")).collect()[0].ip.startswith("172.20.")
 
 
+def test_json_field_is_get_json_object(spark):
+    texts = ['{"k": 69}', '{"k":0}', '{"k": -5}', '{"k": -0}', '{"k": 007}', '{"k": 1.5}', '{"k": 1e3}', '{"k": "7"}',
+             '{"k": "a\\"b"}', '{"k": null}', '{"k": {"k": 3}}', '{"j": {"k": 4}, "k": 5}', '{"k": 1, "k": 2}',
+             '{"k": 69}\n', ' {"k": 69}', '{"k": 69} x', '{"k": 69', '{"K": 69}', '{}', '', 'k', '[{"k": 1}]',
+             '{"k": 123456789012345678}', '{"k": 12345678901234567890123}', '{"k": 6 }', '{"k":  6}', '{"k": ٣}', None]
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    rows = df.select("text", json_field("text", "k").alias("found"),
+                     F.get_json_object("text", "$.k").alias("expected")).collect()
+    assert [row.found for row in rows] == [row.expected for row in rows]
+    assert sum(row.found is not None for row in rows) > 10
+
+
 def test_other_tables_map_onto_the_model(spark):
     table = spark.createDataFrame([("x", 3, "seen", at())], "host string, cat int, what string, at timestamp_ntz")
     events = events_from_table(table, F.col("host"), F.col("cat").cast("string"),
