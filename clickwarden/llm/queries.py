@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickwarden.llm import bpe, packing
+from clickwarden.llm import bpe, divergence_rules, packing, pii
 from clickwarden.llm.common import table
 
 
+def op4_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence_rules.judge(table(spark, folder, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -18,9 +22,15 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_disclosing_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.sanitise(table(spark, folder, "documents")))
+
+
 QUERIES = {
+    "op4_divergence_rules": op4_divergence_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_disclosing_terms": op8_disclosing_terms,
 }
 
 SQL: dict[str, str] = {}
