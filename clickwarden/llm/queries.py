@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickwarden.llm import bpe, divergence_rules, packing, pii
+from clickwarden.llm import bpe, divergence_rules, metric_search, ngram_join, packing, pii
 from clickwarden.llm.common import table
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"), n=3, percent=90)
+
+
 def op4_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return divergence_rules.judge(table(spark, folder, "documents"))
 
@@ -26,11 +31,18 @@ def op8_disclosing_terms(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, folder, "documents")))
 
 
+def op9_mtree_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return metric_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
+
+
 QUERIES = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_disclosing_terms": op8_disclosing_terms,
+    "op9_mtree_search": op9_mtree_search,
 }
 
 SQL: dict[str, str] = {}
