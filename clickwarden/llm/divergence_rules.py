@@ -144,7 +144,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _median_shares(stats: DataFrame, totals: dict[str, str]) -> dict[str, dict[str, float]]:
     """For each language the median over documents of each count's share of its total, as counted in steps."""
-    shares = F.array(*[F.struct(F.lit(name).alias("name"), F.round(F.col(name) * STEPS / F.col(total)).alias("share"))
+    shares = F.array(*[F.struct(F.lit(name).alias("name"), F.round(F.try_divide(F.col(name) * STEPS, F.col(total))).alias("share"))
                        for name, total in totals.items()])
     counts = (stats.select("lang", F.explode(shares).alias("of")).where(F.col("of.share").isNotNull())
               .groupBy("lang", "of.name", "of.share").agg(F.count(F.lit(1)).alias("n")))
@@ -167,6 +167,6 @@ def _distance(counts: list[Column], total: Column, reference: list[float]) -> Co
         return let(own, lambda p: let((p + other) / 2, lambda m: (term(p, m) + term(F.lit(other), m)) / 2))
 
     left = F.greatest(total - sum(counts[1:], counts[0]), F.lit(0))
-    parts = [divergence((n / total).cast("double"), share)
+    parts = [divergence(F.try_divide(n, total).cast("double"), share)
              for n, share in zip([*counts, left], [*reference, max(0.0, 1 - sum(reference))], strict=True)]
     return F.when(total > 0, F.sqrt(F.greatest(sum(parts[1:], parts[0]), F.lit(0.0))))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwarden.llm import bpe, divergence_rules, metric_search, ngram_join, packing, pii
+from clickwarden.llm import bpe, divergence_rules, metric_search, ngram_join, packing, pii, url_templates
 from clickwarden.llm.common import table
 
 
@@ -36,6 +36,16 @@ def op9_mtree_search(spark: SparkSession, folder: str) -> DataFrame:
     return metric_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op10_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """A url that ends with a document's number is labelled by that document's quality."""
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").cast("string").alias("key"), (1.0 - F.col("quality")).alias("bad"))
+    return url_templates.judge_urls(table(spark, folder, "pages"), labels, URL_RULES)
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_divergence_rules": op4_divergence_rules,
@@ -43,6 +53,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_disclosing_terms": op8_disclosing_terms,
     "op9_mtree_search": op9_mtree_search,
+    "op10_path_templates": op10_path_templates,
 }
 
 SQL: dict[str, str] = {}

@@ -1,0 +1,82 @@
+"""URL filters against plain Python."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from clickwarden.llm import url_templates
+from clickwarden.llm.queries import URL_RULES, op10_path_templates
+
+HARD = [None, "", "no scheme", "http://", "://x.net/a", "HTTP://Www.Example.NET/en/1", "http://example.net/EN/1",
+        "http://net/", "http://net", "http://x.net?q=/en/", "http://badexample.net/en/1", "http://a.org/fr/x#y?z", "http://a.org/fr",
+        "http://example.com/de/", "http://www.example.com/de/9?x#y", "http://example.com:80/de/1", "a://b://c.net/x", "http://ÄÉ.ORG/fr/ü",
+        "http://x.org//fr//7.html", "http://x.com/a/b/c/d/e/f/g/", "http://x.com/" + "q" * 20000, "http://x.net\n/en/"]
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def rule(host, path):
+    fits = [(name, says) for name, says in URL_RULES for own, _, start in [name.partition("/")]
+            if (host == own or host.endswith("." + own)) and path.startswith("/" + start)]
+    return max(fits, key=lambda one: len(one[0]), default=(None, None))
+
+
+def check(rows, urls):
+    assert len(rows) == len(urls)
+    for row in rows:
+        host, path = parts(urls[row["page_id"]])
+        name, says = rule(host, path)
+        assert (row["host"], row["path"], row["rule"]) == (host, path, name), urls[row["page_id"]]
+        assert row["verdict"] == says if says else row["verdict"] in ("allow", "block")
+
+
+def pages(spark, urls):
+    return spark.createDataFrame([(at, url, "x", "y") for at, url in enumerate(urls)],
+                                 "page_id long, url string, host string, verdict string")
+
+
+def marks(spark, rows):
+    return spark.createDataFrame(rows, "key string, bad double")
+
+
+def test_parts_and_rules(spark):
+    rows = url_templates.judge_urls(pages(spark, HARD), marks(spark, []), URL_RULES).collect()
+    check(rows, dict(enumerate(HARD)))
+    assert all(row["verdict"] == "allow" for row in rows if row["rule"] is None)
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    urls = {row["page_id"]: row["url"] for row in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    check(op10_path_templates(spark, folder).collect(), urls)
+
+
+def test_bad_templates_are_rejected(spark):
+    urls = [f"http://a.com/{folder}/{number}" for folder in ("good", "fine", "spam") for number in range(60)]
+    urls += [f"http://a.com/rare{number}/x" for number in range(3)] + ["http://b.com/spam/1"]
+    urls = [re.sub(r"/(\d+)$", lambda m: f"/{at}", url) for at, url in enumerate(urls)]
+    labels = marks(spark, [(str(at), float("/spam/" in url)) for at, url in enumerate(urls) if at % 2 and at < 180]
+                   + [(None, 1.0), ("7", None)])
+    rows = {row["page_id"]: row for row in url_templates.judge_urls(pages(spark, urls), labels, []).collect()}
+    assert all(rows[at]["verdict"] == ("block" if "a.com/spam" in url else "allow") for at, url in enumerate(urls))
+    assert rows[0]["template"] == rows[60]["template"] != rows[120]["template"]
+    assert rows[120]["template"] in ("/spam/*",)
+
+
+def test_rare_segments_are_wildcards(spark):
+    urls = [f"http://a.com/user{at}/posts/{at}" for at in range(200)]
+    host, path = url_templates.url_parts(F.col("url"))
+    templated = url_templates.path_templates(pages(spark, urls).select(
+        "page_id", host.alias("host"), url_templates._segments(path).alias("segments"))).collect()
+    assert {tuple(row["template"]) for row in templated} == {("*", "posts", "*")}
+
+
+def test_empty_table(spark):
+    assert not url_templates.judge_urls(pages(spark, []), marks(spark, []), URL_RULES).collect()
