@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwarden.llm import bpe, divergence_rules, metric_search, ngram_join, packing, pii, url_templates
+from clickwarden.llm import bpe, divergence_rules, language_id, metric_search, ngram_join, packing, pii, url_templates
 from clickwarden.llm.common import table
 
 
+def held_out() -> Column:
+    """Every fourth document or so, by its id: nothing is learned from these."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op1_segmentation_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs.where(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    return model.predict(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"), n=3, percent=90)
 
@@ -47,6 +58,7 @@ def op10_path_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_segmentation_language_id": op1_segmentation_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_best_fit_packing": op5_best_fit_packing,

@@ -1,0 +1,85 @@
+"""Language identification: sums over all cuts by brute force, and held-out accuracy."""
+
+import numpy as np
+import pytest
+import public_tokenizers
+
+from clickwarden.llm import language_id
+from clickwarden.llm.queries import op1_segmentation_language_id
+
+from .tables import by_id, documents
+
+PIECES = ["a", "b", "ab", "ba", "aba", "▁", "▁a", "▁ab", "bb"]
+
+
+def cuts(word):
+    if not word:
+        return [[]]
+    out = []
+    for end in range(1, len(word) + 1):
+        head = word[:end]
+        if head in PIECES or (end == 1 and head not in PIECES):
+            out += [[head, *rest] for rest in cuts(word[end:])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def toy():
+    rng = np.random.default_rng(1)
+    model = rng.random((len(PIECES) + 1, 3))
+    model /= model.sum(0)
+    return language_id.Lattice(PIECES), model
+
+
+WORDS = ["▁a", "▁abab", "▁bbabab", "x", "▁axb", "▁" + "ab" * 5, "bb"]
+
+
+def probability(model, cut):
+    return np.prod([model[PIECES.index(piece) if piece in PIECES else len(PIECES)] for piece in cut], axis=0)
+
+
+def test_forward_sums_all_cuts(toy):
+    lattice, model = toy
+    logs = lattice.forward(WORDS, model)[0]
+    for word, log in zip(WORDS, logs, strict=True):
+        assert np.allclose(np.exp(log), sum(probability(model, cut) for cut in cuts(word)))
+
+
+def test_expected_uses(toy):
+    lattice, model = toy
+    weights = np.random.default_rng(2).random((len(WORDS), 3))
+    wanted = np.zeros((len(PIECES) + 1, 3))
+    for word, weight in zip(WORDS, weights, strict=True):
+        every = [(cut, probability(model, cut)) for cut in cuts(word)]
+        total = sum(p for _, p in every)
+        for cut, p in every:
+            for piece in cut:
+                wanted[PIECES.index(piece) if piece in PIECES else len(PIECES)] += weight * p / total
+    assert np.allclose(lattice.expected(WORDS, weights, model), wanted)
+
+
+def test_long_words_do_not_underflow(toy):
+    lattice, model = toy
+    assert np.isfinite(lattice.forward(["ab" * 3000], model * 1e-6)[0]).all()
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = op1_segmentation_language_id(spark, folder).collect()
+    langs = {row["doc_id"]: row["lang"] for row in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert len(rows) == len(langs)
+    held = [row for row in rows if row["held_out"]]
+    right = sum(row["lang_pred"] == langs[row["doc_id"]] for row in held)
+    assert len(held) > 200 and right >= 0.98 * len(held)
+    assert all(0 <= row["score"] <= 1 for row in rows)
+
+
+def test_odd_texts(spark):
+    texts = ["the cat and the dog", "der Hund und die Katze", "the dog", "die Katze der Hund"]
+    frame = documents(spark, texts, ("en", "de", "en", "de"))
+    model = language_id.fit(frame, public_tokenizers.path("piece_bpe_32k.model"))
+    rows = by_id(model.predict(documents(spark, [None, "", "123 !?", "the dog and", "und der Hund " * 3000, "日本語", "a" * 9000])))
+    assert [rows[at]["lang_pred"] for at in range(5)] == ["und", "und", "und", "en", "de"]
+    assert rows[0]["score"] == 0 and rows[5]["lang_pred"] in ("de", "en")
+    empty = language_id.fit(documents(spark, []), public_tokenizers.path("piece_bpe_32k.model"))
+    assert by_id(empty.predict(frame))[0]["lang_pred"] == "und"
