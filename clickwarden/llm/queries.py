@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwarden.llm import bpe, divergence_rules, language_id, metric_search, ngram_join, packing, pii, url_templates
+from clickwarden.llm import bpe, divergence_rules, language_id, metric_search, ngram_join, packing, pii, quality_gam, url_templates
 from clickwarden.llm.common import table
 
 
@@ -21,6 +21,13 @@ def op1_segmentation_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return model.predict(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_gam.fit(docs.select("doc_id", "text"), table(spark, folder, "labels").where(~held_out()))
+    return quality_gam.predict(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"), n=3, percent=90)
 
@@ -59,6 +66,7 @@ def op10_path_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_segmentation_language_id": op1_segmentation_language_id,
+    "op2_quality_gam": op2_quality_gam,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
