@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwarden.llm import bpe, divergence_rules, language_id, metric_search, ngram_join, packing, pii, quality_gam, url_templates
+from clickwarden.llm import bpe, divergence_rules, language_id, line_dedup, metric_search, ngram_join, packing, pii, quality_gam, url_templates
 from clickwarden.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_segment_edit_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, folder, "documents")))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"),
                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_segment_edit_line_dedup": op6_segment_edit_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_disclosing_terms": op8_disclosing_terms,
     "op9_mtree_search": op9_mtree_search,
