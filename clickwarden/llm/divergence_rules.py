@@ -69,7 +69,7 @@ def text_counts(texts: DataFrame) -> DataFrame:
     classes = {f"c_{name}": F.char_length("text") - _without(F.col("text"), chars)
                for name, chars in CLASSES.items()}
     return counted.select(
-        "doc_id", "lang", "words", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", "words", F.xxhash64("text").alias("text_hash"), F.size("words").cast("long").alias("n_words"),
         _without(F.col("text"), r"\x20\x09-\x0D").cast("long").alias("word_chars"),
         (F.char_length("text") - _without(F.col("text"), "#*$%&|<>")).cast("long").alias("n_symbols"),
         let(lines, lambda kept: F.size(kept) - F.size(F.array_distinct(kept))).cast("long").alias("n_dup_lines"),
@@ -102,7 +102,7 @@ def _hits(words: Column, bands: list[list[str]]) -> Column:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, the plain counts, base_failed, the two distances and kept, a row for each row of `docs`.
+    """doc_id, the plain counts, base_failed, kept, the two distances and a hash of the text, for each row of `docs`.
 
     Null and empty texts have no words and fail the plain rules. Texts that are too short for the guards, or whose
     language has no reference at all, are kept if they pass the plain rules. A null language is compared with the
@@ -139,7 +139,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     far = (F.coalesce(F.col("class_distance") > CLASS_LIMIT, F.lit(False))
            | F.coalesce(F.col("word_distance") > WORD_LIMIT, F.lit(False)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
+                         (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance", "text_hash")
 
 
 def _median_shares(stats: DataFrame, totals: dict[str, str]) -> dict[str, dict[str, float]]:

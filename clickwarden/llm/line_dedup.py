@@ -177,15 +177,15 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, t, text without the lines that go, n_lines, n_equal, n_near and dropped (their numbers from 0, in order).
 
     Lines stand in the order of doc_id and number, and count without the white space around them. A line goes if it equals an
     earlier one or, when both have least_chars characters, is within max_edits of an earlier one. Lines without a word
     stay. Null texts stay null, empty ones empty. Rows with the same id and text count as one and lose the same lines; those with the same id alone
-    go by a hash of the text (t).
+    go by a hash of the text (t). Of the other columns those in `keep` come along.
     """
-    texts = keyed_texts(docs, id_col, text_col)
+    texts = keyed_texts(docs, id_col, text_col, *keep)
     lines = lines_of(texts)
     places = F.struct("doc_id", "t", "number")
     firsts = saved(lines.groupBy("h", "g").agg(F.min(places).alias("first"), F.count(F.lit(1)).alias("n")))
@@ -212,7 +212,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("n_equal", F.lit(0)).cast("long").alias("n_equal"),
         F.coalesce(F.size("dropped") - F.col("n_equal"), F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), *keep)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

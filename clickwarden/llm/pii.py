@@ -135,13 +135,13 @@ def disclosing_terms(texts: DataFrame, mentions: DataFrame) -> DataFrame:
             .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (sanitised; null stays null), the spans of each kind, and `terms`: the spans that the method adds.
 
-    Null and empty texts have no spans. Rows that share an id share the terms found for it. Extra columns do not
-    come along. Spans count code points of the given text; those that overlap are replaced as one.
+    Null and empty texts have no spans. Rows that share an id share the terms found for it. Of the other columns those
+    in `keep` come along. Spans count code points of the given text; those that overlap are replaced as one.
     """
-    texts = keyed_texts(docs, id_col, text_col)
+    texts = keyed_texts(docs, id_col, text_col, *keep)
     kinds = list(PATTERNS)
     found = texts.where(F.greatest(*[F.col("text").rlike(hint) for hint in HINTS.values()])).withColumn(
         "spans", F.concat(*[base_spans(F.col("text"), kind) for kind in kinds]))
@@ -159,7 +159,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.col("text"), WORD, "term", lambda word: F.array_contains("flagged.term", _term(word)))
         ).otherwise(F.array().cast(SPANS))})
     return located.select("doc_id", _rewritten(F.col("text"), [*kinds, "terms"], F.col("flagged")).alias("text"),
-                          *kinds, "terms")
+                          *kinds, "terms", *keep)
 
 
 def _label(span: Column, flagged: Column) -> Column:

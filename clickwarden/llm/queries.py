@@ -33,7 +33,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return divergence_rules.judge(table(spark, folder, "documents"))
+    return divergence_rules.judge(table(spark, folder, "documents")).drop("text_hash")
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,13 +1,57 @@
-"""The corpus pipeline: documents to packed sequences, one stage after the other."""
+"""The corpus pipeline: raw documents to packed training sequences.
+
+Each stage takes what the one before it kept, with the columns of `documents`, and its decisions take effect: rejected documents,
+lines and copies are gone, personal data is replaced. The last stage returns placed pieces.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickwarden.llm import packing
+from clickwarden.llm import divergence_rules, line_dedup, ngram_join, packing, pii
 from clickwarden.llm.common import saved, table
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+OTHERS = ("lang", "source", "n_chars")
+#: Broadcast this many ids of documents at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """`docs` without the rows whose keys are in `gone`, nulls being equal."""
+    gone = saved(gone.select(*[F.col(key).alias(f"gone_{key}") for key in keys]).distinct())
+    same = [docs[key].eqNullSafe(gone[f"gone_{key}"]) for key in keys]
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    judged = divergence_rules.judge(docs)
+    hashed = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return _without(hashed, judged.where(~F.col("kept")), "doc_id", "text_hash").select(*COLUMNS)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones; those that lose all their words that way go."""
+    deduped = line_dedup.dedup_lines(docs, keep=OTHERS)
+    emptied = (F.size("dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return deduped.where(~F.coalesce(emptied, F.lit(False))).withColumn(
+        "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    found = ngram_join.near_duplicates(docs, n=5, percent=80)
+    return _without(docs, found.where("doc_id <> component_id"), "doc_id").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that give it away replaced."""
+    return pii.sanitise(docs, keep=OTHERS).withColumn(
+        "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Placed pieces of all documents: the training sequences."""
@@ -15,13 +59,19 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_deduplication),
+    ("ngram_jaccard_join", near_duplicates),
+    ("pii", personal_data),
     ("best_fit_packing", pack_sequences),
 ]
 
+#: SQL has neither the tokenizer nor the searches; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over `documents`; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
