@@ -9,7 +9,7 @@ the counts allow. Spark numbers the pieces of each length and places them by the
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
 
 def fillings(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(copies, [(length, times), ...]) until all are placed: the patterns by bin completion."""
+    """(copies, [(length, times), ...]) until all are placed: the patterns by bin completion.
+
+    The plan of best-fit fillings alone is the incumbent of the whole; it stays in the rare case that it needs fewer bins.
+    """
+    plans = [_plan(counts, capacity, complete) for complete in (
+        _completion, lambda left, room: _best_fit(left, np.flatnonzero(left[:room + 1]), room)[0])]
+    return min(plans, key=lambda plan: sum(copies for copies, _ in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, complete: Callable[[np.ndarray, int], list[int]]):
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -65,7 +74,7 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tupl
         while left[largest]:
             left[largest] -= 1
             times: dict[int, int] = {largest: 1}
-            for length in _completion(left, capacity - largest):
+            for length in complete(left, capacity - largest):
                 times[length] = times.get(length, 0) + 1
             left[largest] += 1
             copies = int(min(left[length] // n for length, n in times.items()))
