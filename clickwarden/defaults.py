@@ -18,7 +18,7 @@ SLIDING_STEP = "30 seconds"
 COMBINE_WINDOW = "60 seconds"
 TTL_SECONDS = 60
 
-# Streaming runs.
+# Streaming runs; the second is a time limit to give to `--timeout`, not one that applies by itself.
 BATCH_INTERVAL = "10 seconds"
 RUN_SECONDS = 65
 

@@ -26,17 +26,19 @@ EVENT_COLUMNS = ["ip", "category_id", "type", "timestamp"]
 def tag_events(raw: DataFrame, value: str = "value", keep: Iterable[str] = ()) -> DataFrame:
     """Parse one JSON event per row (text or binary) and say why a row is unusable.
 
-    Adds `reject_reason`: NULL for a good event, else `unreadable` (no JSON object, or none of the
-    fields), `no_ip`, `no_time`, or `bad_time` (not whole epoch seconds of years 1 to 9999).
-    Never fails on bad input.
+    Adds `reject_reason`: NULL for a good event, else `unreadable` (not one JSON object and nothing
+    else, or none of the fields), `no_ip`, `no_time`, or `bad_time` (not whole epoch seconds of years 1
+    to 9999). Never fails on bad input.
 
-    The parse sits in a generator, because Catalyst would copy a plain `from_json` projection into
-    every filter above it and parse each line several times.
+    The line is read as the one element of an array: a second object or other text behind the first
+    makes it unreadable instead of being lost. The parse sits in a generator, because Catalyst would
+    copy a plain `from_json` projection into every filter above it and parse each line several times.
     """
     text = F.col(value).cast("string")
+    objects = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(EVENT_SCHEMA))
     parsed = raw.select(
         *keep, text.alias("value"),
-        F.inline(F.array(F.from_json(text, EVENT_SCHEMA))))
+        F.inline(F.transform(F.array(objects), lambda found: F.when(F.size(found) == 1, F.get(found, 0)))))
     return typed_events(parsed, keep=[*keep, "value"])
 
 
@@ -66,10 +68,10 @@ def rejected_events(raw: DataFrame, value: str = "value", keep: Iterable[str] =
 
 
 def ip_from_id(number, subnet: str = "172.10") -> Column:
-    """The address an account number stands for: `subnet`.{number div 255}.{number mod 255}."""
+    """The address an account number stands for: `subnet`.{number div 255}.{number mod 255}; null for none."""
     number = F.col(number) if isinstance(number, str) else number
-    return F.concat_ws(".", F.lit(subnet), F.call_function("div", number, F.lit(255)).cast("string"),
-                       (number % 255).cast("string"))
+    return F.concat(F.lit(f"{subnet}."), F.call_function("div", number, F.lit(255)).cast("string"), F.lit("."),
+                    (number % 255).cast("string"))
 
 
 def json_field(text: str, name: str) -> Column:
@@ -86,17 +88,26 @@ def events_from_table(table: DataFrame, ip: Column | None = None, category_id: C
                       type: Column | None = None, timestamp: str = "ts") -> DataFrame:
     """Map a table onto the event model; defaults fit `events(ts, user_id, event_type, props)`.
 
-    On a stream the time becomes an instant, as watermarks need; a batch keeps the table's type so
-    that filters on it still reach the scan.
+    Rows without an ip or a time are left out, as among JSON events; `rejected_rows` has them. On a
+    stream the time becomes an instant, as watermarks need; a batch keeps the table's type so that
+    filters on it still reach the scan.
     """
+    address = ip_from_id("user_id") if ip is None else ip
     when = as_instant(table, timestamp) if table.isStreaming else F.col(timestamp)
-    return table.select(
-        (ip_from_id("user_id") if ip is None else ip).alias("ip"),
+    return table.filter(address.isNotNull() & F.col(timestamp).isNotNull()).select(
+        address.alias("ip"),
         (json_field("props", "k") if category_id is None else category_id).alias("category_id"),
         (F.col("event_type") if type is None else type).alias("type"),
         when.alias("timestamp"))
 
 
+def rejected_rows(table: DataFrame, ip: Column | None = None, timestamp: str = "ts") -> DataFrame:
+    """The table's rows that `events_from_table` leaves out, with the reason `no_ip` or `no_time`."""
+    address = ip_from_id("user_id") if ip is None else ip
+    reason = F.when(address.isNull(), "no_ip").when(F.col(timestamp).isNull(), "no_time")
+    return table.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull())
+
+
 def filter_actions(events: DataFrame, *actions: str) -> DataFrame:
     """Only the events of the given types."""
     return events.filter(F.col("type").isin(*actions))
@@ -117,5 +128,5 @@ def to_kafka_value(df: DataFrame, key: str | None = "ip") -> DataFrame:
 
 __all__ = [
     "EVENT_SCHEMA", "EVENT_COLUMNS", "tag_events", "typed_events", "parse_events", "rejected_events",
-    "ip_from_id", "json_field", "events_from_table", "filter_actions", "to_json_lines", "to_kafka_value",
+    "ip_from_id", "json_field", "events_from_table", "rejected_rows", "filter_actions", "to_json_lines", "to_kafka_value",
 ]

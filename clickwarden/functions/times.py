@@ -7,6 +7,8 @@ session shows: casting would read the value in the session zone and trip over it
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The seconds a TIMESTAMP can show: years 0001 to 9999.
@@ -56,5 +58,17 @@ def plus_seconds(df: DataFrame, name: str, seconds: int) -> Column:
     return F.timestamp_micros(F.unix_micros(column) + F.lit(seconds * 1000000).cast("bigint"))
 
 
+# Seconds of the units that windows and delays are given in.
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def duration_seconds(duration: str) -> int:
+    """Seconds of a duration such as `10 minutes` or `1 hour 30 minutes`."""
+    parts = re.findall(r"(\d+)\s+([a-z]+?)s?\b", duration.lower())
+    if not parts or any(unit not in UNITS for _, unit in parts):
+        raise ValueError(f"not a duration of seconds to weeks: {duration!r}")
+    return sum(int(number) * UNITS[unit] for number, unit in parts)
+
+
 def is_wall_clock(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.TimestampNTZType)

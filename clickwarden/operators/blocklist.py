@@ -34,16 +34,21 @@ def combine_detections(*detections: DataFrame, window_duration: str = COMBINE_WI
         F.window_time("window").alias("event_time"), "n_detections", "reasons")
 
 
-def blocklist(detections: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def blocklist(detections: DataFrame, ttl_seconds: int = TTL_SECONDS, delay_seconds: int = 0,
+              early: bool = False) -> DataFrame:
     """Entries `ip, blocked_at, expires_at` and the reasons.
 
-    An entry starts where its window ends and lasts `ttl_seconds` from there. Both times come from
-    the events, so writing an entry again changes nothing.
+    An entry starts where its window ends and lasts `ttl_seconds` from when it can be known. In append
+    mode that is only once events `delay_seconds` past the window's end have come: give the
+    watermark's delay. `early` entries, of update mode, are known within the window and start with it. Both
+    times come from the events, so writing an entry again changes nothing.
     """
     reasons = F.col("reasons") if "reasons" in detections.columns else F.array("reason").alias("reasons")
+    if "flagged" in detections.columns:
+        detections = detections.filter("flagged")
     return detections.select(
-        "ip", F.col("window_end").alias("blocked_at"),
-        plus_seconds(detections, "window_end", ttl_seconds).alias("expires_at"), reasons)
+        "ip", F.col("window_start" if early else "window_end").alias("blocked_at"),
+        plus_seconds(detections, "window_end", delay_seconds + ttl_seconds).alias("expires_at"), reasons)
 
 
 def active_blocklist(entries: DataFrame, as_of) -> DataFrame:

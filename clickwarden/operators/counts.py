@@ -10,6 +10,8 @@ costs each reducer one row per map task, not its raw events.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
 from clickwarden.defaults import CLICK, VIEW, WINDOW
@@ -18,8 +20,9 @@ from clickwarden.functions.times import event_window
 
 OUTPUT_MODES = ("append", "update", "complete")
 
-# Over how many reducers the copies of one (ip, category, window) are spread on a stream.
+# Over how many reducers the copies of one (ip, category, window) are spread on a stream, and by what.
 DEDUP_SALTS = 16
+SALT_BY = ("timestamp", "type")
 
 
 def with_window(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
@@ -56,14 +59,21 @@ def action_counts_per_window(events: DataFrame, window_duration: str = WINDOW, s
 
 
 def category_window_pairs(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
-                          watermark_delay: str | None = None) -> DataFrame:
-    """The distinct (ip, category_id, window); an event without a category counts as one category."""
+                          watermark_delay: str | None = None, salts: int = DEDUP_SALTS,
+                          salt_by: Iterable[str] = SALT_BY) -> DataFrame:
+    """The distinct (ip, category_id, window); an event without a category counts as one category.
+
+    `salts` and `salt_by` matter to streams only. A cluster of many cores wants as many salts as it has cores
+    for a hot ip. `salt_by` names columns that tell events apart and that a replay repeats: the default cannot
+    tell those of one second and type apart, a Kafka offset or a file's name and line
+    (`parse_events(keep=...)`) can.
+    """
     windowed = with_window(events, window_duration, slide_duration, watermark_delay)
     if not events.isStreaming:
         return windowed.select("ip", "category_id", "window").distinct()
     # A streaming distinct has no map-side step: the copies of a hot pair would meet in one task.
     # The first round spreads them by the rest of the event, the second sees few rows per pair.
-    salt = F.pmod(F.xxhash64("timestamp", "type"), F.lit(DEDUP_SALTS))
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts))
     salted = windowed.select("ip", "category_id", "window", salt.alias("salt")).distinct()
     return salted.select("ip", "category_id", "window").distinct()
 
@@ -80,8 +90,9 @@ def category_pair_counts(events: DataFrame, window_duration: str = WINDOW, slide
 
 def distinct_categories_per_window(events: DataFrame, window_duration: str = WINDOW,
                                    slide_duration: str | None = None, watermark_delay: str | None = None,
-                                   mode: str = "append") -> DataFrame:
-    """(ip, window, n_categories), exact.
+                                   mode: str = "append", salts: int = DEDUP_SALTS,
+                                   salt_by: Iterable[str] = SALT_BY) -> DataFrame:
+    """(ip, window, n_categories), exact; `salts` and `salt_by` as in `category_window_pairs`.
 
     `mode` is the output mode a stream will run in; a batch ignores it. In append mode two
     aggregations are chained, so no state row ever holds a set. Spark refuses such a chain in update
@@ -93,7 +104,7 @@ def distinct_categories_per_window(events: DataFrame, window_duration: str = WIN
         windowed = with_window(events, window_duration, slide_duration, watermark_delay)
         pairs = windowed.groupBy("ip", "window", "category_id").agg(F.count(F.lit(1)).alias("n_events"))
     else:
-        pairs = category_window_pairs(events, window_duration, slide_duration, watermark_delay)
+        pairs = category_window_pairs(events, window_duration, slide_duration, watermark_delay, salts, salt_by)
     return pairs.groupBy("ip", "window").agg(F.count(F.lit(1)).alias("n_categories"))
 
 

@@ -7,11 +7,13 @@ that detections can be windowed again. All limits are strict: a group equal to i
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickwarden.defaults import MAX_CATEGORIES, MAX_EVENTS, MAX_RATIO, WINDOW
 from clickwarden.operators.counts import (
-    action_counts_per_window, activity_per_window, category_window_pairs, count_per_window,
+    DEDUP_SALTS, SALT_BY, action_counts_per_window, activity_per_window, category_window_pairs, count_per_window,
     distinct_categories_per_window)
 
 HIGH_ACTIVITY = "high_activity"
@@ -29,36 +31,42 @@ def detect_high_activity(events: DataFrame, max_events: int = MAX_EVENTS, window
 
 def detect_click_view_ratio(events: DataFrame, max_ratio: int = MAX_RATIO, window_duration: str = WINDOW,
                             slide_duration: str | None = None, missing_views: str = "one",
-                            watermark_delay: str | None = None) -> DataFrame:
+                            watermark_delay: str | None = None, keep_passed: bool = False) -> DataFrame:
     """Ips whose clicks divided by views, rounded down, exceed `max_ratio` in a window.
 
     With `missing_views="one"` an ip without views is judged as if it had one; with `"drop"`, which
-    is what joining clicks to views gives, it is never flagged.
+    is what joining clicks to views gives, it is never flagged. Later views can take a flag back, which a stream
+    in update mode tells only if the groups that pass are sent too: `keep_passed` keeps them,
+    with a column `flagged` by which `read_changes` leaves them out.
     """
     counts = action_counts_per_window(events, window_duration, slide_duration, watermark_delay)
-    flagged = counts.filter(_too_many_clicks(max_ratio, missing_views))
-    return _detections(flagged, F.lit(CLICK_VIEW_RATIO).alias("reason"), "clicks", "views",
-                       F.expr("clicks div greatest(views, 1)").alias("ratio"))
+    flagged = _too_many_clicks(max_ratio, missing_views)
+    counts = counts.withColumn("flagged", flagged) if keep_passed else counts.filter(flagged)
+    return _detections(counts, F.lit(CLICK_VIEW_RATIO).alias("reason"), "clicks", "views",
+                       F.expr("clicks div greatest(views, 1)").alias("ratio"), *["flagged"] * keep_passed)
 
 
 def detect_category_spread(events: DataFrame, max_categories: int = MAX_CATEGORIES, window_duration: str = WINDOW,
                            slide_duration: str | None = None, scope: str = "per_window",
-                           watermark_delay: str | None = None, mode: str = "append") -> DataFrame:
+                           watermark_delay: str | None = None, mode: str = "append", salts: int = DEDUP_SALTS,
+                           salt_by: Iterable[str] = SALT_BY) -> DataFrame:
     """Ips that touch more than `max_categories` categories.
 
     `scope="per_window"` counts the distinct categories within one window. `scope="all_windows"`
     counts distinct (category, window) pairs over the whole input, so that one category seen in six
     windows counts six; its window columns span the first to the last window of the ip, and on a
-    stream it needs update or complete mode. `mode` is as in `distinct_categories_per_window`.
+    stream it needs update or complete mode. `mode`, `salts` and `salt_by` are as in
+    `distinct_categories_per_window`.
     """
     limit = _limit("max_categories", max_categories)
     reason = F.lit(CATEGORY_SPREAD).alias("reason")
     if scope == "per_window":
-        counts = distinct_categories_per_window(events, window_duration, slide_duration, watermark_delay, mode)
+        counts = distinct_categories_per_window(events, window_duration, slide_duration, watermark_delay, mode,
+                                                salts, salt_by)
         return _detections(counts.filter(F.col("n_categories") > limit), reason, "n_categories")
     if scope != "all_windows":
         raise ValueError(f"scope must be 'per_window' or 'all_windows', not {scope!r}")
-    pairs = category_window_pairs(events, window_duration, slide_duration, watermark_delay)
+    pairs = category_window_pairs(events, window_duration, slide_duration, watermark_delay, salts, salt_by)
     spans = pairs.groupBy("ip").agg(
         F.min("window.start").alias("window_start"), F.max("window.end").alias("window_end"),
         F.max(F.window_time("window")).alias("event_time"), F.count(F.lit(1)).alias("n_pairs"))

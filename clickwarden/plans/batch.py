@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickwarden.functions import (
-    events_from_table, filter_actions, parse_events, rejected_events, to_json_lines, to_kafka_value)
+    events_from_table, filter_actions, parse_events, rejected_events, rejected_rows, to_json_lines, to_kafka_value)
 from clickwarden.functions.times import as_instant, as_wall_clock
 from clickwarden.operators import (
     action_counts_per_window, active_blocklist, blocklist, category_window_pairs, combine_detections,
@@ -28,6 +28,10 @@ MAX_CATEGORIES = 5
 MAX_CATEGORIES_SLIDING = 8
 MAX_PAIRS = 70
 TTL_SECONDS = 3 * 24 * 3600
+# Shorter than the streams' watermark delay.
+SHORT_TTL_SECONDS = 1800
+# Just after the watermark has passed the end of a day.
+SHORT_AS_OF = "2024-01-15 01:10:00"
 AS_OF = "2024-01-15 12:00:00"
 
 
@@ -133,27 +137,24 @@ def category_spread_all_windows(spark, sf_dir):
 
 
 def all_detectors(spark, sf_dir):
-    return plain(detect_all(events(spark, sf_dir), MAX_EVENTS, MAX_RATIO, MAX_CATEGORIES, DAY))
+    return plain(found_by_all(spark, sf_dir))
 
 
-def three_detections(spark, sf_dir):
-    found = events(spark, sf_dir)
-    return (detect_high_activity(found, MAX_EVENTS, DAY),
-            detect_click_view_ratio(found, MAX_RATIO, DAY),
-            detect_category_spread(found, MAX_CATEGORIES, DAY))
+def found_by_all(spark, sf_dir):
+    """One scan for the three detectors."""
+    return detect_all(events(spark, sf_dir), MAX_EVENTS, MAX_RATIO, MAX_CATEGORIES, DAY)
 
 
 def detections_union(spark, sf_dir):
-    return plain(union_detections(*three_detections(spark, sf_dir)))
+    return plain(union_detections(found_by_all(spark, sf_dir)))
 
 
 def combined_blocklist(spark, sf_dir):
-    return plain(combine_detections(*three_detections(spark, sf_dir), window_duration=TWO_DAYS))
+    return plain(combine_detections(found_by_all(spark, sf_dir), window_duration=TWO_DAYS))
 
 
 def entries(spark, sf_dir):
-    found = detect_all(events(spark, sf_dir), MAX_EVENTS, MAX_RATIO, MAX_CATEGORIES, DAY)
-    return blocklist(combine_detections(found, window_duration=DAY), TTL_SECONDS)
+    return blocklist(combine_detections(found_by_all(spark, sf_dir), window_duration=DAY), TTL_SECONDS)
 
 
 def blocklist_with_expiry(spark, sf_dir):
@@ -179,6 +180,24 @@ def preview_categories(spark, sf_dir):
     return plain(preview(widest))
 
 
+def gappy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table with some users, times and properties missing."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return table.select(
+        F.when(F.col("user_id") % 7 != 3, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"), "event_type",
+        F.when(F.col("user_id") % 3 != 1, F.col("props")).alias("props"))
+
+
+def missing_keys(spark, sf_dir):
+    return plain(distinct_categories_per_window(events_from_table(gappy_table(spark, sf_dir)), DAY))
+
+
+def rejected_table_rows(spark, sf_dir):
+    return rejected_rows(gappy_table(spark, sf_dir)).groupBy("event_type", "reject_reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def kafka_messages(spark, sf_dir):
     found = detect_click_view_ratio(events(spark, sf_dir), MAX_RATIO, DAY)
     return to_kafka_value(found.select("ip", "reason", "clicks", "views"))
@@ -210,4 +229,6 @@ QUERIES = {
     "flagged_ips": flagged,
     "preview": preview_categories,
     "kafka_messages": kafka_messages,
+    "missing_keys": missing_keys,
+    "rejected_table_rows": rejected_table_rows,
 }

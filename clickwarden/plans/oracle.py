@@ -27,6 +27,8 @@ CLICKS = "count(*) filter (type = 'click')"
 VIEWS = "count(*) filter (type = 'view')"
 RATIO = f"{CLICKS} // greatest({VIEWS}, 1)"
 GROUP = "group by ip, window_start, window_end"
+# A missing category counts as one.
+CATEGORIES = "count(distinct category_id) + cast(count(*) > count(category_id) as bigint)"
 
 ACTIVE = f"""
 select ip, min(blocked_at) as blocked_at, max(expires_at) as expires_at from (
@@ -66,8 +68,7 @@ def ratio_join(windows: str) -> str:
 
 def category_spread(windows: str, limit: int) -> str:
     return (f" select ip, window_start, window_end, 'category_spread' as reason,"
-            f" count(distinct category_id) as n_categories"
-            f" from {windows} {GROUP} having count(distinct category_id) > {limit}")
+            f" {CATEGORIES} as n_categories from {windows} {GROUP} having {CATEGORIES} > {limit}")
 
 
 ALL_WINDOWS = f"""
@@ -88,7 +89,7 @@ DETECT_ALL = f"""
                   case when n_categories > {batch.MAX_CATEGORIES} then 'category_spread' end) as reasons,
         n_events, clicks, views, n_categories
  from (select ip, window_start, window_end, count(*) as n_events, {CLICKS} as clicks, {VIEWS} as views,
-              count(distinct category_id) as n_categories from daily {GROUP})
+              {CATEGORIES} as n_categories from daily {GROUP})
  where n_events > {batch.MAX_EVENTS} or clicks // greatest(views, 1) > {batch.MAX_RATIO}
        or n_categories > {batch.MAX_CATEGORIES}
 """
@@ -118,6 +119,11 @@ select '{"unix_time":"' || seconds || '.5","category_id":"' || category_id || '"
        || '","type":"purchase"}', 'bad_time' from lines where type = 'purchase'
 """
 
+# The detections, one after the other, each combined for itself: what early blocking writes.
+UPDATED = " union all ".join(
+    f"select ip, window_start as blocked_at, window_end + interval '{batch.TTL_SECONDS} seconds' as expires_at, reason"
+    f" from ({part})" for part in (HIGH, RATIO_ONE, SPREAD))
+
 PARSED = with_events(" select ip, category_id, type, date_trunc('second', timestamp) as timestamp from ev")
 COMPLETE_HIGH = with_events(HIGH)
 
@@ -134,7 +140,7 @@ SQL = {
     "category_window_pairs": with_events(
         " select distinct ip, window_start, window_end, category_id from daily"),
     "distinct_categories_per_window": with_events(
-        f" select ip, window_start, window_end, count(distinct category_id) as n_categories from sliding {GROUP}"),
+        f" select ip, window_start, window_end, {CATEGORIES} as n_categories from sliding {GROUP}"),
     "high_activity_tumbling": with_events(HIGH),
     "high_activity_sliding": with_events(high_activity("sliding", batch.MAX_EVENTS_SLIDING)),
     "click_view_ratio_one": with_events(RATIO_ONE),
@@ -153,11 +159,29 @@ SQL = {
     "exclude_ips": with_events(f" select * from ({HIGH}) where ip not in (select ip from ({ALL_WINDOWS}))"),
     "flagged_ips": with_events(f" select ip from ({HIGH})"),
     "preview": with_events(
-        f" select ip, window_start, window_end, count(distinct category_id) as n_categories from daily {GROUP}"
+        f" select ip, window_start, window_end, {CATEGORIES} as n_categories from daily {GROUP}"
         " order by n_categories desc, ip, window_start limit 1000"),
     "kafka_messages": with_events(
         " select ip as key, '{\"ip\":\"' || ip || '\",\"reason\":\"' || reason || '\",\"clicks\":' || clicks"
         f" || ',\"views\":' || views || '}}' as value from ({RATIO_ONE})"),
+    "missing_keys": f"""
+with gaps as (
+  select case when user_id % 7 <> 3 then user_id end as user_id, case when event_type <> 'error' then ts end as ts,
+         case when user_id % 3 <> 1 then json_extract_string(props, '$.k') end as category_id
+  from events
+),
+windows as (
+  select '172.10.' || (user_id // 255) || '.' || (user_id % 255) as ip, category_id,
+         time_bucket(interval '1 day', ts) as window_start,
+         time_bucket(interval '1 day', ts) + interval '1 day' as window_end
+  from gaps where user_id is not null and ts is not null
+)
+select ip, window_start, window_end, {CATEGORIES} as n_categories from windows {GROUP}
+""",
+    "rejected_table_rows": """
+select event_type, case when user_id % 7 = 3 then 'no_ip' else 'no_time' end as reject_reason, count(*) as n
+from events where user_id % 7 = 3 or event_type = 'error' group by 1, 2
+""",
     "stream_spooled_events": PARSED,
     "stream_rejects": "with " + EV + REJECTS,
     "stream_high_activity_complete": COMPLETE_HIGH,
@@ -173,4 +197,20 @@ SQL = {
     "stream_combined_blocklist": closed(combined("1 day")),
     "stream_blocklist_table": with_events(ACTIVE, f"found as (select c.* from ({combined('1 day')}) c, bounds"
                                                   " where window_end <= watermark)"),
+    "stream_click_view_ratio_update": with_events(RATIO_ONE),
+    "stream_combined_blocklist_early": with_events(f" {UPDATED}"),
+    "stream_blocklist_short_ttl": with_events(f"""
+ select f.ip, min(f.window_end) as blocked_at,
+        max(f.window_end) + interval '1 hour' + interval '{batch.SHORT_TTL_SECONDS} seconds' as expires_at
+ from found f, bounds
+ where f.window_end <= watermark and f.window_end <= timestamp '{batch.SHORT_AS_OF}'
+       and f.window_end + interval '1 hour' + interval '{batch.SHORT_TTL_SECONDS} seconds' > timestamp '{batch.SHORT_AS_OF}'
+ group by f.ip
+""", f"found as ({combined('1 day')})"),
+    "stream_blocklist_after_expiry": with_events(f"""
+ select f.ip, f.window_end as blocked_at, f.window_end + interval '{batch.TTL_SECONDS} seconds' as expires_at, f.reasons
+ from found f, bounds
+ where f.window_end <= watermark
+       and cast(f.window_end + interval '{batch.TTL_SECONDS} seconds' as date) >= date '{batch.AS_OF[:10]}'
+""", f"found as ({combined('1 day')})"),
 }

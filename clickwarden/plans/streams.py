@@ -1,25 +1,32 @@
 """Registered streaming queries: the `events` table read as a stream, run to its end, then read back.
 
-Results go through tables in the scratch folder, never through the driver.
+Results go through tables in the scratch folder, never through the driver. The queries of `in_steps` get the
+table in several parts by time, each read after a stop and restart from the checkpoint, so that state is carried
+from batch to batch. Append mode leaves out the windows that the last watermark has not passed; their SQL does too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickwarden.functions import events_from_table, parse_events, rejected_events
+from clickwarden.functions.times import duration_seconds
 from clickwarden.operators import (
     combine_detections, detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity)
 from clickwarden.plans import batch
 from clickwarden.session import scratch_dir
 from clickwarden.sinks import (
-    blocklist_sink, changes_sink, parquet_sink, read_blocklist, read_changes, read_snapshot, snapshot_sink,
-    write_json_events)
+    Sink, blocklist_sink, changes_sink, compact_blocklist, parquet_sink, read_appended, read_blocklist, read_changes,
+    read_snapshot, remove_expired, snapshot_sink, write_json_events)
 from clickwarden.sources import read_spool_events, stream_table
 from clickwarden.streaming import AVAILABLE_NOW, run_stream
 
 WATERMARK = "1 hour"
 WINDOW_KEYS = ["ip", "window_start", "window_end"]
+STEPS = 3
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +36,46 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finish(spark: SparkSession, result: DataFrame, mode: str, keys=WINDOW_KEYS) -> DataFrame:
     """Run `result` over all the data there is and return what it wrote."""
     folder = scratch_dir(spark)
+    run_stream(result, sink_of(mode, folder), f"{folder}/checkpoint", mode, AVAILABLE_NOW)
+    return written(spark, folder, result, mode, keys)
+
+
+def sink_of(mode: str, folder: str) -> Sink:
+    return {"append": parquet_sink, "update": changes_sink, "complete": snapshot_sink}[mode](f"{folder}/table")
+
+
+def written(spark: SparkSession, folder: str, result: DataFrame, mode: str, keys=WINDOW_KEYS) -> DataFrame:
     table = f"{folder}/table"
-    sink = {"append": parquet_sink, "update": changes_sink, "complete": snapshot_sink}[mode](table)
-    run_stream(result, sink, f"{folder}/checkpoint", mode, AVAILABLE_NOW)
     if mode == "append":
-        return batch.plain(spark.read.schema(result.schema).parquet(table))
+        return batch.plain(read_appended(spark, table, result.schema))
     return batch.plain(read_changes(spark, table, keys) if mode == "update" else read_snapshot(spark, table))
 
 
+def in_steps(spark: SparkSession, sf_dir: str, detect: Callable[[DataFrame], DataFrame], sink: Sink, folder: str,
+             mode: str = "append") -> DataFrame:
+    """Spool the events as JSON lines, a part by time after the other, and run the query anew after each."""
+    events = batch.events(spark, sf_dir)
+    low, high = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+    edges = [low + (high - low) * step / STEPS for step in range(1, STEPS)]
+    result = None
+    for step in range(STEPS):
+        part = events
+        if step:
+            part = part.filter(F.col("timestamp") >= F.lit(edges[step - 1]))
+        if step < STEPS - 1:
+            part = part.filter(F.col("timestamp") < F.lit(edges[step]))
+        write_json_events(part, f"{folder}/spool/step={step}")
+        result = detect(parse_events(read_spool_events(spark, f"{folder}/spool")))
+        run_stream(result, sink, f"{folder}/checkpoint", mode, AVAILABLE_NOW)
+    return result
+
+
+def finish_in_steps(spark: SparkSession, sf_dir: str, detect, mode: str, keys=WINDOW_KEYS) -> DataFrame:
+    folder = scratch_dir(spark)
+    result = in_steps(spark, sf_dir, detect, sink_of(mode, folder), folder, mode)
+    return written(spark, folder, result, mode, keys)
+
+
 def high_activity(mode):
     def query(spark, sf_dir):
         found = detect_high_activity(stream_events(spark, sf_dir), batch.MAX_EVENTS, batch.DAY,
@@ -52,9 +91,12 @@ def high_activity_sliding(spark, sf_dir):
     return finish(spark, found, "append")
 
 
-def click_view_ratio(spark, sf_dir):
-    found = detect_click_view_ratio(stream_events(spark, sf_dir), batch.MAX_RATIO, batch.DAY)
-    return finish(spark, found, "complete")
+def click_view_ratio(mode):
+    def query(spark, sf_dir):
+        return finish_in_steps(spark, sf_dir, lambda events: detect_click_view_ratio(
+            events, batch.MAX_RATIO, batch.DAY, keep_passed=mode == "update"), mode)
+
+    return query
 
 
 def click_view_ratio_sliding(spark, sf_dir):
@@ -65,9 +107,8 @@ def click_view_ratio_sliding(spark, sf_dir):
 
 def category_spread(mode):
     def query(spark, sf_dir):
-        found = detect_category_spread(stream_events(spark, sf_dir), batch.MAX_CATEGORIES, batch.DAY,
-                                       watermark_delay=WATERMARK, mode=mode)
-        return finish(spark, found, mode)
+        return finish_in_steps(spark, sf_dir, lambda events: detect_category_spread(
+            events, batch.MAX_CATEGORIES, batch.DAY, watermark_delay=WATERMARK, mode=mode), mode)
 
     return query
 
@@ -88,24 +129,56 @@ def detect_all_stream(spark, sf_dir):
 
 
 def combined(spark, sf_dir):
-    stream = stream_events(spark, sf_dir)
-    found = combine_detections(
-        detect_high_activity(stream, batch.MAX_EVENTS, batch.DAY, watermark_delay=WATERMARK),
-        detect_click_view_ratio(stream, batch.MAX_RATIO, batch.DAY, watermark_delay=WATERMARK),
-        detect_category_spread(stream, batch.MAX_CATEGORIES, batch.DAY, watermark_delay=WATERMARK),
-        window_duration=batch.DAY)
-    return finish(spark, found, "append")
+    return finish(spark, combine_detections(all_detectors(stream_events(spark, sf_dir)), window_duration=batch.DAY), "append")
 
 
-def blocked(spark, sf_dir):
+def combined_detections(events: DataFrame) -> DataFrame:
+    return combine_detections(all_detectors(events), window_duration=batch.DAY)
+
+
+def blocked_table(spark: SparkSession, sf_dir: str, ttl_seconds: int, delay_seconds: int = 0) -> str:
     """Raw JSON files to the expiring blocklist, the way the application runs."""
     folder = scratch_dir(spark)
-    write_json_events(batch.events(spark, sf_dir), f"{folder}/spool")
-    stream = parse_events(read_spool_events(spark, f"{folder}/spool"))
-    found = combine_detections(all_detectors(stream), window_duration=batch.DAY)
-    run_stream(found, blocklist_sink(f"{folder}/blocklist", "all", batch.TTL_SECONDS), f"{folder}/checkpoint",
-               trigger=AVAILABLE_NOW)
-    return batch.plain(read_blocklist(spark, f"{folder}/blocklist", f"{batch.AS_OF} UTC"))
+    sink = blocklist_sink(f"{folder}/blocklist", "all", ttl_seconds, delay_seconds=delay_seconds)
+    in_steps(spark, sf_dir, combined_detections, sink, folder)
+    return f"{folder}/blocklist"
+
+
+def blocked(spark, sf_dir):
+    return batch.plain(read_blocklist(spark, blocked_table(spark, sf_dir, batch.TTL_SECONDS), f"{batch.AS_OF} UTC"))
+
+
+def blocked_for_a_short_time(spark, sf_dir):
+    """As of just after the day's entries are written, with a time to live below the watermark's delay."""
+    table = blocked_table(spark, sf_dir, batch.SHORT_TTL_SECONDS, duration_seconds(WATERMARK))
+    return batch.plain(read_blocklist(spark, table, f"{batch.SHORT_AS_OF} UTC"))
+
+
+def blocked_after_expiry(spark, sf_dir):
+    """The entries that are left when the days before AS_OF are removed and the other days are compacted."""
+    table = blocked_table(spark, sf_dir, batch.TTL_SECONDS)
+    day = date.fromisoformat(batch.AS_OF[:10])
+    remove_expired(spark, table, day)
+    compact_blocklist(spark, table, day)
+    return batch.plain(read_blocklist(spark, table).select("ip", "blocked_at", "expires_at", "reasons"))
+
+
+def blocked_early(spark, sf_dir):
+    """The three detectors as early blocking runs them: each in update mode, all into one table."""
+    folder = scratch_dir(spark)
+    detectors = {
+        "high_activity": lambda events: detect_high_activity(events, batch.MAX_EVENTS, batch.DAY),
+        "click_view_ratio": lambda events: detect_click_view_ratio(
+            events, batch.MAX_RATIO, batch.DAY, keep_passed=True),
+        "category_spread": lambda events: detect_category_spread(
+            events, batch.MAX_CATEGORIES, batch.DAY, mode="update"),
+    }
+    for name, detect in detectors.items():
+        run_stream(detect(stream_events(spark, sf_dir)),
+                   blocklist_sink(f"{folder}/blocklist", name, batch.TTL_SECONDS, early=True),
+                   f"{folder}/checkpoint-{name}", "update", AVAILABLE_NOW)
+    found = read_blocklist(spark, f"{folder}/blocklist")
+    return batch.plain(found.select("ip", "blocked_at", "expires_at", F.explode("reasons").alias("reason")))
 
 
 def spooled_events(spark, sf_dir):
@@ -126,7 +199,8 @@ QUERIES = {
     "stream_high_activity_update": high_activity("update"),
     "stream_high_activity_append": high_activity("append"),
     "stream_high_activity_sliding": high_activity_sliding,
-    "stream_click_view_ratio": click_view_ratio,
+    "stream_click_view_ratio": click_view_ratio("complete"),
+    "stream_click_view_ratio_update": click_view_ratio("update"),
     "stream_click_view_ratio_sliding": click_view_ratio_sliding,
     "stream_category_spread_append": category_spread("append"),
     "stream_category_spread_update": category_spread("update"),
@@ -134,4 +208,7 @@ QUERIES = {
     "stream_detect_all": detect_all_stream,
     "stream_combined_blocklist": combined,
     "stream_blocklist_table": blocked,
+    "stream_blocklist_short_ttl": blocked_for_a_short_time,
+    "stream_blocklist_after_expiry": blocked_after_expiry,
+    "stream_combined_blocklist_early": blocked_early,
 }

@@ -23,13 +23,23 @@ SESSION_SETTINGS = {
 
 def build_session(app_name: str = "clickwarden", master: str | None = None,
                   settings: dict[str, str] | None = None) -> SparkSession:
-    """A session with the engine's settings; anything in `settings` wins over them."""
+    """A session with the engine's settings, where neither `settings` nor spark-submit gives others.
+
+    A session that is already running keeps its own; only `settings` are set on it.
+    """
+    running = SparkSession.getActiveSession() is not None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_SETTINGS, **(settings or {})}.items():
+    for key, value in (settings or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    if not running:
+        given = session.sparkContext.getConf()
+        for key, value in SESSION_SETTINGS.items():
+            if not given.contains(key):
+                session.conf.set(key, value)
+    return session
 
 
 def scratch_dir(spark: SparkSession) -> str:

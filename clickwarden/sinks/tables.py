@@ -1,16 +1,20 @@
 """Writing micro-batches to tables, so that a replayed batch leaves no second copy.
 
-A sink is a function that takes a `DataStreamWriter` and returns it set up; `run_stream` starts it.
+A sink is a function that takes a `DataStreamWriter` and returns it set up; `run_stream` starts it. Every
+table keeps the runs apart that write to it: a run is a streaming query's id, kept in its
+checkpoint. Within a run each batch has a folder of its own, which a replay replaces.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterable
+from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from clickwarden.defaults import TTL_SECONDS
@@ -19,19 +23,64 @@ from clickwarden.operators.blocklist import active_blocklist, blocklist
 
 Sink = Callable[[DataStreamWriter], DataStreamWriter]
 
+# The output modes a sink can be used with, as an attribute of the sink; without it, all.
+MODES = "output_modes"
+
+
+def _sink(write: Callable[[DataFrame, int], None], *modes: str) -> Sink:
+    def sink(stream: DataStreamWriter) -> DataStreamWriter:
+        return stream.foreachBatch(write)
+
+    if modes:
+        setattr(sink, MODES, modes)
+    return sink
+
+
+def _run(batch: DataFrame) -> str:
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if run is None:
+        raise RuntimeError("this sink writes only from within a streaming query")
+    return run
+
+
+def _read(spark: SparkSession, paths: list[str], schema: str | T.StructType, base: str | None = None) -> DataFrame:
+    """The files below the paths; none where nothing has been written yet."""
+    reader = spark.read.schema(schema)
+    if base is not None:
+        reader = reader.option("basePath", base)
+    try:
+        return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
 
 def parquet_sink(path: str) -> Sink:
-    """Append mode only: Spark's file sink, which records each batch exactly once."""
-    return lambda writer: writer.format("parquet").option("path", path)
+    """Append mode: the rows of each batch, laid out `run=/batch_id=`; read them with `read_appended`.
+
+    Several queries, one after the other or at once, may write to one folder; none hides another's rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={_run(batch)}/batch_id={batch_id}")
+
+    return _sink(write, "append")
 
 
-def blocklist_sink(path: str, writer: str, ttl_seconds: int = TTL_SECONDS, rows_per_file: int = 1_000_000) -> Sink:
-    """Write detections as blocklist entries, for any output mode.
+def read_appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows that `parquet_sink` has written, of the columns in `schema`."""
+    layout = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
+    return _read(spark, [path], layout).select(*schema.names)
 
-    The table is laid out `writer=/run=/expires_on=/batch_id=`. Each detector writes under its own
-    `writer`, and `run` is the query's id, kept in its checkpoint: a batch replayed after a failure
-    replaces its own folder and nobody else's. Readers prune by `expires_on`, and whole days that
-    have passed can be deleted.
+
+def blocklist_sink(path: str, writer: str, ttl_seconds: int = TTL_SECONDS, rows_per_file: int = 1_000_000,
+                   delay_seconds: int = 0, early: bool = False) -> Sink:
+    """Write detections as blocklist entries, in append or update mode.
+
+    `delay_seconds` is the watermark's delay in append mode, `early` is for update mode: see `blocklist`. The table is laid out
+    `expires_on=/writer=/run=/batch_id=`: readers list only the days they need, `remove_expired` deletes days that have passed,
+    and `compact_blocklist` joins the folders of a day. Each detector writes under its own `writer`.
+    Complete mode would write every entry again with each batch and is refused.
 
     A batch is spread over as many tasks as its rows need, `rows_per_file` each: one file per state
     partition would leave thousands of tiny files, one file per batch a single task's work.
@@ -40,87 +89,148 @@ def blocklist_sink(path: str, writer: str, ttl_seconds: int = TTL_SECONDS, rows_
         raise ValueError(f"writer must be a plain name, not {writer!r}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if run is None:
-            raise RuntimeError("blocklist_sink writes only from within a streaming query")
-        entries = blocklist(batch, ttl_seconds)
-        day = F.to_date(as_wall_clock(entries, "expires_at"))
-        rows = entries.withColumn("expires_on", day).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        rows = rows.persist()
+        entries = blocklist(batch, ttl_seconds, delay_seconds, early)
+        layout = {"expires_on": F.to_date(as_wall_clock(entries, "expires_at")), "writer": F.lit(writer),
+                  "run": F.lit(_run(batch)), "batch_id": F.lit(batch_id).cast("bigint")}
+        rows = entries.withColumns(layout).persist()
         try:
             files = math.ceil(rows.count() / rows_per_file)
             if files:
-                (rows.repartition(files)
-                    .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                    .partitionBy("expires_on", "batch_id").parquet(f"{path}/writer={writer}/run={run}"))
+                (rows.repartition(files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                    .partitionBy(*layout).parquet(path))
         finally:
             rows.unpersist()
 
-    return lambda stream: stream.foreachBatch(write)
+    return _sink(write, "append", "update")
+
+
+ENTRIES = ("ip string, blocked_at timestamp, expires_at timestamp, reasons array<string>, "
+           "expires_on date, writer string, run string, batch_id bigint")
 
 
 def read_blocklist(spark: SparkSession, path: str, as_of=None) -> DataFrame:
-    """All entries written under `path`, or only the ips blocked at `as_of` (a datetime or text)."""
-    schema = ("ip string, blocked_at timestamp, expires_at timestamp, reasons array<string>, "
-              "writer string, run string, expires_on date, batch_id bigint")
-    try:
-        entries = spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        # Nobody has been blocked yet.
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        entries = spark.createDataFrame([], schema)
+    """All entries written under `path`, or only the ips blocked at `as_of` (a datetime or text).
+
+    With `as_of`, only the folders of entries that expire on its day or later are listed.
+    """
     if as_of is None:
-        return entries
+        return _read(spark, [path], ENTRIES)
     moment = F.lit(as_of).cast("timestamp")
-    first_day = F.to_date(instant_to_wall_clock(moment))
-    return active_blocklist(entries.filter(F.col("expires_on") >= first_day), moment)
+    first = spark.range(1).select(F.to_date(instant_to_wall_clock(moment))).first()[0]
+    days = [f"{path}/expires_on={day}" for day in _days(spark, path) if day >= first]
+    return active_blocklist(_read(spark, days, ENTRIES, path), moment)
+
+
+def _days(spark: SparkSession, path: str) -> list[date]:
+    """The days that have a folder; one listing, of a folder a day."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [found.getPath().getName() for found in files.listStatus(folder)]
+    return sorted(date.fromisoformat(name.removeprefix("expires_on=")) for name in names
+                  if re.fullmatch(r"expires_on=\d{4,}-\d\d-\d\d", name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def remove_expired(spark: SparkSession, path: str, before: date) -> list[date]:
+    """Delete the entries of whole days before `before` (in UTC); returns the days. Runs beside writers."""
+    gone = [day for day in _days(spark, path) if day < before]
+    for day in gone:
+        _delete(spark, f"{path}/expires_on={day}")
+    return gone
+
+
+def compact_blocklist(spark: SparkSession, path: str, day: date, rows_per_file: int = 1_000_000) -> None:
+    """Join the many small folders of the entries that expire on `day` into one for each writer.
+
+    The new folders are written before the old ones go, so that a reader in between sees an entry twice
+    rather than not at all, which `active_blocklist` evens out. A batch that is replayed afterwards does the same.
+    """
+    folder = f"{path}/expires_on={day}"
+    rows = _read(spark, [folder], ENTRIES, path)
+    old = [(row["writer"], row["run"]) for row in rows.select("writer", "run").distinct().collect()]  # a row for each query
+    files = math.ceil(rows.count() / rows_per_file)
+    if not files:
+        return
+    run = f"compacted-{uuid.uuid4().hex}"
+    (rows.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(0).cast("bigint")).repartition(files)
+        .write.mode("append").partitionBy("expires_on", "writer", "run", "batch_id").parquet(path))
+    for writer, name in old:
+        _delete(spark, f"{folder}/writer={writer}/run={name}")
 
 
 def snapshot_sink(path: str) -> Sink:
-    """For complete mode: keep the latest whole result, and the one before it while it is replaced."""
+    """For complete mode: keep the latest whole result, and the one before it while it is replaced.
+
+    Each slot holds a row that marks its batch, also where the result is empty.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        rows.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+        spark = batch.sparkSession
+        nothing = spark.range(1).select(*[F.lit(None).cast(field.dataType).alias(field.name) for field in batch.schema],
+                                        F.lit(True).alias("is_marker"))
+        rows = batch.withColumn("is_marker", F.lit(False)).union(nothing).withColumns(
+            {"batch_id": F.lit(batch_id).cast("bigint"), "written_at": F.current_timestamp()})
+        rows.write.mode("overwrite").parquet(f"{path}/run={_run(batch)}/slot={batch_id % 2}")
 
-    return lambda stream: stream.foreachBatch(write)
+    return _sink(write, "complete")
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The latest result written by `snapshot_sink`."""
+def read_snapshot(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """The latest result written by `snapshot_sink`: of the given run, or of the one that wrote last."""
     rows = spark.read.parquet(path)
-    last = rows.agg(F.max("batch_id")).first()[0]
-    return rows.filter(F.lit(False) if last is None else F.col("batch_id") == last).drop("batch_id", "slot")
+    run = run or _last_run(rows.filter("is_marker"))
+    rows = rows.filter(F.col("run") == run)
+    last = rows.filter("is_marker").agg(F.max("batch_id")).first()[0]
+    kept = rows.filter(F.lit(False) if last is None else (F.col("batch_id") == last) & ~F.col("is_marker"))
+    return kept.drop("batch_id", "slot", "run", "is_marker", "written_at")
+
+
+def _last_run(rows: DataFrame) -> str | None:
+    return rows.agg(F.max_by("run", "written_at")).first()[0]
 
 
 def changes_sink(path: str) -> Sink:
-    """For update mode: keep what each micro-batch changed, in a folder of its own."""
+    """For update mode: keep what each micro-batch changed, in a folder of its own.
+
+    Where a change can take a row out of the result, send the row with a column `flagged` that is false, as
+    `detect_click_view_ratio(keep_passed=True)` does.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").parquet(
+            f"{path}/run={_run(batch)}/batch_id={batch_id}")
 
-    return lambda stream: stream.foreachBatch(write)
+    return _sink(write, "update")
 
 
-def read_changes(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFrame:
-    """The last row written by `changes_sink` for each key."""
+def read_changes(spark: SparkSession, path: str, keys: Iterable[str], run: str | None = None) -> DataFrame:
+    """The last row written by `changes_sink` for each key, if it is still flagged, of the given run or of the one that wrote last."""
     rows = spark.read.parquet(path)
+    rows = rows.filter(F.col("run") == (run or _last_run(rows))).drop("run", "written_at")
     keys = list(keys)
     others = [name for name in rows.columns if name not in keys and name != "batch_id"]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("row"))
-    return latest.select(*keys, "row.*")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("row")).select(*keys, "row.*")
+    return latest.filter("flagged").drop("flagged") if "flagged" in others else latest
 
 
 def table_sink(table_format: str, options: dict[str, str], columns: Iterable[str] = ("ip",)) -> Sink:
     """Append the distinct `columns` of each batch to any table a Spark connector writes.
 
-    A replayed batch is written again: the table should be keyed by those columns.
+    A replayed batch is written again: the table should be keyed by those columns. In update mode a row
+    comes again whenever its group changes. Complete mode would send every row with each batch, so that
+    none would ever expire, and is refused.
     """
     columns = list(columns)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*columns).distinct().write.format(table_format).options(**options).mode("append").save()
+        rows = batch.filter("flagged") if "flagged" in batch.columns else batch
+        rows.select(*columns).distinct().write.format(table_format).options(**options).mode("append").save()
 
-    return lambda stream: stream.foreachBatch(write)
+    return _sink(write, "append", "update")
 
 
 def cassandra_sink(keyspace: str, table: str, ttl_seconds: int = TTL_SECONDS) -> Sink:

@@ -1,3 +1,3 @@
-from clickwarden.streaming.run import AVAILABLE_NOW, run_stream, start_stream
+from clickwarden.streaming.run import AVAILABLE_NOW, late_rows, run_stream, start_stream
 
-__all__ = ["AVAILABLE_NOW", "run_stream", "start_stream"]
+__all__ = ["AVAILABLE_NOW", "late_rows", "run_stream", "start_stream"]

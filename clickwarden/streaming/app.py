@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import sys
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,45 +12,56 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clickwarden import defaults
 from clickwarden.functions.events import parse_events, rejected_events
+from clickwarden.functions.times import duration_seconds
 from clickwarden.operators.blocklist import combine_detections
 from clickwarden.operators.detectors import (
     detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity)
 from clickwarden.session import build_session
 from clickwarden.sinks import Sink, blocklist_sink, cassandra_sink, console_sink, parquet_sink
 from clickwarden.sources import read_kafka_events, read_spool_events
-from clickwarden.streaming.run import AVAILABLE_NOW, run_stream, start_stream
+from clickwarden.streaming.run import AVAILABLE_NOW, late_rows, run_stream, start_stream
 
 # What the command line assumes where an option is not given.
 PRESETS = {
     "tumbling": {"window": defaults.WINDOW, "missing_views": "one"},
     "sliding": {"window": defaults.SLIDING_WINDOW, "slide": defaults.SLIDING_STEP, "missing_views": "drop",
-                "combine_window": defaults.COMBINE_WINDOW, "trigger": defaults.BATCH_INTERVAL,
-                "timeout": defaults.RUN_SECONDS},
+                "combine_window": defaults.COMBINE_WINDOW, "trigger": defaults.BATCH_INTERVAL},
 }
 
+# How often the two queries of an application are looked after.
+POLL_SECONDS = 1
+
 DETECTORS = ("all", "high_activity", "click_view_ratio", "category_spread")
 
 
 def run_app(raw: DataFrame, detect: Callable[[DataFrame], DataFrame], sink: Sink, checkpoint: str,
             mode: str = "append", trigger: str | None = None, timeout: float | None = None,
-            rejects_path: str | None = None) -> StreamingQuery:
+            rejects_path: str | None = None, rejects_sink: Sink | None = None) -> StreamingQuery:
     """Parse raw messages, detect, write; with `rejects_path`, also keep the unusable messages there.
 
     The rejects are a second query with its own read of the source: a stateful query writes one
-    result only.
+    result only. If either query fails, both stop and the failure is raised. `rejects_sink` is where the
+    rejects go instead of a Parquet table.
     """
-    rejects = None
-    if rejects_path is not None:
-        rejects = start_stream(rejected_events(raw), parquet_sink(rejects_path),
-                               f"{checkpoint}/rejects", trigger=trigger)
+    if rejects_path is not None and rejects_sink is None:
+        rejects_sink = parquet_sink(rejects_path)
+    if rejects_sink is None:
+        return run_stream(detect(parse_events(raw)), sink, f"{checkpoint}/detections", mode, trigger, timeout)
+    rejects = start_stream(rejected_events(raw), rejects_sink, f"{checkpoint}/rejects", trigger=trigger)
+    query = None
     try:
-        query = run_stream(detect(parse_events(raw)), sink, f"{checkpoint}/detections", mode, trigger, timeout)
-        if rejects is not None and trigger == AVAILABLE_NOW:
-            rejects.awaitTermination()
+        query = start_stream(detect(parse_events(raw)), sink, f"{checkpoint}/detections", mode, trigger)
+        end = None if timeout is None else time.monotonic() + timeout
+        while end is None or time.monotonic() < end:
+            # Waiting raises the failure of the query waited for.
+            done = [one.awaitTermination(POLL_SECONDS) for one in (query, rejects)]
+            if all(done):
+                break
         return query
     finally:
-        if rejects is not None:
-            rejects.stop()
+        for one in (query, rejects):
+            if one is not None:
+                one.stop()
 
 
 def build_detector(name: str, max_events: int = defaults.MAX_EVENTS, max_ratio: int = defaults.MAX_RATIO,
@@ -66,7 +79,8 @@ def build_detector(name: str, max_events: int = defaults.MAX_EVENTS, max_ratio:
         elif name == "high_activity":
             found = detect_high_activity(events, max_events, **common)
         elif name == "click_view_ratio":
-            found = detect_click_view_ratio(events, max_ratio, missing_views=missing_views, **common)
+            found = detect_click_view_ratio(events, max_ratio, missing_views=missing_views,
+                                            keep_passed=mode == "update", **common)
         else:
             found = detect_category_spread(events, max_categories, scope=scope, mode=mode, **common)
         return found if combine_window is None else combine_detections(found, window_duration=combine_window)
@@ -95,7 +109,7 @@ def parse_arguments(arguments: Sequence[str] | None = None) -> argparse.Namespac
 
     parser.add_argument("--preset", choices=tuple(PRESETS), default="tumbling",
                         help="tumbling: long windows, runs until stopped; sliding: short overlapping windows, "
-                             "detections merged, stops after about a minute")
+                             "detections merged")
     parser.add_argument("--detector", choices=DETECTORS, default="all")
     parser.add_argument("--max-events", type=int, default=defaults.MAX_EVENTS)
     parser.add_argument("--max-ratio", type=int, default=defaults.MAX_RATIO)
@@ -122,6 +136,8 @@ def parse_arguments(arguments: Sequence[str] | None = None) -> argparse.Namespac
         parser.error("--detector all and --combine-window need append mode")
     if options.scope == "all_windows" and options.detector == "category_spread" and options.mode == "append":
         parser.error("--scope all_windows needs update or complete mode")
+    if options.mode == "complete" and not options.console:
+        parser.error("complete mode sends all results again with each batch; use it with --console")
     if options.cassandra and options.cassandra.count(".") != 1:
         parser.error("--cassandra needs KEYSPACE.TABLE")
     return options
@@ -140,9 +156,14 @@ def main(arguments: Sequence[str] | None = None) -> None:
         options.slide, options.missing_views, options.scope, options.watermark, options.mode,
         options.combine_window)
     if options.blocklist:
-        sink = blocklist_sink(options.blocklist, options.detector, options.ttl)
+        delay = duration_seconds(options.watermark) if options.mode == "append" else 0
+        sink = blocklist_sink(options.blocklist, options.detector, options.ttl, delay_seconds=delay,
+                              early=options.mode == "update")
     elif options.cassandra:
         sink = cassandra_sink(*options.cassandra.split("."), ttl_seconds=options.ttl)
     else:
         sink = console_sink()
-    run_app(raw, detect, sink, options.checkpoint, options.mode, options.trigger, options.timeout, options.rejects)
+    query = run_app(raw, detect, sink, options.checkpoint, options.mode, options.trigger, options.timeout,
+                    options.rejects)
+    if late := late_rows(query):
+        print(f"{late} rows came behind the watermark and were dropped", file=sys.stderr)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from clickwarden.operators.counts import OUTPUT_MODES
-from clickwarden.sinks.tables import Sink
+from clickwarden.sinks.tables import MODES, Sink
 
 AVAILABLE_NOW = "available_now"
 
@@ -23,6 +23,8 @@ def start_stream(result: DataFrame, sink: Sink, checkpoint: str, mode: str = "ap
         raise ValueError("a checkpoint folder is needed; without one a restart reads everything again")
     if mode not in OUTPUT_MODES:
         raise ValueError(f"mode must be one of {OUTPUT_MODES}, not {mode!r}")
+    if mode not in getattr(sink, MODES, OUTPUT_MODES):
+        raise ValueError(f"this sink cannot be used in {mode} mode")
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if name is not None:
         writer = writer.queryName(name)
@@ -42,3 +44,9 @@ def run_stream(result: DataFrame, sink: Sink, checkpoint: str, mode: str = "appe
     finally:
         query.stop()
     return query
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were dropped, in the micro-batches Spark still reports."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for state in progress["stateOperators"])

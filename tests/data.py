@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 from clickwarden.sources import read_spool_events
 
+# The bot, its start, and below the categories and clicks of the fixture.
 BOT = "172.20.0.51"
 START = 1540559093
 SCHEMA = "ip string, category_id string, type string, timestamp timestamp"

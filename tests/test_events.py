@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clickwarden import (
     events_from_json_lines, events_from_table, filter_actions, ip_from_id, json_field, parse_events, read_json_events,
-    rejected_events, tag_events, to_json_lines, to_kafka_value, write_json_events)
+    rejected_events, rejected_rows, tag_events, to_json_lines, to_kafka_value, write_json_events)
 from clickwarden.functions.times import instant_to_wall_clock, plus_seconds, wall_clock_to_instant
 from tests.data import START, at, frame, line, many_users
 
@@ -19,6 +19,10 @@ REASONS = {
     "no json at all": "unreadable",
     '{"unix_time": 1540559093, "ip": "172.10.0.1"': "unreadable",
     '{"other": 1}': "unreadable",
+    '{"unix_time": 1540559093, "ip": "172.10.0.1"}{"unix_time": 1540559093, "ip": "172.10.0.2"}': "unreadable",
+    '{"unix_time": 1540559093, "ip": "172.10.0.1"}, {"unix_time": 1540559093, "ip": "172.10.0.2"}': "unreadable",
+    '{"unix_time": 1540559093, "ip": "172.10.0.1"} and more': "unreadable",
+    '[{"unix_time": 1540559093, "ip": "172.10.0.1"}, {"unix_time": 1540559093, "ip": "172.10.0.2"}]': "unreadable",
     '{"unix_time": 1540559093, "type": "click"}': "no_ip",
     '{"unix_time": 1540559093, "ip": null, "type": "click"}': "no_ip",
     '{"ip": "172.10.0.1", "type": "click"}': "no_time",
@@ -29,6 +33,7 @@ REASONS = {
     '{"unix_time": 92233720368547758070, "ip": "172.10.0.1"}': "bad_time",
     '{"unix_time": -62135596801, "ip": "172.10.0.1"}': "bad_time",
 }
+# The fields and values of these lines are fixed values of the event format.
 GOOD = [
     '{"unix_time": 1540559093, "category_id": 1000, "ip": "172.10.0.51", "type": "click"}',
     '     {"unix_time": 1540559093, "category_id": 1000, "ip": "172.10.0.51", "type": "click"}',
@@ -59,6 +64,27 @@ def test_bad_lines_are_kept_with_their_reason(raw):
     assert found == {**REASONS, None: "unreadable"}
 
 
+def test_files_and_lines_agree(spark, raw, tmp_path):
+    """Each line is an event or a reject, whichever way it is read."""
+    raw.where("value is not null").write.text(str(tmp_path / "lines"))
+    read = read_json_events(spark, str(tmp_path / "lines"))
+    assert sorted(map(str, read.collect())) == sorted(map(str, parse_events(raw).collect()))
+    rejected = rejected_events(spark.read.text(str(tmp_path / "lines")))
+    assert read.count() + rejected.count() == len(GOOD) + len(REASONS)
+
+
+def test_rows_without_an_ip_or_a_time_are_rejected(spark):
+    table = spark.createDataFrame(
+        [(None, 1, at(), "click"), (7, 2, None, "view"), (None, 3, None, "view"), (8, 4, at(), "click")],
+        "user_id long, k int, ts timestamp_ntz, event_type string").withColumn(
+        "props", F.concat(F.lit('{"k": '), "k", F.lit("}")))
+    assert [(row.ip, row.category_id) for row in events_from_table(table).collect()] == [("172.10.0.8", "4")]
+    assert sorted((row.k, row.reject_reason) for row in rejected_rows(table).collect()) == [
+        (1, "no_ip"), (2, "no_time"), (3, "no_ip")]
+    named = table.withColumn("ip", F.when(F.col("k") == 4, "a"))
+    assert [row.ip for row in events_from_table(named, ip=F.col("ip")).collect()] == ["a"]
+
+
 def test_nothing_is_lost_or_doubled(raw):
     assert parse_events(raw).count() + rejected_events(raw).count() == raw.count()
 

@@ -28,7 +28,8 @@ SHAPES = {
     "category_spread_per_window": (2, 1),
     "category_spread_all_windows": (2, 1),
     "detect_all": (2, 1),
-    "combined_blocklist": (5, 3),
+    "combined_blocklist": (3, 1),
+    "detections_union": (2, 1),
     "blocklist_with_expiry": (3, 1),
 }
 

@@ -1,0 +1,45 @@
+"""The session's settings, tried in a process of its own: one session at a time can run here."""
+
+import os
+import subprocess
+import sys
+
+SCRIPT = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from clickwarden.session import build_session
+
+if sys.argv[2] == "running":
+    first = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config(
+        "spark.sql.adaptive.skewJoin.enabled", "false").getOrCreate()
+    session = build_session(settings={"spark.sql.shuffle.partitions": "3"})
+else:
+    session = build_session(master="local[1]", settings={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "3"})
+for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.shuffle.partitions",
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"):
+    print("FOUND", session.conf.get(key, "unset"))
+session.stop()
+"""
+
+
+def settings(how, *submit):
+    arguments = " ".join([*submit, "pyspark-shell"])
+    found = subprocess.run([sys.executable, "-c", SCRIPT, os.getcwd(), how], capture_output=True, text=True, timeout=120,
+                           env={**os.environ, "PYSPARK_SUBMIT_ARGS": arguments})
+    return [line.split()[1] for line in found.stdout.splitlines() if line.startswith("FOUND")]
+
+
+def test_settings_apply_where_nothing_else_is_given():
+    assert settings("new") == ["UTC", "true", "3", "true"]
+
+
+def test_submitted_settings_are_left_alone():
+    given = settings("new", "--conf spark.sql.session.timeZone=America/New_York",
+                     "--conf spark.sql.adaptive.skewJoin.enabled=false")
+    assert given == ["America/New_York", "false", "3", "true"]
+
+
+def test_a_running_session_keeps_its_own():
+    assert settings("running", "--conf spark.sql.session.timeZone=America/New_York") == [
+        "America/New_York", "false", "3", "unset"]

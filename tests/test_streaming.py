@@ -1,5 +1,6 @@
+import os
 import uuid
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
@@ -11,9 +12,10 @@ from clickwarden import (
     rejected_events, to_kafka_value)
 from clickwarden.sinks import (
     blocklist_sink, cassandra_options, changes_sink, console_sink, kafka_sink, kafka_sink_options, parquet_sink,
-    read_blocklist, read_changes, read_snapshot, snapshot_sink, table_sink)
+    compact_blocklist, read_appended, read_blocklist, read_changes, read_snapshot, remove_expired, snapshot_sink,
+    table_sink)
 from clickwarden.sources import kafka_source_options, read_kafka_events, read_spool_events, stream_table
-from clickwarden.streaming import AVAILABLE_NOW, run_stream, start_stream
+from clickwarden.streaming import AVAILABLE_NOW, late_rows, run_stream, start_stream
 from clickwarden.streaming.app import build_detector, main, parse_arguments, run_app
 from tests.conftest import SMALL_STATE
 from tests.data import BOT, START, add_batch, ips, line, many_users, stream_from_batches
@@ -52,7 +54,7 @@ def run(result, folder, mode="append", keys=None):
     query = run_stream(result, sink, checkpoint, mode, AVAILABLE_NOW)
     assert query.exception() is None
     if mode == "append":
-        return spark.read.schema(result.schema).parquet(table)
+        return read_appended(spark, table, result.schema)
     return read_changes(spark, table, keys) if mode == "update" else read_snapshot(spark, table)
 
 
@@ -74,8 +76,10 @@ QUERIES = {
     "high": lambda e, mode, **more: detect_high_activity(e, 5, **more),
     "high_sliding": lambda e, mode, **more: detect_high_activity(
         e, 5, window_duration="4 minutes", slide_duration="2 minutes", **more),
-    "ratio_one": lambda e, mode, **more: detect_click_view_ratio(e, 4, **more),
-    "ratio_drop": lambda e, mode, **more: detect_click_view_ratio(e, 1, missing_views="drop", **more),
+    "ratio_one": lambda e, mode, **more: detect_click_view_ratio(
+        e, 4, keep_passed=mode == "update" and e.isStreaming, **more),
+    "ratio_drop": lambda e, mode, **more: detect_click_view_ratio(
+        e, 1, missing_views="drop", keep_passed=mode == "update" and e.isStreaming, **more),
     "spread": lambda e, mode, **more: detect_category_spread(e, 3, mode=mode, **more),
     "spread_sliding": lambda e, mode, **more: detect_category_spread(
         e, 3, window_duration="4 minutes", slide_duration="2 minutes", mode=mode, **more),
@@ -224,9 +228,7 @@ def test_reading_a_blocklist_skips_days_that_have_passed(spark, folder):
     path = str(folder / "blocklist")
     block(raw, path, str(folder / "checkpoint"))
     later = read_blocklist(spark, path, moment(5 * 86400))
-    plan = later._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(expires_on" in plan
-    assert later.count() == 0
+    assert not later.inputFiles() and later.count() == 0
 
 
 def test_a_replayed_batch_is_not_written_twice(spark, folder):
@@ -253,10 +255,119 @@ def test_writers_and_restarts_from_scratch_do_not_overwrite_each_other(spark, fo
 
 
 def test_blocklist_in_other_modes(spark, folder):
-    for mode in ("update", "complete"):
-        path = str(folder / f"blocklist-{mode}")
-        block(stream_from_batches(spark, folder / f"in-{mode}", *BATCHES), path, str(folder / mode), mode=mode)
-        assert ips(read_blocklist(spark, path, moment(1200))) == ["a", "b", "c"]
+    path = str(folder / "blocklist")
+    block(stream_from_batches(spark, folder / "in", *BATCHES), path, str(folder / "update"), mode="update")
+    assert ips(read_blocklist(spark, path, moment(1200))) == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="complete"):
+        block(stream_from_batches(spark, folder / "in2", *BATCHES), path, str(folder / "complete"), mode="complete")
+
+
+def test_early_entries_are_active_within_the_window(spark, folder):
+    found = detect_high_activity(stream(spark, folder, [busy("a", 1, 4), busy("a", 2, 4)]), 5, watermark_delay="1 minute")
+    sink = blocklist_sink(str(folder / "blocklist"), "all", 60, early=True)
+    run_stream(found, sink, str(folder / "c"), "update", AVAILABLE_NOW)
+    assert ips(read_blocklist(spark, str(folder / "blocklist"), moment(180))) == ["a"]
+    assert ips(read_blocklist(spark, str(folder / "blocklist"), moment(661))) == []
+
+
+def test_a_short_block_is_active_when_it_is_written(spark, folder):
+    """Windows, watermark and time to live as the README gives them."""
+    newest = WINDOW + 1200 + 5
+    add_batch(folder / "in", 0, [line(text_ip, 1, "click", WINDOW + 60) for text_ip in ["b"] * 1001 + ["u"] * 4])
+    add_batch(folder / "in", 1, [line("u", 1, "view", newest)])
+    main(["--spool", str(folder / "in"), "--blocklist", str(folder / "blocklist"), "--checkpoint", str(folder / "c"),
+          "--watermark", "10 minutes", "--trigger", AVAILABLE_NOW])
+    assert ips(read_blocklist(spark, str(folder / "blocklist"), datetime.fromtimestamp(newest, timezone.utc))) == ["b"]
+
+
+def test_expired_days_go_and_a_day_is_compacted(spark, folder):
+    path = str(folder / "blocklist")
+    days = [[line(f"ip{day}", 1, "click", WINDOW + day * 86400 + second) for second in range(6)] for day in range(5)]
+    raw = stream_from_batches(spark, folder / "in", *days, *[[line("z", 1, "view", WINDOW + 6 * 86400)]])
+    for writer in ("one", "two"):
+        block(raw, path, str(folder / writer), writer)
+    first = datetime.fromtimestamp(WINDOW, timezone.utc).date()
+    assert len(remove_expired(spark, path, first + timedelta(days=2))) == 2
+    left = sorted(ips(read_blocklist(spark, path)))
+    assert left == ["ip2", "ip2", "ip3", "ip3", "ip4", "ip4"]
+    later = read_blocklist(spark, path, moment(4 * 86400 + 700))
+    assert ips(later) == ["ip4"] and len(later.inputFiles()) == 2
+    before = sorted(map(str, read_blocklist(spark, path).drop("run", "batch_id").collect()))
+    compact_blocklist(spark, path, first + timedelta(days=3))
+    compact_blocklist(spark, path, first + timedelta(days=30))
+    assert sorted(map(str, read_blocklist(spark, path).drop("run", "batch_id").collect())) == before
+    assert ips(read_blocklist(spark, path, moment(3 * 86400 + 700))) == ["ip3"]
+
+
+def test_old_files_are_read(spark, folder):
+    inputs = folder / "in"
+    now = 1700000000
+    for number, age in enumerate([0, 30 * 86400, 86400]):
+        add_batch(inputs, number, busy(f"ip{number}", 1, 10))
+        os.utime(inputs / f"batch{number:03d}.json", (now - age, now - age))
+        run_stream(parse_events(read_spool_events(spark, str(inputs), 1)), parquet_sink(str(folder / "t")),
+                   str(folder / "c"), trigger=AVAILABLE_NOW)
+    assert spark.read.parquet(str(folder / "t")).count() == 30
+
+
+def test_a_second_checkpoint_on_the_same_folder_loses_and_mixes_nothing(spark, folder):
+    for number, ip in enumerate("ab"):
+        def events():
+            return parse_events(stream_from_batches(spark, folder / f"in{number}", busy(ip, 1, 5), busy(ip, 2, 2)))
+
+        run_stream(events(), parquet_sink(str(folder / "append")), str(folder / f"c{number}"), trigger=AVAILABLE_NOW)
+        counts = count_per_window(events()).select("ip", "n_events")
+        run_stream(counts, snapshot_sink(str(folder / "all")), str(folder / f"d{number}"), "complete", AVAILABLE_NOW)
+        run_stream(counts, changes_sink(str(folder / "changes")), str(folder / f"e{number}"), "update", AVAILABLE_NOW)
+    assert ips(read_appended(spark, str(folder / "append"), events().schema)) == ["a"] * 7 + ["b"] * 7
+    assert [tuple(row) for row in read_snapshot(spark, str(folder / "all")).collect()] == [("b", 7)]
+    assert [tuple(row) for row in read_changes(spark, str(folder / "changes"), ["ip"]).collect()] == [("b", 7)]
+    assert read_appended(spark, str(folder / "nothing"), events().schema).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["update", "complete"])
+def test_a_flag_can_be_withdrawn(spark, folder, mode):
+    batches = [busy("a", 1, 10), busy("a", 2, 10, kind="view")]
+    assert QUERIES["ratio_one"](everything(spark, batches), mode).count() == 0
+    found = run(QUERIES["ratio_one"](stream(spark, folder, batches[:1]), mode), folder, mode, KEYS)
+    assert ips(found) == ["a"]
+    found = run(QUERIES["ratio_one"](stream(spark, folder, batches), mode), folder, mode, KEYS)
+    assert ips(found) == []
+
+
+def test_a_burst_within_a_second_spreads_over_all_salts(spark):
+    burst = everything(spark, [[line("hot", 1, "click", WINDOW)] * 400]).withColumn("offset", F.monotonically_increasing_id())
+    salts = burst.select(F.pmod(F.xxhash64("offset"), F.lit(64)).alias("salt")).distinct().count()
+    assert salts > 60
+
+
+@pytest.mark.parametrize("salts", [1, 64])
+def test_salts_change_nothing(spark, folder, salts):
+    events = parse_events(stream_from_batches(spark, folder / "in", *BATCHES), keep=["file"])
+    counts = distinct_categories_per_window(events, watermark_delay="1 minute", mode="update", salts=salts,
+                                            salt_by=("timestamp", "file"))
+    table = counts.select("ip", F.col("window.start").alias("window_start"), "n_categories")
+    wanted = distinct_categories_per_window(everything(spark)).select(
+        "ip", F.col("window.start").alias("window_start"), "n_categories")
+    same(run(table, folder, "update", ["ip", "window_start"]), wanted)
+
+
+def test_a_failing_rejects_query_ends_the_application(spark, folder):
+    def fail(batch, batch_id):
+        raise RuntimeError("no room")
+
+    raw = stream_from_batches(spark, folder / "in", ["junk"])
+    with pytest.raises(StreamingQueryException, match="no room"):
+        run_app(raw, build_detector("high_activity", watermark_delay="1 minute"), parquet_sink(str(folder / "t")),
+                str(folder / "c"), timeout=60, rejects_sink=lambda writer: writer.foreachBatch(fail))
+    assert not spark.streams.active
+
+
+def test_late_rows_are_counted(spark, folder):
+    batches = [busy("a", 1, 6), [CLOSING], [CLOSING], busy("late", 1, 6)]
+    found = detect_high_activity(stream(spark, folder, batches), 5, watermark_delay="1 minute")
+    query = run_stream(found, parquet_sink(str(folder / "t")), str(folder / "c"), trigger=AVAILABLE_NOW)
+    assert late_rows(query) > 0
 
 
 def test_a_blocklist_nobody_is_on(spark, folder):
@@ -279,7 +390,7 @@ def test_many_entries_go_to_many_files(spark, folder):
 def test_only_two_snapshots_are_kept(spark, folder):
     counts = count_per_window(stream(spark, folder)).select("ip", "n_events")
     run_stream(counts, snapshot_sink(str(folder / "t")), str(folder / "c"), "complete", AVAILABLE_NOW)
-    assert sorted(entry.name for entry in (folder / "t").iterdir() if entry.is_dir()) == ["slot=0", "slot=1"]
+    assert sorted(entry.name for entry in (folder / "t").rglob("slot=*")) == ["slot=0", "slot=1"]
     same(read_snapshot(spark, str(folder / "t")), count_per_window(everything(spark)).select("ip", "n_events"))
 
 
@@ -313,7 +424,9 @@ def test_rocksdb_state(spark, folder):
 
 def test_console(spark, folder, capfd):
     counts = count_per_window(stream(spark, folder, [busy("shown", 1, 2)]))
-    run_stream(counts, console_sink(5), str(folder / "checkpoint"), "complete", AVAILABLE_NOW)
+    query = run_stream(counts, console_sink(5), str(folder / "checkpoint"), "complete", AVAILABLE_NOW)
+    assert query.exception() is None
+    assert sum(progress["numInputRows"] for progress in query.recentProgress) == 2
 
 
 def test_timeout_stops_the_query(spark, folder):
@@ -350,8 +463,10 @@ def test_run_stream_arguments(spark, folder, more):
 def test_spool_files_can_be_archived(spark, folder):
     inputs = folder / "in"
     add_batch(inputs, 0, busy("a", 1, 2))
+    add_batch(inputs, 1, busy("b", 1, 3))
     raw = read_spool_events(spark, str(inputs), 1, archive_directory=str(folder / "done"))
-    run(parse_events(raw), folder)
+    assert ips(run(parse_events(raw), folder)) == ["a", "a", "b", "b", "b"]
+    assert list((folder / "done").rglob("batch000.json")) and not (inputs / "batch000.json").exists()
 
 
 def test_table_as_stream(spark, folder):
@@ -401,6 +516,8 @@ def test_command_line(spark, folder, detector):
     "--spool x --console --mode update --detector high_activity --combine-window x",
     "--spool x --console --detector category_spread --scope all_windows --watermark x",
     "--spool x --cassandra table --watermark x",
+    "--spool x --cassandra k.t --mode complete --detector high_activity",
+    "--spool x --blocklist p --mode complete --detector high_activity",
     "--spool x --kafka h:1 --topic t --console --watermark x"])
 def test_arguments_that_cannot_work_are_refused(arguments, capsys):
     with pytest.raises(SystemExit):
@@ -413,7 +530,7 @@ def test_presets():
     assert (options.window, options.slide, options.missing_views, options.timeout) == ("10 minutes", None, "one", None)
     options = parse_arguments([*needed, "--preset", "sliding"])
     assert (options.window, options.slide, options.missing_views) == ("60 seconds", "30 seconds", "drop")
-    assert (options.combine_window, options.trigger, options.timeout) == ("60 seconds", "10 seconds", 65)
+    assert (options.combine_window, options.trigger, options.timeout) == ("60 seconds", "10 seconds", None)
     options = parse_arguments([*needed, "--preset", "sliding", "--window", "2 minutes", "--timeout", "5"])
     assert (options.window, options.slide, options.timeout) == ("2 minutes", "30 seconds", 5)
 
