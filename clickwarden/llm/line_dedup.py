@@ -18,13 +18,13 @@ from clickwarden.llm.common import keyed_texts, let, saved
 #: Edits between near lines, and the shortest line for which near counts: shorter ones must be equal.
 MAX_EDITS, LEAST_CHARS = 2, 30
 #: Pairs under one key beyond which it is refined, and how often that may happen.
-HOT_PAIRS, REFINEMENTS = 2_000, 6
+HOT_PAIRS, REFINEMENTS = 1_000, 6
+WHITE = " \t\n\x0b\x0c\r"
 #: Broadcast a table of this many rows at most.
 BROADCAST_ROWS = 200_000
 
 #: An entry may be found (1), looks for others (2), or both (3).
 FOUND, LOOKS, BOTH = 1, 2, 3
-ENTRY = "array<struct<key:bigint,role:int,start:int,size:int,delta:int,budget:int>>"
 
 
 def _places(budget: int, delta: int) -> list[tuple[int, int]]:
@@ -40,52 +40,63 @@ def _places(budget: int, delta: int) -> list[tuple[int, int]]:
     return out
 
 
-def _entries(text: Column, key: Column, role: Column | int, start: Column, size: Column, budget: int, delta: int) -> Column:
-    """The entries one level below (key, the part of `size` from `start`, from 0): array of ENTRY's structs."""
-    parts = budget + 1
-    other = size - delta  # the length of the text that may be found
-    base = F.floor(other / parts).cast("int")
-    longer = other - base * parts  # so many segments, the last ones, have one more
-    out = []
-    for j, shift in _places(budget, delta):
-        at = (j - 1) * base + F.greatest(F.lit(0), (j - 1) - (parts - longer))
-        length = base + F.when(F.lit(j) > parts - longer, 1).otherwise(0)
-        begin = at + shift
-        inside = (begin >= 0) & (begin + length <= size)
-        segment = F.substring(text, start + begin + 1, length)
-        left = j == parts and parts > 1  # the part that is refined next; else the right one
-        own_role = (F.when(F.lit(shift == 0 and delta == 0), role).otherwise(
-            F.when(role == FOUND, 0).otherwise(LOOKS)) if isinstance(role, Column)
-            else F.lit(BOTH if shift == 0 and delta == 0 else LOOKS))
-        out.append(F.struct(
-            F.when(inside, F.xxhash64(key, F.lit(j), segment)).alias("key"), own_role.cast("int").alias("role"),
-            (start if left else start + begin + length).cast("int").alias("start"),
-            (begin if left else size - begin - length).cast("int").alias("size"),
-            F.lit(shift if left else delta - shift).alias("delta"),
-            F.lit(j - 1 if left else budget + 1 - j).alias("budget")))
-    return F.filter(F.array(*out), lambda entry: entry["key"].isNotNull() & (entry["role"] > 0)).cast(ENTRY)
-
-
-def _refined(text: Column, entry: Column, max_edits: int) -> Column:
-    out = F.array().cast(ENTRY)
-    for budget in range(max_edits + 1):
-        for delta in range(-budget, budget + 1):
-            below = _entries(text, entry["key"], entry["role"], entry["start"], entry["size"], budget, delta)
-            out = F.when((entry["budget"] == budget) & (entry["delta"] == delta), below).otherwise(out)
-    return out
+def _placed(rows: DataFrame, places: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Each row with each of the places (budget, delta, segment, shift), as the column p."""
+    return rows.withColumn("p", F.explode(F.array(*[
+        F.struct(*[F.lit(value).alias(name) for name, value in zip(("budget", "delta", "j", "shift"), place, strict=True)])
+        for place in places])))
+
+
+def _entries(rows: DataFrame, *kept: str | Column) -> DataFrame:
+    """Rows (line, key, role, start, size, p) to entries one level below: key, role, start, size, delta, budget.
+
+    The part of `size` characters from `start` (from 0) is cut for the place p. Only unshifted segments are found; one
+    that is looked for is looked for at all places. Of the two parts beside a segment the right one is
+    refined next, for the last segment the left one.
+    """
+    parts, j, shift, delta = F.col("p.budget") + 1, F.col("p.j"), F.col("p.shift"), F.col("p.delta")
+    rows = rows.withColumn("other", F.col("size") - delta).withColumn("base", F.floor(F.col("other") / parts).cast("int"))
+    even = parts - (F.col("other") - F.col("base") * parts)  # so many segments come before those with one more
+    rows = rows.withColumns({
+        "length": F.col("base") + F.when(j > even, 1).otherwise(0),
+        "begin": (j - 1) * F.col("base") + F.greatest(F.lit(0), j - 1 - even) + shift,
+        "role": F.when((shift == 0) & (delta == 0), F.col("role")).when(F.col("role") == FOUND, 0).otherwise(LOOKS),
+        "left": (j == parts) & (parts > 1)})
+    begin, length, left = F.col("begin"), F.col("length"), F.col("left")
+    return rows.where((begin >= 0) & (begin + length <= F.col("size")) & (F.col("role") > 0)).select(
+        *kept, F.xxhash64("key", j, F.substring("line", F.col("start") + begin + 1, length)).alias("key"), "role",
+        F.when(left, F.col("start")).otherwise(F.col("start") + begin + length).alias("start"),
+        F.when(left, begin).otherwise(F.col("size") - begin - length).alias("size"),
+        F.when(left, shift).otherwise(delta - shift).alias("delta"),
+        F.when(left, j - 1).otherwise(parts - j).alias("budget"))
+
+
+def _line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
+    """The entries of whole lines, for each length that a line can be close to."""
+    places = [(max_edits, delta, j, shift) for delta in range(max_edits + 1) for j, shift in _places(max_edits, delta)]
+    sized = _placed(lines.select("h", "g", "line", F.char_length("line").alias("size")), places)
+    return _entries(sized.withColumns({"key": F.xxhash64(F.col("size") - F.col("p.delta")), "role": F.lit(BOTH),
+                                       "start": F.lit(0)}), "h", "g")
+
+
+def _refined(rows: DataFrame, max_edits: int) -> DataFrame:
+    """The entries one level below of rows (h, g, line, and an entry's columns)."""
+    places = [(budget, delta, j, shift) for budget in range(max_edits + 1) for delta in range(-budget, budget + 1)
+              for j, shift in _places(budget, delta)]
+    own = (F.col("p.budget") == F.col("budget")) & (F.col("p.delta") == F.col("delta"))
+    return _entries(_placed(rows, places).where(own).drop("budget", "delta"), "h", "g")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), number (from 0), line (without white space around it) and its hashes: the lines with a word."""
-    line = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    lines = F.transform(F.split("text", "\n"), lambda line: F.trim(line, F.lit(WHITE)))
     return (docs.where("text is not null").select(
-        "doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
-        .withColumn("line", line).where("line <> ''")
+        "doc_id", F.xxhash64("text").alias("t"), F.posexplode(lines).alias("number", "line")).where("line <> ''")
         .withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")}))
 
 
 def edits_at_most(a: Column, b: Column, limit: int) -> Column:
-    """Whether the edit distance of two texts is at most `limit`; `b` must be longer than that.
+    """Whether the edit distance of two texts is at most `limit`; both must be longer than that.
 
     The dynamic program keeps, of each column, the 2 * limit + 1 cells around the diagonal, as bits: vp and vn say where the distance
     grows or falls by one from a cell to the next one down. A column takes a handful of integer operations. The distance
@@ -127,10 +138,44 @@ def edits_at_most(a: Column, b: Column, limit: int) -> Column:
                          F.lit(limit).alias("distance"))
         return F.aggregate(F.sequence(F.lit(0), F.size(text) - 1), start, step)["distance"] <= limit
 
-    sides = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
+    sides = let(_middles(a, b, limit + 1), lambda s: F.struct(F.split(s["a"], "").alias("a"), F.split(s["b"], "").alias("b")))
     return F.when(F.abs(F.char_length(a) - F.char_length(b)) > limit, False).otherwise(let(sides, run))
 
 
+def _shared(a: Column, b: Column, most: Column) -> Column:
+    """How many characters two texts have in common at the start, `most` at most: one bit of the number after the other."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(30))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        (n + step <= most) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), n + step).otherwise(n))
+
+
+def _middles(a: Column, b: Column, least: int) -> Column:
+    """Two texts without what they share at the start and end, but with `least` characters of each: as far apart as before."""
+    room = F.least(F.char_length(a), F.char_length(b)) - least
+
+    def cut(n: Column) -> Column:
+        rest_a, rest_b = F.substring(a, n + 1, F.char_length(a)), F.substring(b, n + 1, F.char_length(b))
+        return let(_shared(F.reverse(rest_a), F.reverse(rest_b), room - n), lambda m: F.struct(
+            F.substring(rest_a, F.lit(1), F.char_length(rest_a) - m).alias("a"),
+            F.substring(rest_b, F.lit(1), F.char_length(rest_b) - m).alias("b")))
+
+    return let(_shared(a, b, room), cut)
+
+
+def _signatures(line: Column) -> list[Column]:
+    """64 bits each for how often characters, and pairs of neighbours, occur: one bit for odd and even of all with a hash.
+
+    An edit changes two characters and four pairs at most, and so at most as many bits.
+    """
+    def parity(hashes: Column) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, value: bits.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(value, F.lit(64)).cast("int"))))
+
+    chars = F.split(line, "")
+    return [let(chars, lambda c: parity(F.transform(c, lambda x: F.xxhash64(x)))).alias("one"),
+            let(chars, lambda c: parity(F.transform(c, lambda x, at: F.xxhash64(x, F.get(c, at + 1))))).alias("two")]
+
+
 def _small(frame: DataFrame) -> DataFrame:
     """The frame, to be broadcast if it is small."""
     frame = saved(frame)
@@ -140,34 +185,31 @@ def _small(frame: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Pairs (h_a, g_a, h_b, g_b) of different lines within max_edits, each pair once."""
     long = lines.where(F.char_length("line") >= max(least_chars, 2 * max_edits + 2))
-    size = F.char_length("line")
-    entries = F.concat(*[_entries(F.col("line"), F.xxhash64(size - delta), BOTH if delta == 0 else LOOKS, F.lit(0), size,
-                                  max_edits, delta) for delta in range(max_edits + 1)])
-    exploded = long.select("h", "g", F.explode(entries).alias("e"))
-    keys = (exploded.select("h", F.col("e.key").alias("key"), F.col("e.role").alias("role")).groupBy("key")
-            .agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bit_or("role").alias("role"))
+    entries = _line_entries(long, max_edits)
+    keys = (entries.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bit_or("role").alias("role"))
             .where((F.col("low") != F.col("high")) & (F.col("role") == BOTH)).select("key"))
-    state = saved(exploded.select("h", "g", "e.*").join(_small(keys), "key", "left_semi").distinct())
+    state = saved(entries.join(_small(keys), "key", "left_semi").distinct())
     wanted = _small(state.select("h", "g").distinct())
     texts = saved(long.select("h", "g", "line").join(wanted, ["h", "g"], "left_semi").groupBy("h", "g")
                   .agg(F.min("line").alias("line")))
+    signed = saved(texts.select("h", "g", *_signatures(F.col("line"))))
     pairs = None
     for again in range(REFINEMENTS + 1):
         found, looks = F.col("role").bitwiseAND(F.lit(FOUND)) > 0, F.col("role").bitwiseAND(F.lit(LOOKS)) > 0
         sums = state.groupBy("key").agg(F.count_if(found).alias("n"), F.count_if(looks).alias("m"))
         hot = F.col("n") * F.col("m") > (HOT_PAIRS if again < REFINEMENTS else 2**62)
-        marked = saved(state.join(sums.select("key", hot.alias("hot")), "key"))
+        marked = saved(state.join(sums.select("key", hot.alias("hot")), "key").join(signed, ["h", "g"]))
         cold = marked.where("not hot")
-        one = cold.where(found).select("key", F.col("h").alias("h_a"), F.col("g").alias("g_a"))
-        two = cold.where(looks).select("key", F.col("h").alias("h_b"), F.col("g").alias("g_b"))
+        one, two = (cold.where(side).select("key", *[F.col(name).alias(f"{name}_{letter}") for name in ("h", "g", "one", "two")])
+                    for side, letter in ((found, "a"), (looks, "b")))
         a, b = (F.struct(F.col(f"h_{side}").alias("h"), F.col(f"g_{side}").alias("g")) for side in "ab")
-        met = one.join(two, "key").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        differ = lambda name: F.bit_count(F.col(f"{name}_a").bitwiseXOR(F.col(f"{name}_b")))
+        close = (differ("one") <= 2 * max_edits) & (differ("two") <= 4 * max_edits)
+        met = one.join(two, "key").where((a != b) & close).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         pairs = met if pairs is None else pairs.union(met)
         if again == REFINEMENTS or (rest := marked.where("hot")).isEmpty():
             break
-        state = saved(rest.join(texts, ["h", "g"]).select("h", "g", F.explode(
-            _refined(F.col("line"), F.struct("key", "role", "start", "size", "delta", "budget"), max_edits)).alias("e"))
-            .select("h", "g", "e.*").distinct())
+        state = saved(_refined(rest.drop("hot", "one", "two").join(texts, ["h", "g"]), max_edits).distinct())
     pairs = saved(pairs.distinct().select(F.col("a.h").alias("h_a"), F.col("a.g").alias("g_a"),
                                           F.col("b.h").alias("h_b"), F.col("b.g").alias("g_b")))
     first, second = texts.toDF("h_a", "g_a", "line_a"), texts.toDF("h_b", "g_b", "line_b")
