@@ -26,10 +26,12 @@ from clickwarden.llm.common import WORD, keyed_texts, saved
 from clickwarden.llm.components import components
 
 #: Keys of a document in step 2, each of two minima; and about the most documents, and shingles, of a block.
-BANDS, BLOCK, BLOCK_SHINGLES = 3, 4096, 4_000_000
-#: Shingles that count as frequent: in so many documents of one task at least, and so many of them by total count. They only
-#: set the order, so the bound leaves nothing out.
-FREQUENT, MOST_FREQUENT = 3, 100_000
+BANDS, BLOCK, BLOCK_SHINGLES = 3, 4096, 1_000_000
+#: Documents that a task holds the sets of at once.
+GROUP = 512
+#: Shingles that count as frequent: in so many documents of one batch at least, and so many of them by total count. They only
+#: set the order, so the bound leaves nothing out; it keeps what is broadcast below 16 MB.
+FREQUENT, MOST_FREQUENT = 2, 1_000_000
 #: Broadcast this many ids at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -55,23 +57,32 @@ def shingle_hashes(text: str, n: int) -> np.ndarray:
     return np.unique(rolled)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.append(0, np.cumsum([part.size for part in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists as views of one array."""
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[begin:end] for begin, end in zip(ends, ends[1:], strict=False)]
+
+
 def shingle_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, fingerprint of the set (null if empty), keys for step 2, and the set itself, sorted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = [np.uint64(xxhash.xxh3_64_intdigest(bytes([at]))) for at in range(2 * BANDS)]
-        for batch in batches:
-            sets = [shingle_hashes(text.as_py(), n) for text in batch.column(1)]
+        for rows in (batch.slice(at, GROUP) for batch in batches for at in range(0, batch.num_rows, GROUP)):
+            sets = [shingle_hashes(text.as_py(), n) for text in rows.column(1)]
             prints, keys = [], []
             for found in sets:
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if found.size else None)
                 minima = [_mix(found ^ seed).min() for seed in seeds] if found.size else []
                 keys.append([xxhash.xxh3_64_intdigest(minima[2 * at].tobytes() + minima[2 * at + 1].tobytes(), at)
                              - 2**63 for at in range(BANDS)] if found.size else [])
-            ends = np.append(0, np.cumsum([found.size for found in sets])).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(prints, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                [rows.column(0), pa.array([found.size for found in sets], pa.int64()), pa.array(prints, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64())), _lists([found.view(np.int64) for found in sets])],
                 names=["doc_id", "n_shingles", "print", "keys", "shingles"])
 
     texts = keyed_texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
@@ -240,40 +251,40 @@ def _family_links(every: DataFrame, firsts: DataFrame, percent: int) -> DataFram
     return links
 
 
-def _frequent(sets: DataFrame) -> dict[int, int]:
-    """The most frequent shingles and their rank, the most frequent last. At most MOST_FREQUENT."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                tokens, counts = np.unique(np.concatenate(rows["shingles"].to_list()), return_counts=True)
-                often = counts >= FREQUENT
-                yield pd.DataFrame({"token": tokens[often], "n": counts[often]})
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their ranks, the most frequent last. At most MOST_FREQUENT."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, counts = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            often = counts >= FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(counts[often])], names=["token", "n"])
 
-    totals = (sets.where("n_shingles > 0").select("shingles").mapInPandas(count, "token long, n long")
+    totals = (sets.where("n_shingles > 0").select("shingles").mapInArrow(count, "token long, n long")
               .groupBy("token").agg(F.sum("n").alias("n")))
-    rows = totals.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
-    return {row["token"]: len(rows) - at for at, row in enumerate(rows)}
+    found = totals.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()["token"].to_numpy(np.int64)
+    order = np.argsort(found, kind="stable")
+    return found[order], len(found) - order
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(doc_id, size, tokens): each set's prefix; two sets that are alike share one of these shingles at least."""
-    frequent = _frequent(sets)
-    tokens = np.array(sorted(frequent), np.int64)
-    ranks = np.array([frequent[token] for token in tokens.tolist()], np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ranks = shared.value
+        for rows in (batch.slice(at, GROUP) for batch in batches for at in range(0, batch.num_rows, GROUP)):
             parts = []
-            for found in rows["shingles"]:
+            for found in _parts(rows.column(2)):
                 rank = np.zeros(found.size, np.int64)
                 if tokens.size:
                     at = np.minimum(np.searchsorted(tokens, found), tokens.size - 1)
                     rank = np.where(tokens[at] == found, ranks[at], 0)
                 length = found.size + (-percent * found.size // 100) + 1
                 parts.append(found[np.lexsort((found, rank))[:length]])
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "size": rows["n_shingles"], "tokens": parts})
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1).cast(pa.int32()), _lists(parts)],
+                                             names=["doc_id", "size", "tokens"])
 
-    return sets.where("n_shingles > 0").select("doc_id", "n_shingles", "shingles").mapInPandas(
+    return sets.where("n_shingles > 0").select("doc_id", "n_shingles", "shingles").mapInArrow(
         cut, "doc_id long, size int, tokens array<long>")
 
 
@@ -282,18 +293,19 @@ def _rest_links(every: DataFrame, firsts: DataFrame, roots: DataFrame, percent:
     ones = firsts.select(F.col("first").alias("doc_id")).distinct().join(
         roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     prefixes = saved(_prefixes(every, percent).join(ones, "doc_id").select(
-        F.explode("tokens").alias("token"), "doc_id", "size", F.coalesce("root", "doc_id").alias("root")))
+        F.posexplode("tokens").alias("place", "token"), "doc_id", "size", F.coalesce("root", "doc_id").alias("root")))
     shared = prefixes.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
         "low < high").select("token")
     rows = saved(prefixes.join(shared, "token"))
-    left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "size", "root")])
+    left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "size", "root", "place")])
                    for side in ("a", "b"))
+    needed = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent))
+    # At most the shingles before both places, this one and those behind both are shared.
+    reach = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     pairs = left.join(right, "token").where(
-        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b"))
-        & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a")))
+        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & (reach >= needed))
     # Behind its prefix a set has ceil(percent * size / 100) - 1 shingles, and of one of the two no more can be shared.
     behind = F.ceil(percent * F.greatest("size_a", "size_b") / 100) - 1
-    needed = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent))
     likely = saved(pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "size_a", "size_b")
                    .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + behind >= needed).select("a", "b"))
     ids = saved(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
