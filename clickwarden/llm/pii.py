@@ -120,13 +120,8 @@ def disclosing_terms(texts: DataFrame, mentions: DataFrame) -> DataFrame:
     sizes = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(
         F.col("n_entity") >= LEAST_CONTEXTS)
     pairs = saved(joint.join(sizes, "entity"))
-    wanted = saved(pairs.select("term").distinct())
-    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
-    if wanted.count() <= BROADCAST_ROWS:
-        words = words.join(F.broadcast(wanted), "term")
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    else:
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
+    counts = (texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term")
+              .agg(F.count(F.lit(1)).alias("n_term")))
     total = texts.agg(F.count(F.lit(1)).alias("n"))
     content = F.log2(F.col("n") / F.col("n_entity"))
     revealed = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
