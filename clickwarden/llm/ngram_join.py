@@ -30,8 +30,8 @@ BANDS, BLOCK, BLOCK_SHINGLES = 3, 4096, 1_000_000
 #: Documents that a task holds the sets of at once.
 GROUP = 512
 #: Shingles that count as frequent: in so many documents of one batch at least, and so many of them by total count. They only
-#: set the order, so the bound leaves nothing out; it keeps what is broadcast below 16 MB.
-FREQUENT, MOST_FREQUENT = 2, 1_000_000
+#: set the order, so the bound leaves nothing out; it keeps what reaches the driver and is broadcast below 4 MB.
+FREQUENT, MOST_FREQUENT = 2, 200_000
 #: Broadcast this many ids at most.
 BROADCAST_ROWS = 1_000_000
 
