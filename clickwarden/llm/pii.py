@@ -1,7 +1,7 @@
 """Personal data: what is found by pattern, and the terms that give it away by the company they keep.
 
 All of it is DataFrame functions. An entity is the normalised value of an email, ip, card or phone. Its contexts are the words
-around its mentions, each different context counted once, so that copies of a document add nothing. For a
+around its mentions. Of exact copies of a document one counts, on all sides, so that copies change nothing. For a
 term t in enough contexts of an entity e, the pointwise mutual information log2(p(e,t) / (p(e) p(t))) is the part of e's
 information content -log2 p(e) that t gives away. A term that gives away at least the share GENERALISE is replaced by its
 kind wherever it stands in a document that mentions e; from the share REMOVE on it is taken out.
@@ -95,8 +95,9 @@ def _term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
-def _terms(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.transform(F.split(text, BREAK), _term)), "")
+def _words(text: Column) -> Column:
+    """Every word's term, repeated ones too."""
+    return F.array_remove(F.transform(F.split(text, BREAK), _term), "")
 
 
 def _context(text: Column, span: Column, spans: Column) -> Column:
@@ -112,21 +113,32 @@ def _context(text: Column, span: Column, spans: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, _term)), "")
 
 
+def _copy(text: Column) -> Column:
+    """What exact copies of a text share."""
+    return F.md5(text.cast("binary"))
+
+
 def disclosing_terms(texts: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(entity, term, share): the terms that give away at least GENERALISE of an entity's information."""
-    contexts = mentions.select("entity", "terms").distinct()
-    joint = (contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term")
-             .agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_CONTEXTS))
-    sizes = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(
+    """(entity, term, share): the terms that give away at least GENERALISE of an entity's information.
+
+    All four counts are of words in distinct texts: all of them, those that are the term, mentions of the entity, and mentions
+    with the term in their context. Any number of exact copies of a document changes none of them.
+    """
+    distinct = mentions.dropDuplicates(["copy", "at"])
+    joint = (distinct.select("entity", "terms", F.explode("terms").alias("term")).groupBy("entity", "term", "terms")
+             .agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term")
+             .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS))
+    sizes = distinct.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(
         F.col("n_entity") >= LEAST_CONTEXTS)
     pairs = saved(joint.join(sizes, "entity"))
-    counts = (texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term")
-              .agg(F.count(F.lit(1)).alias("n_term")))
-    total = texts.agg(F.count(F.lit(1)).alias("n"))
+    words = texts.where("text is not null").dropDuplicates(["copy"]).select(F.explode(_words(F.col("text"))).alias("term"))
+    counts = saved(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    total = counts.agg(F.sum("n_term").alias("n"))
+    n_term = F.greatest(F.coalesce("n_term", "n_both"), "n_both")
     content = F.log2(F.col("n") / F.col("n_entity"))
-    revealed = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    revealed = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * n_term))
     share = F.when(content > 0, revealed / content).otherwise(F.lit(0.0))
-    return (pairs.join(counts, "term").join(F.broadcast(total)).withColumn("share", share)  # one row
+    return (pairs.join(counts, "term", "left").join(F.broadcast(total)).withColumn("share", share)  # one row
             .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
 
@@ -137,13 +149,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     in `keep` come along. Spans count code points of the given text; those that overlap are replaced as one.
     """
     texts = keyed_texts(docs, id_col, text_col, *keep)
+    copies = texts.select("doc_id", "text", _copy(F.col("text")).alias("copy"))
     kinds = list(PATTERNS)
-    found = texts.where(F.greatest(*[F.col("text").rlike(hint) for hint in HINTS.values()])).withColumn(
+    found = copies.where(F.greatest(*[F.col("text").rlike(hint) for hint in HINTS.values()])).withColumn(
         "spans", F.concat(*[base_spans(F.col("text"), kind) for kind in kinds]))
-    mentions = saved(found.where(F.size("spans") > 0).select("doc_id", "text", "spans", F.explode("spans").alias("span"))
-                     .select("doc_id", _entity(F.col("span")).alias("entity"),
+    mentions = saved(found.where(F.size("spans") > 0).select("doc_id", "copy", "text", "spans", F.posexplode("spans").alias("at", "span"))
+                     .select("doc_id", "copy", "at", _entity(F.col("span")).alias("entity"),
                              _context(F.col("text"), F.col("span"), F.col("spans")).alias("terms")))
-    disclosing = disclosing_terms(texts, mentions)
+    disclosing = disclosing_terms(copies, mentions)
     flagged = saved(mentions.select("doc_id", "entity").distinct().join(disclosing, "entity").groupBy("doc_id", "term")
                     .agg(F.max("share").alias("share")).groupBy("doc_id")
                     .agg(F.collect_set(F.struct("term", "share")).alias("flagged")))

@@ -87,6 +87,16 @@ def test_common_terms_and_copies_add_nothing(company):
     assert company[66]["text"] == "same odd words [EMAIL] odd same"
 
 
+def test_copies_of_any_document_change_nothing(spark, company):
+    texts = [f"{opening} zorbin mail ceo@corp.org today {closing}" for opening, closing in
+             [("red", "one"), ("green", "two"), ("blue", "three"), ("white", "four")]]
+    texts += ["mail the today one " * 3, "zorbin alone", "plain words in a mail here today"]
+    for copied in (0, 4, 5, 6):
+        rows = by_id(pii.sanitise(documents(spark, texts + [texts[copied]] * 1000)))
+        assert [[span["value"] for span in rows[at]["terms"]] for at in range(7)] == [["zorbin"]] * 4 + [[]] * 3
+        assert rows[0]["text"] == company[0]["text"]
+
+
 def test_terms_stand_only_where_the_entity_is(company):
     assert company[5]["text"] == "zorbin alone"
 
