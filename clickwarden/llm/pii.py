@@ -4,7 +4,9 @@ All of it is DataFrame functions. An entity is the normalised value of an email,
 around its mentions. Of exact copies of a document one counts, on all sides, so that copies change nothing. For a
 term t in enough contexts of an entity e, the pointwise mutual information log2(p(e,t) / (p(e) p(t))) is the part of e's
 information content -log2 p(e) that t gives away. A term that gives away at least the share GENERALISE is replaced by its
-kind wherever it stands in a document that mentions e; from the share REMOVE on it is taken out.
+kind wherever it stands in a document that mentions e; from the share REMOVE on it is taken out. Company is kept at two ranges,
+of which the greater share counts: the words near a mention, counted in words, and all words of a text that mentions e, however
+far from the mention, counted in texts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ PATTERNS = {
 #: A text without this has no mention of the kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Words on either side of a mention that are its context; contexts that an entity needs, and a term within them.
+#: Words on either side of a mention that are its context; different contexts, or distinct texts, that an entity and a
+#: term must have in common: with fewer, each rare word of a text would give away whatever the text mentions.
 CONTEXT_WORDS, LEAST_CONTEXTS = 5, 3
 GENERALISE, REMOVE = 0.8, 0.999
 #: Broadcast a table of this many rows at most.
@@ -118,28 +121,54 @@ def _copy(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def disclosing_terms(texts: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(entity, term, share): the terms that give away at least GENERALISE of an entity's information.
-
-    All four counts are of words in distinct texts: all of them, those that are the term, mentions of the entity, and mentions
-    with the term in their context. Any number of exact copies of a document changes none of them.
-    """
+def _near_pairs(mentions: DataFrame) -> DataFrame:
+    """(entity, term, n_entity, n_both): mentions in distinct texts, and those with the term in their context."""
     distinct = mentions.dropDuplicates(["copy", "at"])
     joint = (distinct.select("entity", "terms", F.explode("terms").alias("term")).groupBy("entity", "term", "terms")
              .agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term")
              .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS))
     sizes = distinct.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(
         F.col("n_entity") >= LEAST_CONTEXTS)
-    pairs = saved(joint.join(sizes, "entity"))
-    words = texts.where("text is not null").dropDuplicates(["copy"]).select(F.explode(_words(F.col("text"))).alias("term"))
-    counts = saved(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
-    total = counts.agg(F.sum("n_term").alias("n"))
+    return joint.join(sizes, "entity").select("entity", "term", "n_entity", "n_both")
+
+
+def _text_pairs(mentions: DataFrame, found: DataFrame) -> DataFrame:
+    """(entity, term, n_entity, n_both): distinct texts that mention the entity, and those that hold the term as well."""
+    once = saved(mentions.select("copy", "entity").distinct())
+    sizes = once.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= LEAST_CONTEXTS)
+    wanted = saved(once.join(sizes, "entity").groupBy("copy").agg(
+        F.collect_list(F.struct("entity", "n_entity")).alias("entities")))
+    few = wanted.count() <= BROADCAST_ROWS
+    company = found.join(F.broadcast(wanted) if few else wanted, "copy").dropDuplicates(["copy"])
+    unmarked = _rewritten(F.col("text"), ["spans"], F.lit(None), lambda span, flagged: F.lit(" "))
+    return (company.select("entities", F.explode(F.array_distinct(_words(unmarked))).alias("term"))
+            .select("term", F.inline("entities")).groupBy("entity", "term")
+            .agg(F.first("n_entity").alias("n_entity"), F.count(F.lit(1)).alias("n_both"))
+            .where(F.col("n_both") >= LEAST_CONTEXTS))
+
+
+def disclosing_terms(texts: DataFrame, mentions: DataFrame, found: DataFrame) -> DataFrame:
+    """(entity, term, share): the terms that give away at least GENERALISE of an entity's information.
+
+    All four counts are over distinct texts, so that any number of exact copies of a document changes none of them: near a
+    mention they are of words (all of them, the term, mentions, mentions with the term in their context), else of texts.
+    """
+    pairs = saved(_near_pairs(mentions).withColumn("near", F.lit(True)).union(
+        _text_pairs(mentions, found).withColumn("near", F.lit(False))))
+    words = _words(F.col("text"))
+    held = F.concat(F.transform(words, lambda term: F.struct(term.alias("term"), F.lit(True).alias("near"))),
+                    F.transform(F.array_distinct(words), lambda term: F.struct(term.alias("term"), F.lit(False).alias("near"))))
+    distinct = texts.where("text is not null").dropDuplicates(["copy"])
+    counts = saved(distinct.select(F.inline(held)).groupBy("term", "near").agg(F.count(F.lit(1)).alias("n_term")))
+    total = counts.agg(F.sum(F.when(F.col("near"), F.col("n_term"))).alias("n_words")).join(
+        texts.where("text is not null").agg(F.count_distinct("copy").alias("n_texts")))
+    n = F.when(F.col("near"), F.col("n_words")).otherwise(F.col("n_texts"))
     n_term = F.greatest(F.coalesce("n_term", "n_both"), "n_both")
-    content = F.log2(F.col("n") / F.col("n_entity"))
-    revealed = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * n_term))
+    content = F.log2(n / F.col("n_entity"))
+    revealed = F.log2(F.col("n_both") * n / (F.col("n_entity") * n_term))
     share = F.when(content > 0, revealed / content).otherwise(F.lit(0.0))
-    return (pairs.join(counts, "term", "left").join(F.broadcast(total)).withColumn("share", share)  # one row
-            .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    return (pairs.join(counts, ["term", "near"], "left").join(F.broadcast(total))  # one row
+            .groupBy("entity", "term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -152,11 +181,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     copies = texts.select("doc_id", "text", _copy(F.col("text")).alias("copy"))
     kinds = list(PATTERNS)
     found = copies.where(F.greatest(*[F.col("text").rlike(hint) for hint in HINTS.values()])).withColumn(
-        "spans", F.concat(*[base_spans(F.col("text"), kind) for kind in kinds]))
-    mentions = saved(found.where(F.size("spans") > 0).select("doc_id", "copy", "text", "spans", F.posexplode("spans").alias("at", "span"))
+        "spans", F.concat(*[base_spans(F.col("text"), kind) for kind in kinds])).where(F.size("spans") > 0)
+    mentions = saved(found.select("doc_id", "copy", "text", "spans", F.posexplode("spans").alias("at", "span"))
                      .select("doc_id", "copy", "at", _entity(F.col("span")).alias("entity"),
                              _context(F.col("text"), F.col("span"), F.col("spans")).alias("terms")))
-    disclosing = disclosing_terms(copies, mentions)
+    disclosing = disclosing_terms(copies, mentions, found)
     flagged = saved(mentions.select("doc_id", "entity").distinct().join(disclosing, "entity").groupBy("doc_id", "term")
                     .agg(F.max("share").alias("share")).groupBy("doc_id")
                     .agg(F.collect_set(F.struct("term", "share")).alias("flagged")))
@@ -179,14 +208,14 @@ def _label(span: Column, flagged: Column) -> Column:
         F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
 
 
-def _rewritten(text: Column, columns: list[str], flagged: Column) -> Column:
+def _rewritten(text: Column, columns: list[str], flagged: Column, label_of=_label) -> Column:
     every = F.sort_array(F.transform(F.concat(*columns), lambda span: F.struct(
         span["start"].alias("start"), (-span["stop"]).alias("back"), span.alias("span"))))
 
     def step(state: Column, row: Column) -> Column:
         span = row["span"]
         between = F.substring(text, state["place"] + 1, span["start"] - state["place"])
-        label = _label(span, flagged)
+        label = label_of(span, flagged)
         parts = F.when(span["start"] >= state["place"], F.concat(state["parts"], F.array(between, label)))
         return F.struct(F.greatest(state["place"], span["stop"]).alias("place"),
                         parts.otherwise(state["parts"]).alias("parts"))

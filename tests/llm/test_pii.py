@@ -97,6 +97,16 @@ def test_copies_of_any_document_change_nothing(spark, company):
         assert rows[0]["text"] == company[0]["text"]
 
 
+def test_terms_far_from_the_mention_are_found(spark):
+    between = lambda at: " ".join(f"w{at}x{n}" for n in range(60))
+    texts = [f"Zorbin {between(at)} boss@corp.org" for at in range(4)] + [f"common {between(at)} mail@all.org" for at in range(4, 40)]
+    texts += [f"common Kelda {between(at)} rare@two.org" for at in (40, 41)] + [f"common {between(at)}" for at in range(42, 50)]
+    rows = by_id(pii.sanitise(documents(spark, texts + [texts[40]] * 5)))
+    for at in range(4):
+        assert rows[at]["text"] == f" {between(at)} [EMAIL]"  # it stands nowhere else: taken out
+    assert not any(rows[at]["terms"] for at in range(4, 55))  # of the rest, no term tells, or two texts alone hold it
+
+
 def test_terms_stand_only_where_the_entity_is(company):
     assert company[5]["text"] == "zorbin alone"
 
