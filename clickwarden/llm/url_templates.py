@@ -1,7 +1,7 @@
 """URL filters: rules for hosts and paths, and for the other urls a tree of path templates with labels.
 
-Each host has a tree of its paths' segments. Level by level, a segment that is common below its node stays, and all rarer ones are
-variable and become a wildcard. Branches of one node whose labels do not differ significantly are merged, from the leaves up. A
+Each host has a tree of its paths' segments. Level by level, a segment with enough pages below its node stays, whatever
+share of the node that is, and all rarer ones are variable and become a wildcard. Branches of one node whose labels do not differ significantly are merged, from the leaves up. A
 template is rejected when the smoothed share of its labelled pages that are bad reaches a limit.
 """
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from clickwarden.llm.common import saved
 
-#: Levels of the tree (what is deeper becomes one last segment), and what a segment needs to stay: pages and share.
-LEVELS, LEAST_PAGES, LEAST_SHARE = 4, 5, 0.02
+#: Levels of the tree (what is deeper becomes one last segment), and the pages that a segment needs to stay.
+LEVELS, LEAST_PAGES = 4, 5
 #: Branches merge if their bad share is within so many standard errors of their common one.
 ALIKE = 1.96
 #: The smoothing adds so many pages with the corpus' bad share; a template with at least the limit is rejected.
@@ -53,11 +53,8 @@ def path_templates(pages: DataFrame) -> DataFrame:
     state = saved(pages.withColumn("template", F.array().cast("array<string>")))
     for level in range(LEVELS):
         state = state.withColumn("segment", F.get("segments", F.lit(level)))
-        counts = saved(state.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment")
-                       .agg(F.count(F.lit(1)).alias("n")))
-        totals = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        common = saved(counts.where(F.col("n") >= LEAST_PAGES).join(totals, ["host", "template"])
-                       .where(F.col("n") >= LEAST_SHARE * F.col("total"))
+        common = saved(state.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment")
+                       .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
                        .select("host", "template", "segment", F.lit(True).alias("stays")))
         small = common.count() <= BROADCAST_ROWS
         joined = state.join(F.broadcast(common) if small else common, ["host", "template", "segment"], "left")

@@ -78,5 +78,14 @@ def test_rare_segments_are_wildcards(spark):
     assert {tuple(row["template"]) for row in templated} == {("*", "posts", "*")}
 
 
+def test_bad_sections_of_a_host_with_many_are_rejected(spark):
+    urls = [f"http://a.com/part{at % 100}/{at}" for at in range(4000)]
+    bad = ("part7", "part50", "part99")
+    labels = marks(spark, [(str(at), float(url.split("/")[3] in bad)) for at, url in enumerate(urls) if at % 200 < 100])
+    rows = url_templates.judge_urls(pages(spark, urls), labels, []).collect()
+    assert {row["path"].split("/")[1] for row in rows if row["verdict"] == "block"} == set(bad)
+    assert sum(row["verdict"] == "block" for row in rows) == 120
+
+
 def test_empty_table(spark):
     assert not url_templates.judge_urls(pages(spark, []), marks(spark, []), URL_RULES).collect()
