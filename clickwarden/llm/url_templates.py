@@ -7,8 +7,10 @@ template is rejected when the smoothed share of its labelled pages that are bad
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from clickwarden.llm.common import saved
 
@@ -65,26 +67,47 @@ def path_templates(pages: DataFrame) -> DataFrame:
     return state.withColumn("template", F.when(deeper, F.concat("template", F.array(F.lit(DEEPER)))).otherwise(F.col("template")))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _groups(labelled: pd.Series, bad: pd.Series) -> pd.Series:
+    """The number of each one's group; they come in the order of their bad shares, those without labels first."""
+    out = []
+    for ns, bads in zip(labelled, bad, strict=True):
+        group, n, sum_bad, numbers = 0, 0.0, 0.0, []
+        for own, own_bad in zip(ns, bads, strict=True):
+            differs = n == 0 and own > 0 and bool(numbers)
+            if n and own:
+                pooled = (sum_bad + own_bad) / (n + own)
+                differs = own_bad / own - sum_bad / n > ALIKE * max(pooled * (1 - pooled) * (1 / own + 1 / n), 0.0) ** 0.5
+            if differs:
+                group, n, sum_bad = group + 1, 0.0, 0.0
+            n, sum_bad = n + own, sum_bad + own_bad
+            numbers.append(group)
+        out.append(numbers)
+    return pd.Series(out, dtype=object)
+
+
 def merged_templates(templates: DataFrame) -> DataFrame:
     """host, template, labelled, bad get `branch`: the template with merged segments marked and numbered, and its sums.
 
-    The branches of a node stand in the order of their bad shares, and one that does not differ from the one before it by a
-    two-proportion test joins it. Branches without labels make up one of their own.
+    The branches of a node stand in the order of their bad shares, those with equal shares being one. One that does not differ
+    by a two-proportion test from all labels of the group before it joins that group, else it begins the next. Branches without
+    labels make up a group of their own.
     """
     state = templates.withColumn("branch", F.col("template"))
     for level in reversed(range(LEVELS)):
         before, after = F.slice("branch", 1, level), F.slice("branch", level + 2, LEVELS + 1)
         siblings = F.concat(before, F.array(F.lit(MERGED)), after)
-        branches = (state.where(F.size("branch") > level).groupBy("host", "branch")
-                    .agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"))
-                    .withColumns({"siblings": siblings, "share": F.try_divide("bad", "n")}))
-        order = Window.partitionBy("host", "siblings").orderBy("share", "branch")
-        n, bad = F.lag("n").over(order), F.lag("bad").over(order)
-        pooled = F.try_divide(F.col("bad") + bad, F.col("n") + n)
-        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), n)))
-        differs = F.coalesce(F.col("share") - F.try_divide(bad, n) > ALIKE * error, (n == 0) & (F.col("n") > 0), F.lit(False))
-        numbered = branches.withColumn("differs", differs.cast("int")).withColumn(
-            "group", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        branches = saved(state.where(F.size("branch") > level).groupBy("host", "branch")
+                         .agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"))
+                         .withColumns({"siblings": siblings, "share": F.try_divide("bad", "n")}))
+        # A row for each node, with its different shares: with N labels of 0 or 1 fewer than 3 N^(2/3).
+        shares = (branches.groupBy("host", "siblings", "share").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").alias("bad"))
+                  .groupBy("host", "siblings").agg(F.sort_array(F.collect_list(F.struct("share", "n", "bad"))).alias("own")))
+        grouped = shares.select("host", "siblings", "own", _groups("own.n", "own.bad").alias("groups")).select(
+            "host", "siblings", F.inline(F.arrays_zip(F.col("own.share").alias("share"), F.col("groups").alias("group"))))
+        grouped = grouped.select(*[F.col(name).alias(f"of_{name}") for name in ("host", "siblings", "share")], "group")
+        numbered = branches.join(grouped, (F.col("host") == F.col("of_host")) & (F.col("siblings") == F.col("of_siblings"))
+                                 & F.col("share").eqNullSafe(F.col("of_share")))
         joined = F.concat(before, F.array(F.concat(F.lit(MERGED), F.col("group").cast("string"))), after)
         alone = F.count(F.lit(1)).over(Window.partitionBy("host", "siblings", "group")) == 1
         merged = numbered.select("host", "branch", F.when(alone, F.col("branch")).otherwise(joined).alias("merged"))

@@ -87,5 +87,13 @@ def test_bad_sections_of_a_host_with_many_are_rejected(spark):
     assert sum(row["verdict"] == "block" for row in rows) == 120
 
 
+def test_a_ladder_of_shares_does_not_join_good_and_bad(spark):
+    rows = [("a.com", [f"part{bad}"], 5, float(bad)) for bad in range(6)] + [("a.com", ["none"], 0, 0.0)]
+    frame = spark.createDataFrame(rows, "host string, template array<string>, labelled long, bad double")
+    found = {row["template"][0]: row for row in url_templates.merged_templates(frame).collect()}
+    sums = {name: (row["branch_labelled"], row["branch_bad"]) for name, row in found.items()}
+    assert sums == {f"part{bad}": (20, 6.0) if bad < 4 else (10, 9.0) for bad in range(6)} | {"none": (0, 0.0)}
+
+
 def test_empty_table(spark):
     assert not url_templates.judge_urls(pages(spark, []), marks(spark, []), URL_RULES).collect()
