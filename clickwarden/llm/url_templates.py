@@ -14,7 +14,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from clickwarden.llm.common import saved
 
-#: Levels of the tree (what is deeper becomes one last segment), and the pages that a segment needs to stay.
+#: Levels of the tree at least, and the pages that a segment needs to stay. The tree goes on as deep as any segment of a host's
+#: paths has that many pages in one place; only what is deeper, where nothing can stay, becomes one last segment.
 LEVELS, LEAST_PAGES = 4, 5
 #: Branches merge if their bad share is within so many standard errors of their common one.
 ALIKE = 1.96
@@ -45,15 +46,22 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 
 def _segments(path: Column) -> Column:
-    every = F.array_remove(F.split(path, "/"), "")
-    return F.when(F.size(every) <= LEVELS, every).otherwise(
-        F.concat(F.slice(every, 1, LEVELS), F.array(F.lit(DEEPER))))
+    return F.array_remove(F.split(path, "/"), "")
+
+
+def _depth(pages: DataFrame) -> int:
+    """Levels below which no segment can stay; LEVELS at least."""
+    deep = pages.where(F.size("segments") > LEVELS).select("host", F.posexplode("segments").alias("at", "segment"))
+    often = deep.where(F.col("at") >= LEVELS).groupBy("host", "at", "segment").agg(F.count(F.lit(1)).alias("n"))
+    last = often.where(F.col("n") >= LEAST_PAGES).agg(F.max("at").alias("last")).first()["last"]
+    return LEVELS if last is None else last + 1
 
 
 def path_templates(pages: DataFrame) -> DataFrame:
     """Pages with host and `segments` get `template`: the segments with variable ones as wildcards."""
+    levels = _depth(pages)
     state = saved(pages.withColumn("template", F.array().cast("array<string>")))
-    for level in range(LEVELS):
+    for level in range(levels):
         state = state.withColumn("segment", F.get("segments", F.lit(level)))
         common = saved(state.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment")
                        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
@@ -63,7 +71,7 @@ def path_templates(pages: DataFrame) -> DataFrame:
         step = F.when(F.col("stays"), F.col("segment")).otherwise(F.lit(WILD))
         state = saved(joined.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(
             F.concat("template", F.array(step)))).drop("segment", "stays"))
-    deeper = F.size("segments") > LEVELS
+    deeper = F.size("segments") > levels
     return state.withColumn("template", F.when(deeper, F.concat("template", F.array(F.lit(DEEPER)))).otherwise(F.col("template")))
 
 
@@ -93,9 +101,10 @@ def merged_templates(templates: DataFrame) -> DataFrame:
     by a two-proportion test from all labels of the group before it joins that group, else it begins the next. Branches without
     labels make up a group of their own.
     """
+    levels = templates.agg(F.max(F.size("template")).alias("levels")).first()["levels"] or 0
     state = templates.withColumn("branch", F.col("template"))
-    for level in reversed(range(LEVELS)):
-        before, after = F.slice("branch", 1, level), F.slice("branch", level + 2, LEVELS + 1)
+    for level in reversed(range(levels)):
+        before, after = F.slice("branch", 1, level), F.slice("branch", level + 2, levels)
         siblings = F.concat(before, F.array(F.lit(MERGED)), after)
         branches = saved(state.where(F.size("branch") > level).groupBy("host", "branch")
                          .agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"))

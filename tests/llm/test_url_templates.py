@@ -95,5 +95,15 @@ def test_a_ladder_of_shares_does_not_join_good_and_bad(spark):
     assert sums == {f"part{bad}": (20, 6.0) if bad < 4 else (10, 9.0) for bad in range(6)} | {"none": (0, 0.0)}
 
 
+def test_deep_segments_tell(spark):
+    urls = [f"http://a.com/2024/05/12/en/{'casino' if at % 4 == 0 else 'news'}/{at}" for at in range(400)]
+    urls += [f"http://a.com/1/2/3/4/5/6/7/8/9/{at}" for at in range(400, 404)]
+    labels = marks(spark, [(str(at), float(at % 4 == 0)) for at in range(200)])
+    rows = {row["page_id"]: row for row in url_templates.judge_urls(pages(spark, urls), labels, []).collect()}
+    assert len(rows) == 404
+    assert all(rows[at]["verdict"] == ("block" if at < 400 and at % 4 == 0 else "allow") for at in rows)
+    assert rows[0]["template"] == "/2024/05/12/en/casino/*"
+
+
 def test_empty_table(spark):
     assert not url_templates.judge_urls(pages(spark, []), marks(spark, []), URL_RULES).collect()
