@@ -112,9 +112,12 @@ class Index:
         return Index(pages, pivots, radii, parts, most)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, vec_id, score: the k best of all rows with another id; ties go to the smaller vec_id."""
+        """query_id, vec_id, score: the k best of all rows with another id; ties go to the smaller vec_id.
+
+        Equal (id, vector) queries are one; each different vector under an id is asked for itself, as `ask`.
+        """
         size = self.pivots.shape[1]
-        queries = saved(queries)
+        queries = saved(saved(queries.dropDuplicates(["vec_id", "vector"])).withColumn("ask", F.monotonically_increasing_id()))
         blocks = max(1, -(-queries.count() // BLOCK))
         pivots, lifts, radii, parts, most = self.pivots, self.lifts, self.radii, self.parts, self.most
 
@@ -136,7 +139,7 @@ class Index:
                     part = np.arange(len(at)) - np.maximum.accumulate(
                         np.where(np.append(True, (np.diff(at) != 0) | (np.diff(pivot) != 0)), np.arange(len(at)), 0)) \
                         if len(at) else at
-                    yield rows.iloc[at].assign(pivot=pivot.astype(np.int32), part=part.astype(np.int32))
+                    yield rows.iloc[at].assign(up=away[at, pivot], pivot=pivot.astype(np.int32), part=part.astype(np.int32))
 
             return run
 
@@ -144,23 +147,23 @@ class Index:
             return _search_subtree(pages, asked, k, size, most)
 
         def searched(asked: DataFrame, home: bool) -> DataFrame:
-            spread = asked.mapInPandas(visit(home), "query_id long, vector array<long>, least double, pivot int, part int")
-            spread = spread.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+            spread = asked.mapInPandas(visit(home), "ask long, query_id long, vector array<long>, least double, up double, pivot int, part int")
+            spread = spread.withColumn("block", F.pmod(F.xxhash64("ask"), F.lit(blocks)).cast("int"))
             pages = self.pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
             keys = ("pivot", "part", "block")
             return saved(pages.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
-                find, "query_id long, vec_id long, score long"))
+                find, "ask long, query_id long, vec_id long, score long"))
 
-        asked = queries.select(F.col("vec_id").alias("query_id"), "vector", F.lit(float("-inf")).alias("least"))
+        asked = queries.select("ask", F.col("vec_id").alias("query_id"), "vector", F.lit(float("-inf")).alias("least"))
         first = searched(asked, True)
-        kth = _best(first, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-        rest = asked.join(kth, "query_id", "left").select(
-            "query_id", "vector", F.coalesce("kth", "least").alias("least"))
+        kth = _best(first, k).where(F.col("rank") == k).select("ask", F.col("score").cast("double").alias("kth"))
+        rest = asked.join(kth, "ask", "left").select(
+            "ask", "query_id", "vector", F.coalesce("kth", "least").alias("least"))
         return _best(first.union(searched(rest, False)), k).select("query_id", "rank", "vec_id", "score")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -173,11 +176,16 @@ def _reach(points: np.ndarray, least: np.ndarray, most: float) -> np.ndarray:
 
 def _search_subtree(pages: pd.DataFrame, asked: pd.DataFrame, k: int, size: int, most: float) -> pd.DataFrame:
     """Best first: each query takes its pages in the order of their bounds, until none can hold a better entry."""
-    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+    empty = pd.DataFrame({"ask": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
     if not len(pages) or not len(asked):
         return empty
     points, names = _matrix(asked["vector"], size), asked["query_id"].to_numpy()
     least = asked["least"].to_numpy(float).copy()
+    # A page's routing point lies at least |d(query, pivot) - d(routing, pivot)| away: pages that this rules out cost no distance.
+    least_away = np.abs(asked["up"].to_numpy(float)[:, None] - pages["to_parent"].to_numpy()) - pages["radius"].to_numpy()
+    pages = pages[(least_away <= _reach(points, least, most)[:, None]).any(0)]
+    if not len(pages):
+        return empty
     routing, lifts = _matrix(pages["routing"], size), pages["lift"].to_numpy()
     away = _distances(points, np.zeros(len(points)), routing, lifts)
     bounds = np.maximum(away - pages["radius"].to_numpy(), 0)
@@ -217,7 +225,7 @@ def _search_subtree(pages: pd.DataFrame, asked: pd.DataFrame, k: int, size: int,
             least[mine] = np.maximum(least[mine], scores[mine, -1])
     held = np.isfinite(scores)
     at, _ = np.nonzero(held)
-    return pd.DataFrame({"query_id": names[at], "vec_id": ids[held], "score": scores[held].astype(np.int64)})
+    return pd.DataFrame({"ask": asked["ask"].to_numpy()[at], "query_id": names[at], "vec_id": ids[held], "score": scores[held].astype(np.int64)})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame | None, k: int, scale: int = 64, id_col: str = "vec_id",
@@ -226,7 +234,8 @@ def top_k(vectors: DataFrame, queries: DataFrame | None, k: int, scale: int = 64
 
     Both tables hold (id, vector); components count as floor(scale * x), and short vectors as if zeros followed. A query does not find rows with
     its own id. Null ids, null vectors and vectors with null or non-finite components take no part. Fewer rows than
-    k: all of them. A row that is there twice is found twice. `queries` None: every row is one.
+    k: all of them. A row that is there twice is found twice, but asked for once; each different vector under one id is
+    a query with ranks of its own. `queries` None: every row is one.
     """
     rows = saved(scaled(vectors, id_col, vector_col, scale))
     asked = rows if queries is None else scaled(queries, id_col, vector_col, scale)

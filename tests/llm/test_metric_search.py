@@ -47,6 +47,21 @@ def test_few_rows_and_none(spark):
     assert found(metric_search.top_k(spark.createDataFrame([], schema), None, 3)) == []
 
 
+def test_repeated_queries(spark, monkeypatch):
+    for name, value in {"REGION": 10, "PAGE": 4}.items():
+        monkeypatch.setattr(metric_search, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(at, rng.normal(size=4).tolist()) for at in range(200)]
+    schema = "vec_id long, embedding array<double>"
+    frame = spark.createDataFrame(rows, schema)
+    got = found(metric_search.top_k(frame, spark.createDataFrame([rows[3], rows[3], rows[8]], schema), 20))
+    assert got == brute(rows, lambda key: key in (3, 8), 20)
+    other = (3, rows[9][1])  # another vector under the same id
+    got = found(metric_search.top_k(frame, spark.createDataFrame([rows[3], other], schema), 20))
+    alone = [found(metric_search.top_k(frame, spark.createDataFrame([one], schema), 20)) for one in (rows[3], other)]
+    assert got == sorted(alone[0] + alone[1])
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(row["vec_id"], row["embedding"]) for row in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
