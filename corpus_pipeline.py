@@ -42,9 +42,15 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    found = ngram_join.near_duplicates(docs, n=5, percent=80)
-    return _without(docs, found.where("doc_id <> component_id"), "doc_id").select(*COLUMNS)
+    """One row, that with the smallest id, of each group of near-duplicates.
+
+    Rows are told apart by numbers of their own: those that share an id may hold different texts, and equal ones are copies.
+    """
+    rows = saved(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    found = ngram_join.near_duplicates(rows, n=5, percent=80, id_col="row").withColumnRenamed("doc_id", "row")
+    named = saved(found.select("row", "component_id").join(rows.select("row", "doc_id"), "row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    return _without(rows, named.select("row").join(first.select("row"), "row", "left_anti"), "row").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,15 @@ def test_near_duplicates(steps):
     assert texts(steps[3]) == {key: text for key, text in before.items() if first[key][1] == key}
 
 
+def test_near_duplicates_under_shared_ids(spark):
+    long, other = " ".join(f"word{at}" for at in range(50)), " ".join(f"term{at}" for at in range(50))
+    rows = [(1, long), (2, long), (2, other), (3, other + " x"), (4, "a b c d e f g"), (4, "a b c d e f g"), (None, long)]
+    docs = spark.createDataFrame([(key, text, "en", "src", len(text)) for key, text in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted(((row["doc_id"], row["text"]) for row in kept), key=str) == [(1, long), (2, other), (4, "a b c d e f g")]
+
+
 def test_personal_data(steps):
     before, after = texts(steps[3]), texts(steps[4])
     assert before.keys() == after.keys()
