@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickwarden.llm import bpe, divergence_rules, language_id, line_dedup, metric_search, ngram_join, packing, pii, quality_gam, url_templates
+from clickwarden.llm import (
+    alignment, bpe, decontamination, divergence_rules, language_id, lexical_search, line_dedup, metric_search, ngram_join, packing, pii,
+    quality_gam, url_templates)
 from clickwarden.llm.common import table
 
 
@@ -68,6 +70,19 @@ def op10_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     return url_templates.judge_urls(table(spark, folder, "pages"), labels, URL_RULES)
 
 
+def op11_impact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+def op12_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_support(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_segmentation_language_id": op1_segmentation_language_id,
     "op2_quality_gam": op2_quality_gam,
@@ -79,6 +94,50 @@ QUERIES = {
     "op8_disclosing_terms": op8_disclosing_terms,
     "op9_mtree_search": op9_mtree_search,
     "op10_path_templates": op10_path_templates,
+    "op11_impact_search": op11_impact_search,
+    "op12_winnowing_decontamination": op12_winnowing_decontamination,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_impact_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY ALL),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        c AS (SELECT count(*) FILTER (len(words) > 0) AS n, sum(len(words))::BIGINT AS l FROM d),
+        w AS (SELECT term, floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, c.n),
+        m AS (SELECT r, doc_id, 100 - 50 + (50 * len(words) * c.n) // c.l AS m FROM d, c WHERE len(words) > 0),
+        s AS (
+            SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL HAVING score > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s
+        QUALIFY rank <= 50
+    """,
+    "op12_winnowing_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        b AS (
+            SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (
+            SELECT DISTINCT item, least(10, len(words)) AS size, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS win
+            FROM (SELECT *, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)),
+        dw AS (
+            SELECT r, i, size, array_to_string(words[i:i + size - 1], ' ') AS win FROM (
+                SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS i
+                FROM d, (SELECT DISTINCT size FROM bw) WHERE len(words) >= size)),
+        hit AS (SELECT DISTINCT r, i, size, win FROM dw SEMI JOIN bw USING (size, win)),
+        covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+        named AS (
+            SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT r, item FROM hit JOIN bw USING (size, win)) GROUP BY r)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+    """,
+}
