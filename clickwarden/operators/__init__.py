@@ -1,14 +1,16 @@
 from clickwarden.operators.blocklist import (
-    active_blocklist, blocklist, combine_detections, exclude_ips, preview, union_detections)
+    active_blocklist, blocklist, combine_detections, exclude_ips, first_of_each_ip, preview, union_detections)
 from clickwarden.operators.counts import (
-    action_counts_per_window, activity_per_window, category_pair_counts, category_window_pairs,
+    action_counts_per_window, activity_per_window, category_pair_counts, category_window_pairs, category_words,
     count_per_window, distinct_categories_per_window, with_window)
 from clickwarden.operators.detectors import (
     detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity, flagged_ips)
+from clickwarden.operators.panes import category_dictionary
 
 __all__ = [
-    "active_blocklist", "blocklist", "combine_detections", "exclude_ips", "preview", "union_detections",
-    "action_counts_per_window", "activity_per_window", "category_pair_counts", "category_window_pairs",
+    "active_blocklist", "blocklist", "combine_detections", "exclude_ips", "first_of_each_ip", "preview", "union_detections",
+    "action_counts_per_window", "activity_per_window", "category_dictionary", "category_pair_counts", "category_window_pairs",
+    "category_words",
     "count_per_window", "distinct_categories_per_window", "with_window",
     "detect_all", "detect_category_spread", "detect_click_view_ratio", "detect_high_activity", "flagged_ips",
 ]

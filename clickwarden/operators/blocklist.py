@@ -34,6 +34,21 @@ def combine_detections(*detections: DataFrame, window_duration: str = COMBINE_WI
         F.window_time("window").alias("event_time"), "n_detections", "reasons")
 
 
+def first_of_each_ip(rows: DataFrame, hold: str, time_col: str = "timestamp") -> DataFrame:
+    """One row for each ip, on a stream in append mode as soon as the ip is first seen.
+
+    For alarms that should not be repeated, on events or on detections that carry no watermark yet. A stream keeps an ip until the watermark, which
+    runs `hold` behind the latest row, has come `hold` past the ip's first row; after that the ip may come
+    again, so state holds the ips of twice that time at most. Which of an ip's rows of one micro-batch is kept is not
+    said. A batch gives the earliest row of each ip, as a stream does that holds longer than the batch lasts.
+    """
+    if rows.isStreaming:
+        return rows.withWatermark(time_col, hold).dropDuplicatesWithinWatermark(["ip"])
+    others = [name for name in rows.columns if name != "ip"]
+    first = rows.groupBy("ip").agg(F.min_by(F.struct(*others), F.struct(time_col, *others)).alias("row"))
+    return first.select("ip", "row.*").select(*rows.columns)
+
+
 def blocklist(detections: DataFrame, ttl_seconds: int = TTL_SECONDS, delay_seconds: int = 0,
               early: bool = False) -> DataFrame:
     """Entries `ip, blocked_at, expires_at` and the reasons.

@@ -1,7 +1,9 @@
 """Activity per ip and event-time window: the aggregations under the detectors.
 
 Each takes a batch or streaming frame of events. `slide_duration` makes the windows slide;
-`watermark_delay` bounds a stream's state and lets it run in append mode.
+`watermark_delay` bounds a stream's state and lets it run in append mode. Sliding windows are put together from panes
+(see `panes`) on batches, and on streams that run in append mode; Spark refuses the second aggregation this takes
+in update and complete mode, where each event is repeated for its windows instead.
 
 A bot may be a third of all rows. Every shuffle here therefore follows a map-side partial
 aggregation, or (early category results on streams) a salted de-duplication, so that a hot ip
@@ -12,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clickwarden.defaults import CLICK, VIEW, WINDOW
 from clickwarden.functions.events import filter_actions
 from clickwarden.functions.times import event_window
+from clickwarden.operators.panes import category_bits, in_windows, pane_seconds, window_runs
 
 OUTPUT_MODES = ("append", "update", "complete")
 
@@ -25,6 +28,11 @@ DEDUP_SALTS = 16
 SALT_BY = ("timestamp", "type")
 
 
+# Counts by name, as SQL.
+EVENT_COUNT = {"n_events": "count(1)"}
+ACTION_COUNTS = {"clicks": f"count_if(type = '{CLICK}')", "views": f"count_if(type = '{VIEW}')"}
+
+
 def with_window(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
                 watermark_delay: str | None = None) -> DataFrame:
     """Events with the `window` they fall into; a sliding window repeats the event."""
@@ -33,15 +41,36 @@ def with_window(events: DataFrame, window_duration: str = WINDOW, slide_duration
     return events.withColumn("window", event_window("timestamp", window_duration, slide_duration))
 
 
+def by_panes(events: DataFrame, window_duration: str, slide_duration: str | None, mode: str | None = None) -> bool:
+    """Whether the windows can be put together from panes; `mode` is the output mode of a stream, None if it may be any."""
+    return pane_seconds(window_duration, slide_duration) is not None and (not events.isStreaming or mode == "append")
+
+
+def with_pane(events: DataFrame, window_duration: str, slide_duration: str, watermark_delay: str | None = None) -> DataFrame:
+    """Events with the pane of the sliding windows they fall into, as `window`."""
+    return with_window(events, f"{pane_seconds(window_duration, slide_duration)} seconds", None, watermark_delay)
+
+
+def _summed(events: DataFrame, counts: dict[str, str], window_duration: str, slide_duration: str | None,
+            watermark_delay: str | None, mode: str | None) -> DataFrame:
+    """(ip, window, counts), through panes where that can be."""
+    tallies = [F.expr(count).alias(name) for name, count in counts.items()]
+    if not by_panes(events, window_duration, slide_duration, mode):
+        windowed = with_window(events, window_duration, slide_duration, watermark_delay)
+        return windowed.groupBy("ip", "window").agg(*tallies)
+    panes = with_pane(events, window_duration, slide_duration, watermark_delay).groupBy("ip", "window").agg(*tallies)
+    return in_windows(panes, window_duration, slide_duration).groupBy("ip", "window").agg(
+        *[F.sum(name).alias(name) for name in counts])
+
+
 def count_per_window(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
-                     watermark_delay: str | None = None) -> DataFrame:
-    """(ip, window, n_events): all events, whatever their type."""
-    windowed = with_window(events, window_duration, slide_duration, watermark_delay)
-    return windowed.groupBy("ip", "window").agg(F.count(F.lit(1)).alias("n_events"))
+                     watermark_delay: str | None = None, mode: str | None = None) -> DataFrame:
+    """(ip, window, n_events): all events, whatever their type. `mode` is the output mode a stream will run in, if known."""
+    return _summed(events, EVENT_COUNT, window_duration, slide_duration, watermark_delay, mode)
 
 
 def action_counts_per_window(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
-                             watermark_delay: str | None = None) -> DataFrame:
+                             watermark_delay: str | None = None, mode: str | None = None) -> DataFrame:
     """(ip, window, clicks, views) where there is a click or a view; other types do not count.
 
     One aggregation for both counts, not a join of two: a join shuffles twice, and on a stream it
@@ -51,10 +80,7 @@ def action_counts_per_window(events: DataFrame, window_duration: str = WINDOW, s
     """
     if not events.isStreaming:
         events = filter_actions(events, CLICK, VIEW)
-    windowed = with_window(events, window_duration, slide_duration, watermark_delay)
-    counts = windowed.groupBy("ip", "window").agg(
-        F.count_if(F.col("type") == CLICK).alias("clicks"),
-        F.count_if(F.col("type") == VIEW).alias("views"))
+    counts = _summed(events, ACTION_COUNTS, window_duration, slide_duration, watermark_delay, mode)
     return counts.filter("clicks > 0 or views > 0") if events.isStreaming else counts
 
 
@@ -83,9 +109,35 @@ def category_pair_counts(events: DataFrame, window_duration: str = WINDOW, slide
     """(ip, window, category_id, n_events, clicks, views): the finest grouping any detector needs."""
     windowed = with_window(events, window_duration, slide_duration, watermark_delay)
     return windowed.groupBy("ip", "window", "category_id").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_if(F.col("type") == CLICK).alias("clicks"),
-        F.count_if(F.col("type") == VIEW).alias("views"))
+        *[F.expr(count).alias(name) for name, count in {**EVENT_COUNT, **ACTION_COUNTS}.items()])
+
+
+def category_words(events: DataFrame, window_duration: str, slide_duration: str, watermark_delay: str | None = None,
+                   counts: dict[str, str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """(ip, window, word, other, bits, counts): the categories of each sliding window as bits, from panes merged by OR.
+
+    The different categories of a group are the `bit_count` of its bits; see `category_bits` for words and `dictionary`,
+    a frame (category_id, code). A row of state is a word of 64 categories, so an ip and window has one for each 64
+    of the dictionary at most. On streams, append mode only.
+    """
+    counts = counts or {}
+    paned = with_pane(events, window_duration, slide_duration, watermark_delay)
+    if dictionary is not None:
+        paned = paned.join(dictionary.select("category_id", "code"), "category_id", "left")
+    coded = paned.select("*", *category_bits(dictionary is not None))
+    keys = ["ip", "window", "word", "other"]
+    panes = coded.groupBy(*keys).agg(F.bit_or("bit").alias("bits"), *[F.expr(count).alias(name) for name, count in counts.items()])
+    return in_windows(panes, window_duration, slide_duration).groupBy(*keys).agg(
+        F.bit_or("bits").alias("bits"), *[F.sum(name).alias(name) for name in counts])
+
+
+def window_activity(events: DataFrame, window_duration: str, slide_duration: str, keep: Column,
+                    sums: dict[str, str], categories: bool) -> DataFrame:
+    """(ip, window, sums, n_categories if asked for) of the sliding windows of a batch for which `keep` holds, by running sums."""
+    by = ["category_id"] if categories else []
+    panes = with_pane(events, window_duration, slide_duration).groupBy("ip", "window", *by).agg(
+        *[F.expr(count).alias(name) for name, count in (sums or EVENT_COUNT).items()])
+    return window_runs(panes, window_duration, slide_duration, list(sums), keep, by)
 
 
 def distinct_categories_per_window(events: DataFrame, window_duration: str = WINDOW,
@@ -100,6 +152,9 @@ def distinct_categories_per_window(events: DataFrame, window_duration: str = WIN
     """
     if mode not in OUTPUT_MODES:
         raise ValueError(f"mode must be one of {OUTPUT_MODES}, not {mode!r}")
+    if by_panes(events, window_duration, slide_duration, mode):
+        return category_words(events, window_duration, slide_duration, watermark_delay).groupBy("ip", "window").agg(
+            F.sum(F.bit_count("bits")).alias("n_categories"))
     if events.isStreaming and mode == "append":
         windowed = with_window(events, window_duration, slide_duration, watermark_delay)
         pairs = windowed.groupBy("ip", "window", "category_id").agg(F.count(F.lit(1)).alias("n_events"))
@@ -111,6 +166,11 @@ def distinct_categories_per_window(events: DataFrame, window_duration: str = WIN
 def activity_per_window(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
                         watermark_delay: str | None = None) -> DataFrame:
     """(ip, window, n_events, clicks, views, n_categories) from one scan; on streams, append mode only."""
+    if by_panes(events, window_duration, slide_duration, "append"):
+        words = category_words(events, window_duration, slide_duration, watermark_delay, {**EVENT_COUNT, **ACTION_COUNTS})
+        return words.groupBy("ip", "window").agg(
+            *[F.sum(name).alias(name) for name in (*EVENT_COUNT, *ACTION_COUNTS)],
+            F.sum(F.bit_count("bits")).alias("n_categories"))
     pairs = category_pair_counts(events, window_duration, slide_duration, watermark_delay)
     return pairs.groupBy("ip", "window").agg(
         F.sum("n_events").alias("n_events"), F.sum("clicks").alias("clicks"), F.sum("views").alias("views"),

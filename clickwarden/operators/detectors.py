@@ -3,6 +3,9 @@
 All return `ip, window_start, window_end, event_time`, what the ip was flagged for, and the numbers
 behind it. `event_time` is the last instant of the window; on a stream it carries the watermark, so
 that detections can be windowed again. All limits are strict: a group equal to its limit passes.
+
+`mode` is the output mode a stream will run in: naming "append" lets sliding windows be put together from panes. Batches
+with many windows to a pane write out the flagged windows only (`panes.window_runs`).
 """
 
 from __future__ import annotations
@@ -11,10 +14,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickwarden.defaults import MAX_CATEGORIES, MAX_EVENTS, MAX_RATIO, WINDOW
+from clickwarden.defaults import CLICK, MAX_CATEGORIES, MAX_EVENTS, MAX_RATIO, VIEW, WINDOW
+from clickwarden.functions.events import filter_actions
 from clickwarden.operators.counts import (
-    DEDUP_SALTS, SALT_BY, action_counts_per_window, activity_per_window, category_window_pairs, count_per_window,
-    distinct_categories_per_window)
+    ACTION_COUNTS, DEDUP_SALTS, EVENT_COUNT, SALT_BY, action_counts_per_window, activity_per_window, category_window_pairs,
+    count_per_window, distinct_categories_per_window, window_activity)
+from clickwarden.operators.panes import RUNS_FROM, windows_of_a_pane
 
 HIGH_ACTIVITY = "high_activity"
 CLICK_VIEW_RATIO = "click_view_ratio"
@@ -22,16 +27,21 @@ CATEGORY_SPREAD = "category_spread"
 
 
 def detect_high_activity(events: DataFrame, max_events: int = MAX_EVENTS, window_duration: str = WINDOW,
-                         slide_duration: str | None = None, watermark_delay: str | None = None) -> DataFrame:
+                         slide_duration: str | None = None, watermark_delay: str | None = None,
+                         mode: str | None = None) -> DataFrame:
     """Ips with more than `max_events` events, of any type, in a window."""
-    counts = count_per_window(events, window_duration, slide_duration, watermark_delay)
-    flagged = counts.filter(F.col("n_events") > _limit("max_events", max_events))
+    too_many = F.col("n_events") > _limit("max_events", max_events)
+    if _in_runs(events, window_duration, slide_duration):
+        flagged = window_activity(events, window_duration, slide_duration, too_many, EVENT_COUNT, False)
+    else:
+        flagged = count_per_window(events, window_duration, slide_duration, watermark_delay, mode).filter(too_many)
     return _detections(flagged, F.lit(HIGH_ACTIVITY).alias("reason"), "n_events")
 
 
 def detect_click_view_ratio(events: DataFrame, max_ratio: int = MAX_RATIO, window_duration: str = WINDOW,
                             slide_duration: str | None = None, missing_views: str = "one",
-                            watermark_delay: str | None = None, keep_passed: bool = False) -> DataFrame:
+                            watermark_delay: str | None = None, keep_passed: bool = False,
+                            mode: str | None = None) -> DataFrame:
     """Ips whose clicks divided by views, rounded down, exceed `max_ratio` in a window.
 
     With `missing_views="one"` an ip without views is judged as if it had one; with `"drop"`, which
@@ -39,8 +49,12 @@ def detect_click_view_ratio(events: DataFrame, max_ratio: int = MAX_RATIO, windo
     in update mode tells only if the groups that pass are sent too: `keep_passed` keeps them,
     with a column `flagged` by which `read_changes` leaves them out.
     """
-    counts = action_counts_per_window(events, window_duration, slide_duration, watermark_delay)
     flagged = _too_many_clicks(max_ratio, missing_views)
+    if _in_runs(events, window_duration, slide_duration):
+        counts = window_activity(filter_actions(events, CLICK, VIEW), window_duration, slide_duration,
+                                 F.lit(True) if keep_passed else flagged, ACTION_COUNTS, False)
+    else:
+        counts = action_counts_per_window(events, window_duration, slide_duration, watermark_delay, mode)
     counts = counts.withColumn("flagged", flagged) if keep_passed else counts.filter(flagged)
     return _detections(counts, F.lit(CLICK_VIEW_RATIO).alias("reason"), "clicks", "views",
                        F.expr("clicks div greatest(views, 1)").alias("ratio"), *["flagged"] * keep_passed)
@@ -60,6 +74,9 @@ def detect_category_spread(events: DataFrame, max_categories: int = MAX_CATEGORI
     """
     limit = _limit("max_categories", max_categories)
     reason = F.lit(CATEGORY_SPREAD).alias("reason")
+    if scope == "per_window" and _in_runs(events, window_duration, slide_duration):
+        counts = window_activity(events, window_duration, slide_duration, F.col("n_categories") > limit, {}, True)
+        return _detections(counts, reason, "n_categories")
     if scope == "per_window":
         counts = distinct_categories_per_window(events, window_duration, slide_duration, watermark_delay, mode,
                                                 salts, salt_by)
@@ -90,7 +107,10 @@ def detect_all(events: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int =
     }
     any_test = tests[HIGH_ACTIVITY] | tests[CLICK_VIEW_RATIO] | tests[CATEGORY_SPREAD]
     reasons = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
-    activity = activity_per_window(events, window_duration, slide_duration, watermark_delay)
+    if _in_runs(events, window_duration, slide_duration):
+        activity = window_activity(events, window_duration, slide_duration, any_test, {**EVENT_COUNT, **ACTION_COUNTS}, True)
+    else:
+        activity = activity_per_window(events, window_duration, slide_duration, watermark_delay)
     return _detections(activity.filter(any_test), reasons.alias("reasons"),
                        "n_events", "clicks", "views", "n_categories")
 
@@ -107,10 +127,15 @@ def _too_many_clicks(max_ratio: int, missing_views: str) -> Column:
     return too_many & (F.col("views") > 0) if missing_views == "drop" else too_many
 
 
+def _in_runs(events: DataFrame, window_duration: str, slide_duration: str | None) -> bool:
+    return not events.isStreaming and windows_of_a_pane(window_duration, slide_duration) >= RUNS_FROM
+
+
 def _detections(flagged: DataFrame, *columns) -> DataFrame:
+    end = F.col("window.end")
+    last = F.window_time("window") if flagged.isStreaming else end - F.make_dt_interval(secs=F.lit(0.000001))
     return flagged.select(
-        "ip", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        F.window_time("window").alias("event_time"), *columns)
+        "ip", F.col("window.start").alias("window_start"), end.alias("window_end"), last.alias("event_time"), *columns)
 
 
 def _limit(name: str, value: int):

@@ -12,7 +12,7 @@ from clickwarden.functions import (
     events_from_table, filter_actions, parse_events, rejected_events, rejected_rows, to_json_lines, to_kafka_value)
 from clickwarden.functions.times import as_instant, as_wall_clock
 from clickwarden.operators import (
-    action_counts_per_window, active_blocklist, blocklist, category_window_pairs, combine_detections,
+    action_counts_per_window, active_blocklist, blocklist, category_dictionary, category_window_pairs, category_words, combine_detections,
     count_per_window, detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity,
     distinct_categories_per_window, exclude_ips, flagged_ips, preview, union_detections)
 from clickwarden.session import scratch_dir
@@ -21,6 +21,8 @@ from clickwarden.sources import read_json_events
 
 DAY = "1 day"
 TWO_DAYS = "2 days"
+# A day every hour: 24 windows to a pane.
+HOUR = "1 hour"
 MAX_EVENTS = 5
 MAX_EVENTS_SLIDING = 8
 MAX_RATIO = 1
@@ -104,6 +106,35 @@ def category_counts(spark, sf_dir):
     return plain(distinct_categories_per_window(events(spark, sf_dir), TWO_DAYS, DAY))
 
 
+def counts_by_the_hour(spark, sf_dir):
+    return plain(count_per_window(events(spark, sf_dir), DAY, HOUR))
+
+
+def categories_by_the_hour(spark, sf_dir):
+    """From bits merged over panes; a third of the categories get their codes from a dictionary, the others keep their names."""
+    table = events(spark, sf_dir)
+    folder = scratch_dir(spark)
+    category_dictionary(table.filter(F.col("category_id").cast("int") % 3 == 0)).write.parquet(folder)
+    words = category_words(table, DAY, HOUR, dictionary=spark.read.parquet(folder))
+    return plain(words.groupBy("ip", "window").agg(F.sum(F.bit_count("bits")).alias("n_categories")))
+
+
+def high_activity_by_the_hour(spark, sf_dir):
+    return plain(detect_high_activity(events(spark, sf_dir), MAX_EVENTS, DAY, HOUR))
+
+
+def click_view_ratio_by_the_hour(spark, sf_dir):
+    return plain(detect_click_view_ratio(events(spark, sf_dir), MAX_RATIO, DAY, HOUR))
+
+
+def category_spread_by_the_hour(spark, sf_dir):
+    return plain(detect_category_spread(events(spark, sf_dir), MAX_CATEGORIES, DAY, HOUR))
+
+
+def all_detectors_by_the_hour(spark, sf_dir):
+    return plain(detect_all(events(spark, sf_dir), MAX_EVENTS, MAX_RATIO, MAX_CATEGORIES, DAY, HOUR))
+
+
 def high_activity(spark, sf_dir):
     return plain(detect_high_activity(events(spark, sf_dir), MAX_EVENTS, DAY))
 
@@ -212,6 +243,12 @@ QUERIES = {
     "action_counts_per_window": action_counts,
     "category_window_pairs": category_pairs,
     "distinct_categories_per_window": category_counts,
+    "count_per_window_hourly": counts_by_the_hour,
+    "distinct_categories_hourly": categories_by_the_hour,
+    "high_activity_hourly": high_activity_by_the_hour,
+    "click_view_ratio_hourly": click_view_ratio_by_the_hour,
+    "category_spread_hourly": category_spread_by_the_hour,
+    "detect_all_hourly": all_detectors_by_the_hour,
     "high_activity_tumbling": high_activity,
     "high_activity_sliding": high_activity_sliding,
     "click_view_ratio_one": click_view_ratio_one,

@@ -20,6 +20,11 @@ sliding as (
          window_start - step * interval '1 day' + interval '2 days' as window_end
   from daily cross join (values (0), (1)) steps(step)
 ),
+hourly as (
+  select ip, category_id, type, hour - step * interval '1 hour' as window_start,
+         hour - step * interval '1 hour' + interval '1 day' as window_end
+  from (select *, time_bucket(interval '1 hour', timestamp) as hour from ev) cross join range(24) steps(step)
+),
 bounds as (select max(ts) - interval '1 hour' as watermark from events)
 """
 
@@ -82,18 +87,21 @@ HIGH = high_activity("daily", batch.MAX_EVENTS)
 RATIO_ONE = ratio_one("daily")
 SPREAD = category_spread("daily", batch.MAX_CATEGORIES)
 
-DETECT_ALL = f"""
+def detect_all(windows: str) -> str:
+    return f"""
  select ip, window_start, window_end,
         concat_ws(',', case when n_events > {batch.MAX_EVENTS} then 'high_activity' end,
                   case when clicks // greatest(views, 1) > {batch.MAX_RATIO} then 'click_view_ratio' end,
                   case when n_categories > {batch.MAX_CATEGORIES} then 'category_spread' end) as reasons,
         n_events, clicks, views, n_categories
  from (select ip, window_start, window_end, count(*) as n_events, {CLICKS} as clicks, {VIEWS} as views,
-              {CATEGORIES} as n_categories from daily {GROUP})
+              {CATEGORIES} as n_categories from {windows} {GROUP})
  where n_events > {batch.MAX_EVENTS} or clicks // greatest(views, 1) > {batch.MAX_RATIO}
        or n_categories > {batch.MAX_CATEGORIES}
 """
 
+
+DETECT_ALL = detect_all("daily")
 UNION = " union all ".join(f"select ip, window_start, window_end, reason from ({part})"
                            for part in (HIGH, RATIO_ONE, SPREAD))
 
@@ -141,6 +149,14 @@ SQL = {
         " select distinct ip, window_start, window_end, category_id from daily"),
     "distinct_categories_per_window": with_events(
         f" select ip, window_start, window_end, {CATEGORIES} as n_categories from sliding {GROUP}"),
+    "count_per_window_hourly": with_events(
+        f" select ip, window_start, window_end, count(*) as n_events from hourly {GROUP}"),
+    "distinct_categories_hourly": with_events(
+        f" select ip, window_start, window_end, {CATEGORIES} as n_categories from hourly {GROUP}"),
+    "high_activity_hourly": with_events(high_activity("hourly", batch.MAX_EVENTS)),
+    "click_view_ratio_hourly": with_events(ratio_one("hourly")),
+    "category_spread_hourly": with_events(category_spread("hourly", batch.MAX_CATEGORIES)),
+    "detect_all_hourly": with_events(detect_all("hourly")),
     "high_activity_tumbling": with_events(HIGH),
     "high_activity_sliding": with_events(high_activity("sliding", batch.MAX_EVENTS_SLIDING)),
     "click_view_ratio_one": with_events(RATIO_ONE),
@@ -188,6 +204,9 @@ from events where user_id % 7 = 3 or event_type = 'error' group by 1, 2
     "stream_high_activity_update": COMPLETE_HIGH,
     "stream_high_activity_append": closed(HIGH),
     "stream_high_activity_sliding": closed(high_activity("sliding", batch.MAX_EVENTS_SLIDING)),
+    "stream_high_activity_hourly": closed(high_activity("hourly", batch.MAX_EVENTS)),
+    "stream_detect_all_hourly": closed(detect_all("hourly")),
+    "stream_dedup_ips": with_events(" select distinct ip from ev"),
     "stream_click_view_ratio": with_events(RATIO_ONE),
     "stream_click_view_ratio_sliding": closed(ratio_join("sliding")),
     "stream_category_spread_append": closed(SPREAD),

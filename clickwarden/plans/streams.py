@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickwarden.functions import events_from_table, parse_events, rejected_events
 from clickwarden.functions.times import duration_seconds
 from clickwarden.operators import (
-    combine_detections, detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity)
+    combine_detections, detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity, first_of_each_ip)
 from clickwarden.plans import batch
 from clickwarden.session import scratch_dir
 from clickwarden.sinks import (
@@ -25,6 +25,7 @@ from clickwarden.sources import read_spool_events, stream_table
 from clickwarden.streaming import AVAILABLE_NOW, run_stream
 
 WATERMARK = "1 hour"
+HOLD = "60 days"
 WINDOW_KEYS = ["ip", "window_start", "window_end"]
 STEPS = 3
 
@@ -87,10 +88,25 @@ def high_activity(mode):
 
 def high_activity_sliding(spark, sf_dir):
     found = detect_high_activity(stream_events(spark, sf_dir), batch.MAX_EVENTS_SLIDING, batch.TWO_DAYS, batch.DAY,
-                                 watermark_delay=WATERMARK)
+                                 watermark_delay=WATERMARK, mode="append")
     return finish(spark, found, "append")
 
 
+def high_activity_by_the_hour(spark, sf_dir):
+    return finish_in_steps(spark, sf_dir, lambda events: detect_high_activity(
+        events, batch.MAX_EVENTS, batch.DAY, batch.HOUR, watermark_delay=WATERMARK, mode="append"), "append")
+
+
+def all_detectors_by_the_hour(spark, sf_dir):
+    return finish_in_steps(spark, sf_dir, lambda events: detect_all(
+        events, batch.MAX_EVENTS, batch.MAX_RATIO, batch.MAX_CATEGORIES, batch.DAY, batch.HOUR, watermark_delay=WATERMARK), "append")
+
+
+def each_ip_once(spark, sf_dir):
+    """Every ip of the events, told when it is first seen; held longer than the events last."""
+    return finish_in_steps(spark, sf_dir, lambda events: first_of_each_ip(events, HOLD).select("ip"), "append")
+
+
 def click_view_ratio(mode):
     def query(spark, sf_dir):
         return finish_in_steps(spark, sf_dir, lambda events: detect_click_view_ratio(
@@ -101,7 +117,7 @@ def click_view_ratio(mode):
 
 def click_view_ratio_sliding(spark, sf_dir):
     found = detect_click_view_ratio(stream_events(spark, sf_dir), batch.MAX_RATIO, batch.TWO_DAYS, batch.DAY,
-                                    missing_views="drop", watermark_delay=WATERMARK)
+                                    missing_views="drop", watermark_delay=WATERMARK, mode="append")
     return finish(spark, found, "append")
 
 
@@ -199,6 +215,9 @@ QUERIES = {
     "stream_high_activity_update": high_activity("update"),
     "stream_high_activity_append": high_activity("append"),
     "stream_high_activity_sliding": high_activity_sliding,
+    "stream_high_activity_hourly": high_activity_by_the_hour,
+    "stream_detect_all_hourly": all_detectors_by_the_hour,
+    "stream_dedup_ips": each_ip_once,
     "stream_click_view_ratio": click_view_ratio("complete"),
     "stream_click_view_ratio_update": click_view_ratio("update"),
     "stream_click_view_ratio_sliding": click_view_ratio_sliding,

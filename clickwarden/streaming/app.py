@@ -77,10 +77,10 @@ def build_detector(name: str, max_events: int = defaults.MAX_EVENTS, max_ratio:
         if name == "all":
             found = detect_all(events, max_events, max_ratio, max_categories, missing_views=missing_views, **common)
         elif name == "high_activity":
-            found = detect_high_activity(events, max_events, **common)
+            found = detect_high_activity(events, max_events, mode=mode, **common)
         elif name == "click_view_ratio":
             found = detect_click_view_ratio(events, max_ratio, missing_views=missing_views,
-                                            keep_passed=mode == "update", **common)
+                                            keep_passed=mode == "update", mode=mode, **common)
         else:
             found = detect_category_spread(events, max_categories, scope=scope, mode=mode, **common)
         return found if combine_window is None else combine_detections(found, window_duration=combine_window)

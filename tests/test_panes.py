@@ -1,0 +1,221 @@
+"""Sliding windows from panes against plain counting, and what is repeated on the way."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickwarden import (
+    action_counts_per_window, activity_per_window, category_dictionary, category_words, count_per_window, detect_all,
+    detect_category_spread, detect_click_view_ratio, detect_high_activity, distinct_categories_per_window, first_of_each_ip)
+from clickwarden.operators import detectors
+from clickwarden.operators.counts import with_pane
+from clickwarden.operators.panes import in_windows, pane_seconds, windows_of_a_pane
+from clickwarden.sinks import parquet_sink, read_appended
+from clickwarden.sources import read_spool_events
+from clickwarden.functions import parse_events
+from clickwarden.streaming import AVAILABLE_NOW, run_stream
+from tests.data import add_batch, frame, line
+
+EPOCH = datetime(1970, 1, 1)
+# Panes of 6, 4, 12 and 1 minutes and of 15 seconds; 3, 3 and 60 windows a pane, or not the same number for all panes.
+WINDOWS = [("18 minutes", "6 minutes"), ("12 minutes", "4 minutes"), ("36 minutes", "24 minutes"), ("1 hour", "1 minute"),
+           ("60 seconds", "45 seconds")]
+START = datetime(2024, 3, 9, 23, 30)
+
+
+def made_up(seed, size=400):
+    rng = random.Random(seed)
+    kinds, names = ["click", "view", "other"], ["1", "2", "63", "64", "1000", "007", "x", "", None, "9" * 30]
+    return [(rng.choice("aab") if rng.random() < 0.99 else None, rng.choice(names), rng.choice(kinds),
+             START + timedelta(seconds=rng.randrange(7200))) for _ in range(size)] + [("old", "1", "click", datetime(1969, 12, 31, 23, 59, 59))]
+
+
+def plain_windows(rows, window, slide):
+    """{(ip, start): [events]} of all windows that hold an event."""
+    length, step = (timedelta(seconds=windows_seconds(text)) for text in (window, slide))
+    found = {}
+    for row in rows:
+        first = (row[3] - EPOCH) // step
+        at = first
+        while EPOCH + at * step + length > row[3]:
+            found.setdefault((row[0], EPOCH + at * step), []).append(row)
+            at -= 1
+    return found
+
+
+def windows_seconds(text):
+    number, unit = text.split()
+    return int(number) * {"seconds": 1, "minute": 60, "minutes": 60, "hour": 3600}[unit]
+
+
+def table(found, *names):
+    return {(row["ip"], row["window"]["start"]): tuple(row[name] for name in names) for row in found.collect()}
+
+
+def tallies(events):
+    return (len(events), sum(row[2] == "click" for row in events), sum(row[2] == "view" for row in events),
+            len({row[1] for row in events}))
+
+
+@pytest.mark.parametrize("window, slide", WINDOWS)
+def test_counts_of_every_window(spark, window, slide):
+    rows = made_up(1)
+    events = frame(spark, rows)
+    wanted = {key: tallies(found) for key, found in plain_windows(rows, window, slide).items()}
+    assert table(count_per_window(events, window, slide), "n_events") == {key: row[:1] for key, row in wanted.items()}
+    assert table(action_counts_per_window(events, window, slide), "clicks", "views") == {
+        key: row[1:3] for key, row in wanted.items() if row[1] or row[2]}
+    assert table(distinct_categories_per_window(events, window, slide), "n_categories") == {
+        key: row[3:] for key, row in wanted.items()}
+    assert table(activity_per_window(events, window, slide), "n_events", "clicks", "views", "n_categories") == wanted
+    ends = {row["window"]["end"] - row["window"]["start"] for row in count_per_window(events, window, slide).collect()}
+    assert ends == {timedelta(seconds=windows_seconds(window))}
+
+
+@pytest.mark.parametrize("runs_from", [1, 1000])
+@pytest.mark.parametrize("window, slide", WINDOWS)
+def test_detectors_by_running_sums_and_by_repeating_panes(spark, monkeypatch, window, slide, runs_from):
+    monkeypatch.setattr(detectors, "RUNS_FROM", runs_from)
+    rows = made_up(2)
+    events = frame(spark, rows)
+    wanted = {key: tallies(found) for key, found in plain_windows(rows, window, slide).items()}
+
+    def found(detections, *names):
+        rows = detections.collect()
+        assert all(row["event_time"] == row["window_end"] - timedelta(microseconds=1) for row in rows)
+        return {(row["ip"], row["window_start"]): tuple(row[name] for name in names) for row in rows}
+
+    assert found(detect_high_activity(events, 7, window, slide), "n_events") == {
+        key: row[:1] for key, row in wanted.items() if row[0] > 7}
+    for limit in (0, 1):
+        assert found(detect_click_view_ratio(events, limit, window, slide), "clicks", "views") == {
+            key: row[1:3] for key, row in wanted.items() if row[1] // max(row[2], 1) > limit}
+        assert found(detect_click_view_ratio(events, limit, window, slide, "drop"), "clicks", "views") == {
+            key: row[1:3] for key, row in wanted.items() if row[2] and row[1] // row[2] > limit}
+    assert found(detect_click_view_ratio(events, 1, window, slide, keep_passed=True), "clicks", "views") == {
+        key: row[1:3] for key, row in wanted.items() if row[1] or row[2]}
+    assert found(detect_category_spread(events, 3, window, slide), "n_categories") == {
+        key: row[3:] for key, row in wanted.items() if row[3] > 3}
+    assert found(detect_all(events, 20, 2, 6, window, slide), "n_events", "clicks", "views", "n_categories") == {
+        key: row for key, row in wanted.items() if row[0] > 20 or row[1] // max(row[2], 1) > 2 or row[3] > 6}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_instants_in_any_zone(spark, zone):
+    """Over the hour that clocks skip in New York."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    seconds = [1710054000 + 600 * at for at in range(12)]
+    rows = [("a", "1", "click", EPOCH + timedelta(seconds=second)) for second in seconds]
+    events = spark.createDataFrame([("a", "1", "click", second) for second in seconds], "ip string, category_id string, type string, s long")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        instants = events.select("ip", "category_id", "type", F.timestamp_seconds("s").alias("timestamp"))
+        found = {row["s"]: row["n_events"] for row in count_per_window(instants, "1 hour", "20 minutes").select(
+            F.unix_seconds("window.start").alias("s"), "n_events").collect()}
+        runs = {row["s"]: row["n_events"] for row in detect_high_activity(instants, 0, "1 hour", "2 minutes").select(
+            F.unix_seconds("window_start").alias("s"), "n_events").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    for got, minutes in ((found, 20), (runs, 2)):
+        wanted = plain_windows(rows, "60 minutes", f"{minutes} minutes")
+        assert got == {(start - EPOCH).total_seconds(): len(events) for (_, start), events in wanted.items()}
+
+
+def test_what_is_repeated_are_panes(spark):
+    events = frame(spark, [("a", str(at % 3), "click", START + timedelta(seconds=at % 60)) for at in range(5000)])
+    panes = with_pane(events, "1 hour", "1 minute").groupBy("ip", "window").agg(F.count(F.lit(1)).alias("n_events"))
+    assert panes.count() == 1
+    assert in_windows(panes, "1 hour", "1 minute").count() == 60
+    for result in (count_per_window(events, "1 hour", "1 minute"), activity_per_window(events, "1 hour", "1 minute")):
+        text = result._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in text
+        below = text[text.index("Generate explode"):]  # the repeat stands above an aggregate of the events
+        assert "HashAggregate" in below and "Exchange" in below
+    flagged = detect_high_activity(events, 1, "1 hour", "1 minute")._jdf.queryExecution().executedPlan().toString()
+    above = flagged[:flagged.index("Generate explode")]
+    assert "Window" not in above and "Exchange" not in above  # written out last, and only what is flagged
+
+
+def test_thousands_of_categories_and_a_dictionary(spark):
+    rows = [("a", str(at * 7 % 5000), "click", START + timedelta(seconds=at % 3000)) for at in range(5000)]
+    rows += [("b", f"name {at % 700}", "view", START + timedelta(seconds=at % 3000)) for at in range(2000)] + [("b", None, "view", START)]
+    events = frame(spark, rows)
+    wanted = {key: tallies(found)[3:] for key, found in plain_windows(rows, "1 hour", "10 minutes").items()}
+    assert table(distinct_categories_per_window(events, "1 hour", "10 minutes"), "n_categories") == wanted
+    named = spark.createDataFrame(
+        [(f"name {at}", at) for at in range(600)], "category_id string, code long")
+    words = category_words(events.filter("ip = 'b'"), "1 hour", "10 minutes", dictionary=named)
+    counted = words.groupBy("ip", "window").agg(F.sum(F.bit_count("bits")).alias("n_categories"))
+    assert table(counted, "n_categories") == {key: row for key, row in wanted.items() if key[0] == "b"}
+    # 600 names stand in ten words of 64; the other hundred and null stand alone.
+    assert max(row["count"] for row in words.groupBy("ip", "window").count().collect()) <= 10 + 100 + 1
+
+
+def test_dictionary_of_a_batch(spark):
+    events = frame(spark, made_up(3))
+    codes = [(row["category_id"], row["code"]) for row in category_dictionary(events).collect()]
+    assert {name for name, _ in codes} == {row[1] for row in made_up(3) if row[1] is not None}
+    assert len({code for _, code in codes}) == len(codes)
+
+
+@pytest.mark.parametrize("window, slide, seconds, windows", [
+    ("1 day", "1 hour", 3600, 24), ("60 seconds", "45 seconds", 15, 2), ("10 minutes", None, None, 1),
+    ("10 minutes", "10 minutes", None, 1), ("1 month", "1 day", None, 1)])
+def test_pane_lengths(window, slide, seconds, windows):
+    assert pane_seconds(window, slide) == seconds and windows_of_a_pane(window, slide) == windows
+
+
+def stream_of(spark, folder):
+    return parse_events(read_spool_events(spark, str(folder), max_files_per_trigger=1))
+
+
+def lines_of(rows):
+    return [line(ip, name, kind, int((when - EPOCH).total_seconds())) for ip, name, kind, when in rows if ip is not None]
+
+
+@pytest.mark.parametrize("name", ["high", "ratio", "spread", "all"])
+def test_append_stream_equals_batch_over_restarts(spark, tmp_path, name):
+    rows = sorted((row for row in made_up(4) if row[0] not in (None, "old")), key=lambda row: row[3])
+    closing = [("z", "1", "view", START + timedelta(days=1))]
+    options = {"window_duration": "20 minutes", "slide_duration": "5 minutes"}
+    detect = {
+        "high": lambda events, **more: detect_high_activity(events, 5, **options, **more),
+        "ratio": lambda events, **more: detect_click_view_ratio(events, 0, **options, **more),
+        "spread": lambda events, **more: detect_category_spread(events, 3, **options, **more),
+        "all": lambda events, **more: detect_all(events, 9, 1, 4, **options, **{key: more[key] for key in more if key != "mode"}),
+    }[name]
+    spool, result = tmp_path / "spool", None
+    for number, part in enumerate((rows[:150], rows[150:300], rows[300:], closing)):
+        add_batch(spool, number, lines_of(part))
+        result = detect(stream_of(spark, spool), watermark_delay="1 minute", mode="append")
+        run_stream(result, parquet_sink(str(tmp_path / "table")), str(tmp_path / "checkpoint"), trigger=AVAILABLE_NOW)
+    found = read_appended(spark, str(tmp_path / "table"), result.schema)
+    wanted = detect(frame(spark, rows).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    assert sorted(map(str, found.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    assert found.count() > 0
+
+
+def test_each_ip_once_until_it_is_let_go(spark, tmp_path):
+    minute = int((START - EPOCH).total_seconds())
+    parts = [["a", "b", "a"], ["a", "c"], ["b", "d"], ["e"], ["f"], ["a"]]
+    times = [0, 5, 10, 60, 61, 62]
+    counts = []
+    for number, (names, at) in enumerate(zip(parts, times, strict=True)):
+        add_batch(tmp_path / "spool", number, [line(ip, 1, "click", minute + 60 * at) for ip in names])
+        result = first_of_each_ip(stream_of(spark, tmp_path / "spool"), "20 minutes")
+        query = run_stream(result, parquet_sink(str(tmp_path / "table")), str(tmp_path / "checkpoint"), trigger=AVAILABLE_NOW)
+        counts.append(sum(state["numRowsTotal"] for state in query.lastProgress["stateOperators"]) if query.lastProgress else None)
+    found = read_appended(spark, str(tmp_path / "table"), result.schema)
+    # a to d are held over restarts; an hour later they are let go, and a may come again.
+    assert sorted(row["ip"] for row in found.collect()) == ["a", "a", "b", "c", "d", "e", "f"]
+    assert max(counts[:3]) >= 4 and counts[-1] <= 3
+
+
+def test_each_ip_once_in_a_batch(spark):
+    rows = [("a", "2", "view", START + timedelta(seconds=5)), ("a", "1", "click", START), (None, "1", "click", START),
+            ("b", None, None, START), ("b", None, None, START)]
+    found = first_of_each_ip(frame(spark, rows), "1 hour")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(None, "1", "click", START), ("a", "1", "click", START), ("b", None, None, START)], key=str)

@@ -20,9 +20,12 @@ SHAPES = {
     "count_per_window": (1, 1),
     "action_counts_per_window": (1, 1),
     "category_window_pairs": (1, 1),
-    "distinct_categories_per_window": (2, 1),
+    "distinct_categories_per_window": (3, 1),
     "high_activity_tumbling": (1, 1),
-    "high_activity_sliding": (1, 1),
+    "high_activity_sliding": (2, 1),
+    "click_view_ratio_sliding": (2, 1),
+    "category_spread_sliding": (3, 1),
+    "count_per_window_hourly": (2, 1),
     "click_view_ratio_one": (1, 1),
     "click_view_ratio_drop": (1, 1),
     "category_spread_per_window": (2, 1),
