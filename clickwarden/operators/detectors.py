@@ -100,19 +100,36 @@ def detect_all(events: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int =
     One read and two shuffles, where running the detectors one by one takes three reads and four
     shuffles. On a stream it runs in append mode.
     """
-    tests = {
-        HIGH_ACTIVITY: F.col("n_events") > _limit("max_events", max_events),
-        CLICK_VIEW_RATIO: _too_many_clicks(max_ratio, missing_views),
-        CATEGORY_SPREAD: F.col("n_categories") > _limit("max_categories", max_categories),
-    }
-    any_test = tests[HIGH_ACTIVITY] | tests[CLICK_VIEW_RATIO] | tests[CATEGORY_SPREAD]
-    reasons = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
+    any_test = _any_test(max_events, max_ratio, max_categories, missing_views)
     if _in_runs(events, window_duration, slide_duration):
         activity = window_activity(events, window_duration, slide_duration, any_test, {**EVENT_COUNT, **ACTION_COUNTS}, True)
     else:
         activity = activity_per_window(events, window_duration, slide_duration, watermark_delay)
-    return _detections(activity.filter(any_test), reasons.alias("reasons"),
-                       "n_events", "clicks", "views", "n_categories")
+    return judge_activity(activity, max_events, max_ratio, max_categories, missing_views)
+
+
+def judge_activity(activity: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int = MAX_RATIO,
+                   max_categories: int = MAX_CATEGORIES, missing_views: str = "one", keep_passed: bool = False) -> DataFrame:
+    """The detections of `detect_all` among rows (ip, window, n_events, clicks, views, n_categories); `keep_passed` keeps
+    those without a reason too, with a column `flagged`."""
+    tests = _tests(max_events, max_ratio, max_categories, missing_views)
+    reasons = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
+    any_test = _any_test(max_events, max_ratio, max_categories, missing_views)
+    kept = activity.withColumn("flagged", any_test) if keep_passed else activity.filter(any_test)
+    return _detections(kept, reasons.alias("reasons"), "n_events", "clicks", "views", "n_categories", *["flagged"] * keep_passed)
+
+
+def _tests(max_events: int, max_ratio: int, max_categories: int, missing_views: str) -> dict[str, Column]:
+    return {
+        HIGH_ACTIVITY: F.col("n_events") > _limit("max_events", max_events),
+        CLICK_VIEW_RATIO: _too_many_clicks(max_ratio, missing_views),
+        CATEGORY_SPREAD: F.col("n_categories") > _limit("max_categories", max_categories),
+    }
+
+
+def _any_test(*limits) -> Column:
+    high, ratio, spread = _tests(*limits).values()
+    return high | ratio | spread
 
 
 def flagged_ips(detections: DataFrame) -> DataFrame:

@@ -53,15 +53,21 @@ def in_windows(by_pane: DataFrame, window_duration: str, slide_duration: str) ->
     return numbered.withColumn("window", _numbered_window(wall_clock, window_duration, slide_duration)).drop("first", "last", "at")
 
 
+def first_window_end(timestamp: str, window_duration: str, slide_duration: str) -> Column:
+    """The end of the first window that an event at an instant belongs to."""
+    length, slide = duration_seconds(window_duration), duration_seconds(slide_duration)
+    return F.timestamp_seconds((F.floor((F.floor(F.unix_micros(timestamp) / 1_000_000) - length) / slide) + 1) * slide + length)
+
+
 def _placed(by_pane: DataFrame, window_duration: str, slide_duration: str) -> tuple[DataFrame, bool]:
     """With the numbers of the first and last window of each pane; whether the times are wall-clock values.
 
-    Window k starts k slides after the epoch.
+    Window k starts k slides after the epoch. The panes may be shorter than they need be.
     """
     length, slide = duration_seconds(window_duration), duration_seconds(slide_duration)
     starts = by_pane.withColumn("pane_start", F.col("window.start"))
     second = F.floor(F.unix_micros(as_instant(starts, "pane_start")) / 1_000_000)
-    first = F.floor((second + (pane_seconds(window_duration, slide_duration) - length + slide - 1)) / slide)
+    first = F.floor((second - length) / slide) + 1
     placed = starts.withColumns({"first": first.cast("bigint"), "last": F.floor(second / slide).cast("bigint")})
     return placed.drop("pane_start"), is_wall_clock(starts, "pane_start")
 

@@ -35,6 +35,8 @@ SHORT_TTL_SECONDS = 1800
 # Just after the watermark has passed the end of a day.
 SHORT_AS_OF = "2024-01-15 01:10:00"
 AS_OF = "2024-01-15 12:00:00"
+# Not before any entry.
+LAST_AS_OF = "2024-01-31 12:00:00"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,12 @@ UPDATED = " union all ".join(
     f"select ip, window_start as blocked_at, window_end + interval '{batch.TTL_SECONDS} seconds' as expires_at, reason"
     f" from ({part})" for part in (HIGH, RATIO_ONE, SPREAD))
 
+# The entries of the combined blocklist that a stream has told when it ends.
+TOLD_ENTRIES = f"""entries as (
+  select f.ip, f.window_end as blocked_at, f.window_end + interval '{batch.TTL_SECONDS} seconds' as expires_at
+  from ({combined('1 day')}) f, bounds where f.window_end <= watermark
+)"""
+
 PARSED = with_events(" select ip, category_id, type, date_trunc('second', timestamp) as timestamp from ev")
 COMPLETE_HIGH = with_events(HIGH)
 
@@ -199,6 +205,10 @@ select event_type, case when user_id % 7 = 3 then 'no_ip' else 'no_time' end as
 from events where user_id % 7 = 3 or event_type = 'error' group by 1, 2
 """,
     "stream_spooled_events": PARSED,
+    "store_events": PARSED,
+    "store_detect_all": with_events(DETECT_ALL),
+    "store_detect_all_hourly": with_events(detect_all("hourly")),
+    "store_followed_late": closed(DETECT_ALL),
     "stream_rejects": "with " + EV + REJECTS,
     "stream_high_activity_complete": COMPLETE_HIGH,
     "stream_high_activity_update": COMPLETE_HIGH,
@@ -208,6 +218,7 @@ from events where user_id % 7 = 3 or event_type = 'error' group by 1, 2
     "stream_detect_all_hourly": closed(detect_all("hourly")),
     "stream_dedup_ips": with_events(" select distinct ip from ev"),
     "stream_click_view_ratio": with_events(RATIO_ONE),
+    "stream_click_view_ratio_merged": with_events(RATIO_ONE),
     "stream_click_view_ratio_sliding": closed(ratio_join("sliding")),
     "stream_category_spread_append": closed(SPREAD),
     "stream_category_spread_update": with_events(SPREAD),
@@ -216,6 +227,27 @@ from events where user_id % 7 = 3 or event_type = 'error' group by 1, 2
     "stream_combined_blocklist": closed(combined("1 day")),
     "stream_blocklist_table": with_events(ACTIVE, f"found as (select c.* from ({combined('1 day')}) c, bounds"
                                                   " where window_end <= watermark)"),
+    "stream_blocklist_changes": with_events("""
+ select ip, 'unblock' as action, before as at, before as expires_at from told, bounds where starts and before is not null
+ union all
+ select ip, case when starts then 'block' else 'extend' end, blocked_at, expires_at from told
+ union all
+ select ip, 'unblock', max(expires_at), max(expires_at) from told, bounds group by ip, watermark having max(expires_at) <= watermark
+""", TOLD_ENTRIES, """told as (
+  select *, before is null or blocked_at > before as starts
+  from (select *, max(expires_at) over (partition by ip order by blocked_at rows between unbounded preceding and 1 preceding)
+               as before from entries)
+)"""),
+    "stream_blocklist_keyed": with_events(f"""
+ select ip, max(blocked_at) filter (before is null or blocked_at > before) as blocked_at, max(expires_at) as expires_at
+ from (select *, max(expires_at) over (partition by ip order by blocked_at rows between unbounded preceding and 1 preceding)
+              as before from entries)
+ group by ip having max(expires_at) > timestamp '{batch.LAST_AS_OF}'
+""", TOLD_ENTRIES),
+    "stream_blocklist_replayed": with_events(f"""
+ select ip, max(expires_at) as expires_at from entries
+ where blocked_at <= timestamp '{batch.AS_OF}' and expires_at > timestamp '{batch.AS_OF}' group by ip
+""", TOLD_ENTRIES),
     "stream_click_view_ratio_update": with_events(RATIO_ONE),
     "stream_combined_blocklist_early": with_events(f" {UPDATED}"),
     "stream_blocklist_short_ttl": with_events(f"""

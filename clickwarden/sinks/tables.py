@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterable
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from clickwarden.defaults import TTL_SECONDS
 from clickwarden.functions.times import as_wall_clock, instant_to_wall_clock
 from clickwarden.operators.blocklist import active_blocklist, blocklist
+from clickwarden.sinks.folders import Folder
 
 Sink = Callable[[DataStreamWriter], DataStreamWriter]
 
@@ -111,57 +113,100 @@ ENTRIES = ("ip string, blocked_at timestamp, expires_at timestamp, reasons array
 def read_blocklist(spark: SparkSession, path: str, as_of=None) -> DataFrame:
     """All entries written under `path`, or only the ips blocked at `as_of` (a datetime or text).
 
-    With `as_of`, only the folders of entries that expire on its day or later are listed.
+    With `as_of`, only the folders of entries that expire on its day or later are listed. Rows of a compaction that has not been
+    finished are read from where they are.
     """
     if as_of is None:
-        return _read(spark, [path], ENTRIES)
+        return _read_days(spark, path, _days(spark, path))
     moment = F.lit(as_of).cast("timestamp")
     first = spark.range(1).select(F.to_date(instant_to_wall_clock(moment))).first()[0]
-    days = [f"{path}/expires_on={day}" for day in _days(spark, path) if day >= first]
-    return active_blocklist(_read(spark, days, ENTRIES, path), moment)
+    days = [day for day in _days(spark, path) if day >= first]
+    return active_blocklist(_read_days(spark, path, days), moment)
+
+
+def _read_days(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
+    folder = Folder(spark, path)
+    markers = [folder.read_json(f"_compacted/{name}") for name in folder.names("_compacted")]
+    if not markers:
+        return _read(spark, [f"{path}/expires_on={day}" for day in days], ENTRIES, path)
+    halfway = {day for day in days for marker in markers for name in marker["replaced"] if name.startswith(f"expires_on={day}/")}
+    whole = [f"{path}/expires_on={day}" for day in days if day not in halfway]
+    named = [f"{path}/{name}" for day in halfway for name in _batches(spark, path, day)]
+    rows = _read(spark, whole + named, ENTRIES, path)
+    for marker in markers:  # not moved yet
+        base = f"{path}/_compacting/{marker['run']}"
+        left = [f"{base}/{name}" for name in marker["made"] if folder.exists(f"_compacting/{marker['run']}/{name}")
+                and date.fromisoformat(name[11:].partition("/")[0]) in halfway]
+        rows = rows.unionByName(_read(spark, left, ENTRIES, base))
+    return rows
 
 
 def _days(spark: SparkSession, path: str) -> list[date]:
     """The days that have a folder; one listing, of a folder a day."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [found.getPath().getName() for found in files.listStatus(folder)]
-    return sorted(date.fromisoformat(name.removeprefix("expires_on=")) for name in names
+    return sorted(date.fromisoformat(name.removeprefix("expires_on=")) for name in Folder(spark, path).names()
                   if re.fullmatch(r"expires_on=\d{4,}-\d\d-\d\d", name))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def _batches(spark: SparkSession, path: str, day: date) -> list[str]:
+    """The folders `expires_on=/writer=/run=/batch_id=` of a day, without those that a compaction has taken in."""
+    folder, found = Folder(spark, path), []
+    for writer in folder.names(f"expires_on={day}"):
+        for run in folder.names(f"expires_on={day}/{writer}"):
+            if writer.startswith("writer=") and run.startswith("run="):
+                found += [f"expires_on={day}/{writer}/{run}/{name}" for name in folder.names(f"expires_on={day}/{writer}/{run}")]
+    replaced = {old for name in folder.names("_compacted") for old in folder.read_json(f"_compacted/{name}")["replaced"]}
+    return [name for name in found if re.search(r"/batch_id=\d+$", name) and name not in replaced]
 
 
 def remove_expired(spark: SparkSession, path: str, before: date) -> list[date]:
     """Delete the entries of whole days before `before` (in UTC); returns the days. Runs beside writers."""
     gone = [day for day in _days(spark, path) if day < before]
     for day in gone:
-        _delete(spark, f"{path}/expires_on={day}")
+        Folder(spark, path).delete(f"expires_on={day}")
     return gone
 
 
 def compact_blocklist(spark: SparkSession, path: str, day: date, rows_per_file: int = 1_000_000) -> None:
     """Join the many small folders of the entries that expire on `day` into one for each writer.
 
-    The new folders are written before the old ones go, so that a reader in between sees an entry twice
-    rather than not at all, which `active_blocklist` evens out. A batch that is replayed afterwards does the same.
+    Runs beside writers and readers. The batches that are there at first are read by name, written together to a folder that
+    readers do not see, and named in a marker; only these are deleted, so a batch that comes meanwhile stays as it is. From
+    the marker on `read_blocklist` takes the new folders in place of the old ones; a reader that has listed before and reads after
+must list again. A compaction that dies before its marker leaves the
+    table as it was; one that dies later is finished by the next, of any day. A batch that is replayed when it has been taken in
+    has its entries twice, which `active_blocklist` evens out. One compaction of a table runs at a time.
     """
-    folder = f"{path}/expires_on={day}"
-    rows = _read(spark, [folder], ENTRIES, path)
-    old = [(row["writer"], row["run"]) for row in rows.select("writer", "run").distinct().collect()]  # a row for each query
+    folder = Folder(spark, path)
+    _finish_compactions(folder)
+    for left in folder.names("_compacting"):  # died before its marker
+        folder.delete(f"_compacting/{left}")
+    old = _batches(spark, path, day)
+    rows = _read(spark, [f"{path}/{name}" for name in old], ENTRIES, path)
     files = math.ceil(rows.count() / rows_per_file)
     if not files:
         return
     run = f"compacted-{uuid.uuid4().hex}"
     (rows.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(0).cast("bigint")).repartition(files)
-        .write.mode("append").partitionBy("expires_on", "writer", "run", "batch_id").parquet(path))
-    for writer, name in old:
-        _delete(spark, f"{folder}/writer={writer}/run={name}")
+        .write.partitionBy("expires_on", "writer", "run", "batch_id").parquet(f"{path}/_compacting/{run}"))
+    writers = folder.names(f"_compacting/{run}/expires_on={day}")
+    made = [f"expires_on={day}/{writer}/run={run}" for writer in writers if writer.startswith("writer=")]
+    folder.write_json(f"_compacted/{run}.json", {"run": run, "made": made, "replaced": old})
+    _finish_compactions(folder)
+
+
+def _finish_compactions(folder: Folder) -> None:
+    """Puts what markers name in place, then deletes what it replaces, then the marker."""
+    for marker in folder.names("_compacted"):
+        content = folder.read_json(f"_compacted/{marker}")
+        for name in content["made"]:
+            if folder.exists(f"_compacting/{content['run']}/{name}"):
+                folder.move(f"_compacting/{content['run']}/{name}", name)
+        for name in content["replaced"]:
+            folder.delete(name)
+            if not folder.names(parent := name.rpartition("/")[0]):
+                folder.delete(parent)
+        folder.delete(f"_compacting/{content['run']}")
+        folder.delete(f"_compacted/{marker}")
 
 
 def snapshot_sink(path: str) -> Sink:
@@ -195,7 +240,7 @@ def _last_run(rows: DataFrame) -> str | None:
 
 
 def changes_sink(path: str) -> Sink:
-    """For update mode: keep what each micro-batch changed, in a folder of its own.
+    """For update mode: keep what each micro-batch changed, in a folder of its own; `merge_changes` folds them together.
 
     Where a change can take a row out of the result, send the row with a column `flagged` that is false, as
     `detect_click_view_ratio(keep_passed=True)` does.
@@ -207,9 +252,32 @@ def changes_sink(path: str) -> Sink:
     return _sink(write, "update")
 
 
+def _changes(spark: SparkSession, path: str) -> DataFrame:
+    """All changes that count: of each run the last base, and the batches that it has not taken in."""
+    folder, tails, bases = Folder(spark, path), [], []
+    for run in [name for name in folder.names() if name.startswith("run=")]:
+        upto = _base(folder, run)
+        tails += [f"{path}/{run}/batch_id={number}" for number in _numbers(folder.names(run), "batch_id=") if number > upto]
+        bases += [(run, f"{path}/_base/{run}/upto={upto}")] if upto >= 0 else []
+    rows = [spark.read.parquet(base).withColumn("run", F.lit(run.removeprefix("run="))) for run, base in bases]
+    if tails or not rows:  # with neither, the reader says that there is no table
+        tail = spark.read.option("basePath", path).parquet(*tails) if tails else spark.read.parquet(path)
+        rows.append(tail.withColumns({"run": F.col("run").cast("string"), "batch_id": F.col("batch_id").cast("bigint")}))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _numbers(names: list[str], prefix: str) -> list[int]:
+    return sorted(int(name.removeprefix(prefix)) for name in names if re.fullmatch(rf"{prefix}\d+", name))
+
+
+def _base(folder: Folder, run: str) -> int:
+    """The last batch that the base of a run has taken in, -1 without a base."""
+    return max(_numbers(folder.names(f"_base/{run}"), "upto="), default=-1)
+
+
 def read_changes(spark: SparkSession, path: str, keys: Iterable[str], run: str | None = None) -> DataFrame:
     """The last row written by `changes_sink` for each key, if it is still flagged, of the given run or of the one that wrote last."""
-    rows = spark.read.parquet(path)
+    rows = _changes(spark, path)
     rows = rows.filter(F.col("run") == (run or _last_run(rows))).drop("run", "written_at")
     keys = list(keys)
     others = [name for name in rows.columns if name not in keys and name != "batch_id"]
@@ -217,6 +285,36 @@ def read_changes(spark: SparkSession, path: str, keys: Iterable[str], run: str |
     return latest.filter("flagged").drop("flagged") if "flagged" in others else latest
 
 
+def merge_changes(spark: SparkSession, path: str, keys: Iterable[str]) -> None:
+    """Fold the finished batches of each run of a `changes_sink` into one row for each key, and delete them.
+
+    Runs beside the query and its readers: a base appears as a whole under the number of the last batch it has taken in, and from then on readers
+    leave out the batches up to there, whether they have been deleted yet or not. A merge that dies is made up for by the next. Rows whose
+    flag has been taken back stay in the base, as the last word on their key. One merge of a table runs at a time.
+    """
+    keys, folder = list(keys), Folder(spark, path)
+    for run in [name for name in folder.names() if name.startswith("run=")]:
+        before = _base(folder, run)
+        for name in folder.names(f"_base/{run}"):
+            if name != f"upto={before}":
+                folder.delete(f"_base/{run}/{name}")
+        numbers = _numbers(folder.names(run), "batch_id=")
+        done = [number for number in numbers if number > before and folder.exists(f"{run}/batch_id={number}/_SUCCESS")]
+        if done:
+            rows = _changes(spark, path).where((F.col("run") == run.removeprefix("run=")) & (F.col("batch_id") <= done[-1])).drop("run")
+            others = [name for name in rows.columns if name not in keys]
+            latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("row")).select(*keys, "row.*")
+            draft = f"_base/{run}/_draft-{uuid.uuid4().hex}"
+            latest.write.parquet(f"{path}/{draft}")
+            folder.move(draft, f"_base/{run}/upto={done[-1]}")
+        upto = _base(folder, run)
+        for number in numbers:
+            if number <= upto:
+                folder.delete(f"{run}/batch_id={number}")
+        if before not in (-1, upto):
+            folder.delete(f"_base/{run}/upto={before}")
+
+
 def table_sink(table_format: str, options: dict[str, str], columns: Iterable[str] = ("ip",)) -> Sink:
     """Append the distinct `columns` of each batch to any table a Spark connector writes.
 

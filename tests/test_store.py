@@ -1,0 +1,281 @@
+"""The store of events: files once, counts by pane, windows closed and repaired; and the table of typed events."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickwarden import detect_all, parse_events
+from clickwarden.sinks import changes_sink, merge_changes, parquet_sink, read_appended, read_changes
+from clickwarden.sinks.folders import CommitLog, Folder
+from clickwarden.sources import read_spool_events
+from clickwarden.streaming import (
+    AVAILABLE_NOW, EventStore, LateRows, read_typed_events, read_typed_rejects, run_stream, start_typing)
+from clickwarden.streaming import store as store_module
+from clickwarden.streaming.app import build_detector, main, parse_arguments, run_app
+from tests.data import add_batch, line
+
+START = 1704067200
+KEYS = ["ip", "window_start"]
+LIMITS = (4, 1, 2)
+WINDOW = {"window_duration": "20 minutes", "slide_duration": "10 minutes"}
+
+
+def made_up(seed, size=240, minutes=180):
+    rng = random.Random(seed)
+    return sorted(((rng.choice("aaab"), rng.choice(["1", "2", "x", "70", None]), rng.choice(["click", "view", "other"]),
+                    START + rng.randrange(60 * minutes)) for _ in range(size)), key=lambda row: row[3])
+
+
+def lines(rows):
+    return [line(ip, name, kind, when) for ip, name, kind, when in rows]
+
+
+def batch_events(spark, rows):
+    return parse_events(spark.createDataFrame([(text,) for text in lines(rows)], "value string"))
+
+
+def plain(found, drop=("written_at", "event_time")):
+    names = sorted(set(found.columns) - set(drop))
+    return sorted(map(str, found.select(names).collect()))
+
+
+def ingest_all(store, directory, max_files=2):
+    taken = []
+    while (one := store.ingest(str(directory), max_files)) is not None:
+        taken.append(one)
+    return taken
+
+
+def test_files_are_taken_once_and_counts_equal_a_recount(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FOLD_FROM", 4)
+    spool, rows = tmp_path / "spool", made_up(1)
+    store = EventStore(spark, str(tmp_path / "store"))
+    assert store.ingest(str(spool)) is None and store.events().collect() == [] and store.partials().collect() == []
+    for number in range(5):
+        add_batch(spool, number, [*lines(rows[40 * number:40 * number + 40]), "{broken", '{"ip":"a","type":"view"}'])
+    add_batch(spool, 5, [])
+    taken = ingest_all(store, spool)
+    assert [(one.files, one.events, one.rejects) for one in taken] == [(2, 80, 4), (2, 80, 4), (1, 40, 2)]  # an empty file is none
+    # Found again, nothing is new; a file for an old hour, an odd name and another folder are.
+    assert EventStore(spark, str(tmp_path / "store")).ingest(str(spool)) is None
+    add_batch(spool / "deeper", 0, lines(rows[:10]))
+    odd = spool / "odd {name} [x]*.json"
+    odd.write_text("\n".join(lines(rows[200:])))
+    assert sum(one.events for one in ingest_all(store, spool, 1)) == 50
+    whole = batch_events(spark, rows + rows[:10])
+    assert plain(store.events().drop("file")) == plain(whole)
+    for options in (WINDOW, {"window_duration": "1 hour"}, {"window_duration": "1 hour", "slide_duration": "10 minutes"}):
+        assert plain(store.detect_all(*LIMITS, **options)) == plain(detect_all(whole, *LIMITS, **options))
+    assert store.detect_all(*LIMITS, **WINDOW).count() > 0
+    folded = store.partials()
+    assert folded.count() < 200 and any("/folded/" in file for file in folded.inputFiles())
+    assert store.rejects().count() == 10 and store.files().count() == 7
+    assert {row["reject_reason"] for row in store.rejects().collect()} == {"unreadable", "no_time"}
+    with pytest.raises(ValueError, match="whole panes"):
+        store.activity("15 minutes")
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    spool, rows = tmp_path / "spool", made_up(2)
+    store = EventStore(spark, str(tmp_path / "store"))
+    add_batch(spool, 0, lines(rows[:100]))
+    store.ingest(str(spool))
+    for file in spool.iterdir():  # what has been taken is not opened again
+        file.write_text("overwritten")
+    add_batch(spool, 1, lines(rows[100:]))
+    assert store.ingest(str(spool)).events == 140
+    assert plain(store.events().drop("file")) == plain(batch_events(spark, rows))
+    detections = store.detect_all(*LIMITS, **WINDOW)
+    assert all("/partials/" in file for file in detections.inputFiles())
+
+
+@pytest.mark.parametrize("step", ["tagged", "partials", "ledger", "commit"])
+def test_a_batch_that_dies_is_done_again(spark, tmp_path, monkeypatch, step):
+    spool, rows = tmp_path / "spool", made_up(3)
+    add_batch(spool, 0, [*lines(rows), "broken"])
+    store = EventStore(spark, str(tmp_path / "store"))
+
+    class Died(Exception):
+        pass
+
+    def die(*arguments, **options):
+        raise Died
+
+    with monkeypatch.context() as patched:
+        if step == "tagged":
+            patched.setattr(EventStore, "_partials", die)
+        elif step == "partials":
+            patched.setattr(spark, "createDataFrame", die)
+        elif step == "ledger":
+            patched.setattr(store_module, "Taken", die)
+        else:
+            patched.setattr(CommitLog, "write", die)
+        with pytest.raises(Died):
+            store.ingest(str(spool))
+    assert store.events().count() == 0 and store.rejects().count() == 0
+    assert store.ingest(str(spool)).events == len(rows)
+    assert plain(store.events().drop("file")) == plain(batch_events(spark, rows)) and store.rejects().count() == 1
+
+
+def test_two_at_once_take_each_file_once(spark, tmp_path, monkeypatch):
+    spool, rows = tmp_path / "spool", made_up(4)
+    for number in range(3):
+        add_batch(spool, number, lines(rows[80 * number:80 * number + 80]))
+    one, other, first = (EventStore(spark, str(tmp_path / "store")) for _ in range(2)), None, [True]
+    one, other = one
+    write = CommitLog.write
+
+    def late(self, number, content):
+        if first[0]:
+            first[0] = False
+            other.ingest(str(spool), 1)
+        return write(self, number, content)
+
+    monkeypatch.setattr(CommitLog, "write", late)
+    assert one.ingest(str(spool), 2).files == 2
+    assert plain(one.events().drop("file")) == plain(batch_events(spark, rows))
+    assert one.partials().agg(F.sum("n_events")).first()[0] == len(rows)
+    folders = Folder(spark, str(tmp_path / "store")).names("batches")
+    assert len(folders) == 2
+
+
+def followed(spark, path):
+    return plain(read_changes(spark, path, KEYS))
+
+
+def test_windows_are_closed_and_repaired(spark, tmp_path):
+    """Hours come out of order; each time the log holds what a batch finds in the windows that are closed by then."""
+    rows, spool, log = made_up(5, 600, 360), tmp_path / "spool", str(tmp_path / "log")
+    hours = [[row for row in rows if (row[3] - START) // 3600 == hour] for hour in range(6)]
+    store, seen, told = EventStore(spark, str(tmp_path / "store")), [], []
+    options = dict(watermark_delay="5 minutes", **WINDOW)
+    for number, hour in enumerate((0, 2, 3, 1, 5, 4)):
+        add_batch(spool, number, lines(hours[hour]))
+        store.ingest(str(spool))
+        if number != 2:  # two batches in one go
+            told.append(store.follow(log, *LIMITS, **options))
+        seen += hours[hour]
+        if number == 2:
+            continue
+        newest = max(row[3] for row in seen) - 300
+        wanted = detect_all(batch_events(spark, seen), *LIMITS, **WINDOW).where(F.col("window_end") <= F.timestamp_seconds(F.lit(newest)))
+        assert followed(spark, log) == plain(wanted)
+        if number == 3:
+            merge_changes(spark, log, KEYS)
+            assert followed(spark, log) == plain(wanted)
+    assert store.follow(log, *LIMITS, **options) is None
+    assert [one.late_events > 0 for one in told] == [False, False, True, False, True]
+    assert [one.repaired > 0 for one in told] == [False, False, True, False, True] and all(one.closed for one in told[:2])
+    late = store.late_events(log)
+    assert late.count() == sum(one.late_events for one in told)
+    assert {row["file"].rpartition("/")[2] for row in late.select("file").distinct().collect()} == {"batch003.json", "batch005.json"}
+
+
+def test_a_call_that_dies_is_made_up_for(spark, tmp_path, monkeypatch):
+    rows, spool, log = made_up(6), tmp_path / "spool", str(tmp_path / "log")
+    add_batch(spool, 0, lines(rows))
+    store = EventStore(spark, str(tmp_path / "store"))
+    assert store.follow(log, *LIMITS, "1 minute", **WINDOW) is None
+    store.ingest(str(spool))
+    with monkeypatch.context() as patched:
+        patched.setattr(CommitLog, "write", lambda *arguments: (_ for _ in ()).throw(KeyError("died")))
+        with pytest.raises(KeyError):
+            store.follow(log, *LIMITS, "1 minute", **WINDOW)
+    first = store.follow(log, *LIMITS, "1 minute", **WINDOW)
+    assert first.closed > 0 and first.repaired == first.late_events == 0
+    assert followed(spark, log)
+
+
+def test_typed_table_over_restarts_and_a_death(spark, tmp_path, monkeypatch):
+    rows, spool = made_up(7), tmp_path / "spool"
+    path, checkpoint = str(tmp_path / "typed"), str(tmp_path / "checkpoint")
+    with pytest.raises(ValueError, match="nothing"):
+        read_typed_events(spark, path)
+    for number in range(3):
+        add_batch(spool, number, [*lines(rows[80 * number:80 * number + 80]), f"broken {number}"])
+        query = start_typing(read_spool_events(spark, str(spool)), path, checkpoint, AVAILABLE_NOW)
+        query.awaitTermination()
+        text = query._jsq.explainInternal(False)
+        assert text.count("FileScan text") == 1  # one read for events and rejects
+        if number == 1:  # files of a batch that never finished are not seen
+            spark.createDataFrame([("z", "1", "view")], "ip string, category_id string, type string").write.parquet(f"{path}/kind=event/dead")
+    stream = read_typed_events(spark, path)
+    run_stream(stream, parquet_sink(str(tmp_path / "t")), str(tmp_path / "c"), trigger=AVAILABLE_NOW)
+    found = read_appended(spark, str(tmp_path / "t"), stream.schema)
+    assert plain(found.drop("file", "row")) == plain(batch_events(spark, rows))
+    assert found.select("file", "row").distinct().count() == len(rows)
+    assert sorted(row["value"] for row in read_typed_rejects(spark, path).collect()) == ["broken 0", "broken 1", "broken 2"]
+
+
+@pytest.mark.parametrize("trigger", [AVAILABLE_NOW, None])
+def test_application_over_one_read(spark, tmp_path, trigger):
+    rows, spool, table = made_up(8), tmp_path / "spool", str(tmp_path / "found")
+    add_batch(spool, 0, [*lines(rows), "broken"])
+    detect = build_detector("category_spread", max_categories=2, window_duration="20 minutes", mode="update", salts=8, salt_by=("file", "row"))
+    run_app(read_spool_events(spark, str(spool)), detect, changes_sink(table), str(tmp_path / "c"), "update", trigger,
+            timeout=None if trigger else 20, events_path=str(tmp_path / "events"))
+    found = read_changes(spark, table, ["ip", "window_start"])
+    wanted = detect_all(batch_events(spark, rows), 10 ** 6, 10 ** 6, 2, window_duration="20 minutes")
+    assert plain(found.select("ip", "window_start", "n_categories")) == plain(wanted.select("ip", "window_start", "n_categories"))
+    assert read_typed_rejects(spark, str(tmp_path / "events")).count() == 1
+
+
+def test_a_burst_of_one_second_spreads_over_all_salts(spark, tmp_path):
+    add_batch(tmp_path / "spool", 0, lines([("a", "1", "click", START)] * 400))
+    seen = []
+
+    def detect(events):
+        salted = events.select(F.pmod(F.xxhash64("file", "row"), F.lit(8)).alias("salt"))
+        seen.append(salted)
+        return salted.distinct()
+
+    run_app(read_spool_events(spark, str(tmp_path / "spool")), detect, changes_sink(str(tmp_path / "t")), str(tmp_path / "c"), "update",
+            AVAILABLE_NOW, events_path=str(tmp_path / "events"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 8
+
+
+def test_command_line_keeps_events_and_tells_late_rows(spark, tmp_path, capsys):
+    spool = tmp_path / "spool"
+    add_batch(spool, 0, lines([("a", "1", "click", START + at) for at in range(50)]))
+    arguments = ["--spool", str(spool), "--blocklist", str(tmp_path / "b"), "--checkpoint", str(tmp_path / "c"), "--watermark", "1 minute",
+                 "--trigger", AVAILABLE_NOW, "--max-files-per-trigger", "1", "--events", str(tmp_path / "events"), "--salts", "4"]
+    main(arguments)
+    add_batch(spool, 1, lines([("a", "1", "click", START + 86400)]))
+    main(arguments)
+    add_batch(spool, 2, lines([("late", "1", "click", START)] * 3))
+    main(arguments)
+    told = capsys.readouterr().err
+    assert "rows came behind the watermark" in told
+    assert read_typed_events(spark, str(tmp_path / "events")).isStreaming
+    with pytest.raises(SystemExit):
+        parse_arguments([*arguments, "--rejects", "x"])
+    with pytest.raises(ValueError, match="one of the two"):
+        run_app(None, None, None, "c", rejects_path="x", events_path="y")
+
+
+def test_late_rows_are_told_while_the_query_runs(spark, tmp_path):
+    told = []
+    listener = LateRows(lambda query, batch, rows: told.append((query, batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        for number, at in enumerate((0, 86400, 0)):
+            add_batch(tmp_path / "spool", number, lines([("a", "1", "click", START + at)] * 4))
+            events = parse_events(read_spool_events(spark, str(tmp_path / "spool")))
+            query = run_stream(detect_all(events, watermark_delay="1 minute"), parquet_sink(str(tmp_path / "t")), str(tmp_path / "c"),
+                               trigger=AVAILABLE_NOW)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told and {one[0] for one in told} == {str(query.id)}
+    assert listener.counts[str(query.id)] == sum(one[2] for one in told) > 0
+
+
+def test_times_before_the_epoch_and_empty_stores(spark, tmp_path):
+    add_batch(tmp_path / "spool", 0, lines([("a", "1", "click", -1), ("a", "2", "click", 0)]))
+    store = EventStore(spark, str(tmp_path / "store"), "1 minute")
+    store.ingest(str(tmp_path / "spool"))
+    epoch = datetime(1970, 1, 1)
+    rows = {row["window"]["start"]: row["n_events"] for row in store.activity("2 minutes", "1 minute").collect()}
+    assert rows == {epoch - timedelta(minutes=2): 1, epoch - timedelta(minutes=1): 2, epoch: 1}
