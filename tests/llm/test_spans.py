@@ -1,0 +1,47 @@
+"""Words by bytes against a plain regular expression."""
+
+import re
+
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from clickwarden.llm.spans import WORD_PATTERN, word_blocks
+
+from .tables import TEXTS
+
+
+def plain_words(text):
+    return re.findall(WORD_PATTERN, re.sub("[A-Z]", lambda found: found[0].lower(), text or ""))
+
+
+def gathered(texts, overlap, most):
+    found, hashes = [{} for _ in texts], {}
+    for words in word_blocks(texts, overlap, most):
+        for at in range(len(words.starts)):
+            word = words.text(at, 1).decode()
+            assert found[words.rows[at]].setdefault(int(words.numbers[at]), word) == word
+            assert hashes.setdefault(word, int(words.hashes[at])) == int(words.hashes[at])
+    assert len(set(hashes.values())) == len(hashes)
+    return [[words[at] for at in range(len(words))] for words in found]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aAbBÀ9 .é日\n😀", max_size=80), st.text(max_size=30)), max_size=6),
+       st.integers(0, 4), st.sampled_from([5, 17, 64, 1 << 20]), st.booleans())
+def test_any_texts(texts, overlap, most, wide):
+    texts = [text and text.encode("utf-8", "ignore").decode() for text in texts]
+    column = pa.array(["before", *texts, "after"], pa.large_string() if wide else pa.string()).slice(1, len(texts))
+    assert gathered(column, overlap, most) == [plain_words(text) for text in texts]
+
+
+@pytest.mark.parametrize("most", [10, 1000, 1 << 20])
+def test_long_words_and_texts(most):
+    texts = [*TEXTS, "x" * 5000 + " end", "a-b " * 2000]
+    assert gathered(pa.array(texts), 19, most) == [plain_words(text) for text in texts]
+
+
+def test_no_texts():
+    assert not list(word_blocks(pa.array([], pa.string())))
+    assert gathered(pa.array([None, "", None], pa.string()), 0, 10) == [[], [], []]
