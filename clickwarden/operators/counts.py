@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickwarden.defaults import CLICK, VIEW, WINDOW
 from clickwarden.functions.events import filter_actions
 from clickwarden.functions.times import event_window
-from clickwarden.operators.panes import category_bits, in_windows, pane_seconds, window_runs
+from clickwarden.operators.panes import WORD_BITS, category_bits, in_windows, pane_seconds, window_runs
+
+# Codes that a row of state has a bit for: 64 KB at most.
+MOST_CODES = 1 << 19
 
 OUTPUT_MODES = ("append", "update", "complete")
 
@@ -131,6 +134,28 @@ def category_words(events: DataFrame, window_duration: str, slide_duration: str,
         F.bit_or("bits").alias("bits"), *[F.sum(name).alias(name) for name in counts])
 
 
+def activity_early(events: DataFrame, dictionary: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
+                   watermark_delay: str | None = None) -> DataFrame:
+    """(ip, window, n_events, clicks, views, n_categories) from one aggregation, so that a stream can run in update or complete mode.
+
+    `dictionary` is a table (category_id, code) whose codes are 0 and up, without many gaps: a row of state has a bit for each. Categories that are
+    not in it, null among them, count as one.
+    """
+    last = dictionary.agg(F.max("code")).first()[0]
+    if last is not None and not 0 <= last < MOST_CODES:
+        raise ValueError(f"codes must be from 0 to {MOST_CODES - 1}, not {last}")
+    words = range(0 if last is None else last // WORD_BITS + 1)
+    coded = with_window(events, window_duration, slide_duration, watermark_delay).join(
+        dictionary.select("category_id", "code"), "category_id", "left").select("*", *category_bits(dictionary=True))
+    zero = F.lit(0).cast("bigint")
+    counted = coded.groupBy("ip", "window").agg(
+        *[F.expr(count).alias(name) for name, count in {**EVENT_COUNT, **ACTION_COUNTS}.items()],
+        F.max(F.col("word").isNull().cast("bigint")).alias("others"),
+        *[F.bit_or(F.when(F.col("word") == word, F.col("bit")).otherwise(zero)).alias(f"bits_{word}") for word in words])
+    different = sum((F.bit_count(f"bits_{word}") for word in words), F.col("others"))
+    return counted.select("ip", "window", *EVENT_COUNT, *ACTION_COUNTS, different.cast("bigint").alias("n_categories"))
+
+
 def window_activity(events: DataFrame, window_duration: str, slide_duration: str, keep: Column,
                     sums: dict[str, str], categories: bool) -> DataFrame:
     """(ip, window, sums, n_categories if asked for) of the sliding windows of a batch for which `keep` holds, by running sums."""

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickwarden.defaults import CLICK, MAX_CATEGORIES, MAX_EVENTS, MAX_RATIO, VIEW, WINDOW
 from clickwarden.functions.events import filter_actions
 from clickwarden.operators.counts import (
-    ACTION_COUNTS, DEDUP_SALTS, EVENT_COUNT, SALT_BY, action_counts_per_window, activity_per_window, category_window_pairs,
-    count_per_window, distinct_categories_per_window, window_activity)
+    ACTION_COUNTS, DEDUP_SALTS, EVENT_COUNT, SALT_BY, action_counts_per_window, activity_early, activity_per_window,
+    category_window_pairs, count_per_window, distinct_categories_per_window, window_activity)
 from clickwarden.operators.panes import RUNS_FROM, windows_of_a_pane
 
 HIGH_ACTIVITY = "high_activity"
@@ -108,6 +108,18 @@ def detect_all(events: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int =
     return judge_activity(activity, max_events, max_ratio, max_categories, missing_views)
 
 
+def detect_all_early(events: DataFrame, dictionary: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int = MAX_RATIO,
+                     max_categories: int = MAX_CATEGORIES, window_duration: str = WINDOW, slide_duration: str | None = None,
+                     missing_views: str = "one", watermark_delay: str | None = None) -> DataFrame:
+    """`detect_all` in update or complete mode, without waiting for the watermark, still with one read.
+
+    Categories are counted by the `dictionary`, see `activity_early`. Groups that pass come too, with `flagged` false, since later
+    views can take a flag back: `read_changes` and `blocklist` leave them out.
+    """
+    activity = activity_early(events, dictionary, window_duration, slide_duration, watermark_delay)
+    return judge_activity(activity, max_events, max_ratio, max_categories, missing_views, keep_passed=True)
+
+
 def judge_activity(activity: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int = MAX_RATIO,
                    max_categories: int = MAX_CATEGORIES, missing_views: str = "one", keep_passed: bool = False) -> DataFrame:
     """The detections of `detect_all` among rows (ip, window, n_events, clicks, views, n_categories); `keep_passed` keeps

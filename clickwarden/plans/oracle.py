@@ -224,6 +224,7 @@ from events where user_id % 7 = 3 or event_type = 'error' group by 1, 2
     "stream_category_spread_update": with_events(SPREAD),
     "stream_category_spread_all_windows": with_events(ALL_WINDOWS),
     "stream_detect_all": closed(DETECT_ALL),
+    "stream_detect_all_early": with_events(DETECT_ALL),
     "stream_combined_blocklist": closed(combined("1 day")),
     "stream_blocklist_table": with_events(ACTIVE, f"found as (select c.* from ({combined('1 day')}) c, bounds"
                                                   " where window_end <= watermark)"),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickwarden.functions import events_from_table, parse_events, rejected_events
 from clickwarden.functions.times import duration_seconds
 from clickwarden.operators import (
-    blocklist, combine_detections, detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity, first_of_each_ip)
+    blocklist, combine_detections, detect_all, detect_all_early, detect_category_spread, detect_click_view_ratio, detect_high_activity, first_of_each_ip)
 from clickwarden.plans import batch
 from clickwarden.session import scratch_dir
 from clickwarden.sinks import (
@@ -152,6 +152,14 @@ def detect_all_stream(spark, sf_dir):
     return finish(spark, all_detectors(stream_events(spark, sf_dir)), "append")
 
 
+def detect_all_before_the_watermark(spark, sf_dir):
+    """In update mode, over restarts; the categories' codes are their numbers."""
+    names = batch.events(spark, sf_dir).select("category_id").distinct()
+    dictionary = names.select("category_id", F.col("category_id").cast("bigint").alias("code"))
+    return finish_in_steps(spark, sf_dir, lambda events: detect_all_early(
+        events, dictionary, batch.MAX_EVENTS, batch.MAX_RATIO, batch.MAX_CATEGORIES, batch.DAY), "update")
+
+
 def combined(spark, sf_dir):
     return finish(spark, combine_detections(all_detectors(stream_events(spark, sf_dir)), window_duration=batch.DAY), "append")
 
@@ -312,6 +320,7 @@ QUERIES = {
     "stream_category_spread_update": category_spread("update"),
     "stream_category_spread_all_windows": category_spread_all_windows,
     "stream_detect_all": detect_all_stream,
+    "stream_detect_all_early": detect_all_before_the_watermark,
     "stream_combined_blocklist": combined,
     "stream_blocklist_table": blocked,
     "stream_blocklist_keyed": blocked_in_keyed_table,

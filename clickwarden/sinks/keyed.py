@@ -9,7 +9,7 @@ batch that is written again changes nothing, and of two writers at once the seco
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -92,6 +92,14 @@ class KeyedBlocklist:
         rows = self._rows(content, touched).where((F.col("blocked_at") <= moment) & (F.col("expires_at") > moment))
         return rows.join(asked, "ip", "left_semi") if of_them is None else rows.where(of_them)
 
+    def read_for(self, ips: DataFrame) -> DataFrame:
+        """The rows of the buckets that the frame's ips fall into."""
+        _, content = self.log.last()
+        if content is None:
+            return self.spark.createDataFrame([], ROWS)
+        touched = ips.where("ip is not null").select(self._bucket(content["buckets"]).alias("bucket")).distinct().collect()
+        return self._rows(content, [row["bucket"] for row in touched])
+
     def vacuum(self, keep: int = 10) -> list[str]:
         """Deletes the folders that only commits before the last `keep` name, and those commits; returns the folders.
 
@@ -143,3 +151,23 @@ def keyed_sink(path: str, ttl_seconds: int = TTL_SECONDS, delay_seconds: int = 0
         KeyedBlocklist(batch.sparkSession, path, buckets).upsert(entries, _run(batch), batch_id)
 
     return _sink(write, "append", "update")
+
+
+def newly_flagged_sink(send: Callable[[DataFrame], None], sent_path: str, ttl_seconds: int = TTL_SECONDS, delay_seconds: int = 0,
+                       early: bool = False, buckets: int = BUCKETS) -> Sink:
+    """Gives `send` the ips (a column `ip`) of each batch that are not blocked already, in append or update mode.
+
+    For tables that keep an ip for so long from its last write: a group that update mode sends again does not renew it. What has been sent, and
+    until when it counts, stands in a `KeyedBlocklist` at `sent_path`. An ip is sent before it is noted, so a batch that dies in between sends
+    it again, and none is lost.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = KeyedBlocklist(batch.sparkSession, sent_path, buckets)
+        entries = blocklist(batch, ttl_seconds, delay_seconds, early)
+        firsts = entries.groupBy("ip").agg(F.min("blocked_at").alias("blocked_at"))
+        held = table.read_for(firsts).select(F.col("ip").alias("held_ip"), "expires_at")
+        new = firsts.join(held, (F.col("ip") == F.col("held_ip")) & (F.col("expires_at") > F.col("blocked_at")), "left_anti")
+        send(new.select("ip"))
+        table.upsert(entries, _run(batch), batch_id)
+
+    return _sink(write, "append", "update")

@@ -319,25 +319,33 @@ def table_sink(table_format: str, options: dict[str, str], columns: Iterable[str
     """Append the distinct `columns` of each batch to any table a Spark connector writes.
 
     A replayed batch is written again: the table should be keyed by those columns. In update mode a row
-    comes again whenever its group changes. Complete mode would send every row with each batch, so that
+    comes again whenever its group changes; `newly_flagged_sink` leaves out ips that are blocked already. Complete mode would send every row with each batch, so that
     none would ever expire, and is refused.
     """
-    columns = list(columns)
+    columns, send = list(columns), table_writer(table_format, options)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.filter("flagged") if "flagged" in batch.columns else batch
-        rows.select(*columns).distinct().write.format(table_format).options(**options).mode("append").save()
+        send(rows.select(*columns).distinct())
 
     return _sink(write, "append", "update")
 
 
+def table_writer(table_format: str, options: dict[str, str]) -> Callable[[DataFrame], None]:
+    """What appends a batch to a table that a Spark connector writes."""
+    return lambda rows: rows.write.format(table_format).options(**options).mode("append").save()
+
+
+CASSANDRA = "org.apache.spark.sql.cassandra"
+
+
 def cassandra_sink(keyspace: str, table: str, ttl_seconds: int = TTL_SECONDS) -> Sink:
     """Blocked ips to a Cassandra table keyed by ip, each lasting `ttl_seconds` from its last write.
 
     Needs the spark-cassandra-connector package. Rows are bound by the connector, never put
     together as statement text.
     """
-    return table_sink("org.apache.spark.sql.cassandra", cassandra_options(keyspace, table, ttl_seconds))
+    return table_sink(CASSANDRA, cassandra_options(keyspace, table, ttl_seconds))
 
 
 def cassandra_options(keyspace: str, table: str, ttl_seconds: int = TTL_SECONDS) -> dict[str, str]:

@@ -18,7 +18,8 @@ from clickwarden.operators.counts import DEDUP_SALTS, SALT_BY
 from clickwarden.operators.detectors import (
     detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity)
 from clickwarden.session import build_session
-from clickwarden.sinks import Sink, blocklist_sink, cassandra_sink, console_sink, parquet_sink
+from clickwarden.sinks import (
+    CASSANDRA, Sink, blocklist_sink, cassandra_options, cassandra_sink, console_sink, newly_flagged_sink, parquet_sink, table_writer)
 from clickwarden.sources import read_kafka_events, read_spool_events
 from clickwarden.streaming.run import AVAILABLE_NOW, LateRows, run_stream, start_stream
 from clickwarden.streaming.typed import has_typed, read_typed_events, start_typing
@@ -215,6 +216,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
         delay = duration_seconds(options.watermark) if options.mode == "append" else 0
         sink = blocklist_sink(options.blocklist, options.detector, options.ttl, delay_seconds=delay,
                               early=options.mode == "update")
+    elif options.cassandra and options.mode == "update":  # a group that is sent again must not renew its ip
+        send = table_writer(CASSANDRA, cassandra_options(*options.cassandra.split("."), ttl_seconds=options.ttl))
+        sink = newly_flagged_sink(send, f"{options.checkpoint}/sent", options.ttl, early=True)
     elif options.cassandra:
         sink = cassandra_sink(*options.cassandra.split("."), ttl_seconds=options.ttl)
     else:

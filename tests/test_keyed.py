@@ -7,10 +7,11 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from clickwarden.sinks import KeyedBlocklist, blocklist_sink, compact_blocklist, keyed_sink, merge_changes, read_blocklist, read_changes, tables
+from clickwarden.sinks import KeyedBlocklist, blocklist_sink, compact_blocklist, keyed_sink, merge_changes, newly_flagged_sink, read_blocklist, read_changes, tables
 from clickwarden.sinks.folders import CommitLog, Folder
 from clickwarden.streaming import AVAILABLE_NOW, run_stream
-from tests.data import ips, line, stream_from_batches
+from clickwarden.sources import read_spool_events
+from tests.data import add_batch, ips, line, stream_from_batches
 from clickwarden import detect_high_activity, parse_events
 
 START = datetime(2024, 1, 1)
@@ -156,6 +157,19 @@ def test_stream_into_the_keyed_table_over_a_restart(spark, tmp_path):
     assert seconds(KeyedBlocklist(spark, str(tmp_path / "t")).read()) == {"a": (180, 270), "b": (240, 330)}
 
 
+def test_only_newly_flagged_ips_are_sent(spark, tmp_path):
+    """In update mode a busy ip comes again with each batch; it is sent again only when its block has ended."""
+    second = int((START - datetime(1970, 1, 1)).total_seconds())
+    sent, result = [], None
+    for number, (ip, minute) in enumerate([("a", 0), ("a", 0), ("b", 1), ("a", 1), ("a", 9), ("a", 9)]):
+        add_batch(tmp_path / "in", number, [line(ip, 1, "click", second + 60 * minute + extra) for extra in range(3)])
+        raw = read_spool_events(spark, str(tmp_path / "in"))
+        result = detect_high_activity(parse_events(raw), 2, "1 minute")
+        sink = newly_flagged_sink(lambda new: sent.append(ips(new)), str(tmp_path / "t"), ttl_seconds=120, early=True, buckets=2)
+        run_stream(result, sink, str(tmp_path / "c"), "update", AVAILABLE_NOW)
+    assert [names for names in sent if names] == [["a"], ["b"], ["a"]]
+
+
 def test_commits_are_numbered_and_refused_when_late(spark, tmp_path):
     log = CommitLog(spark, str(tmp_path / "log"))
     assert log.last() == (0, None)

@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickwarden import (
-    action_counts_per_window, activity_per_window, category_dictionary, category_words, count_per_window, detect_all,
+    action_counts_per_window, activity_per_window, category_dictionary, category_words, count_per_window, detect_all, detect_all_early,
     detect_category_spread, detect_click_view_ratio, detect_high_activity, distinct_categories_per_window, first_of_each_ip)
 from clickwarden.operators import detectors
 from clickwarden.operators.counts import with_pane
 from clickwarden.operators.panes import in_windows, pane_seconds, windows_of_a_pane
-from clickwarden.sinks import parquet_sink, read_appended
+from clickwarden.sinks import changes_sink, parquet_sink, read_appended, read_changes, read_snapshot, snapshot_sink
 from clickwarden.sources import read_spool_events
 from clickwarden.functions import parse_events
 from clickwarden.streaming import AVAILABLE_NOW, run_stream
@@ -219,3 +219,25 @@ def test_each_ip_once_in_a_batch(spark):
     found = first_of_each_ip(frame(spark, rows), "1 hour")
     assert sorted(map(tuple, found.collect()), key=str) == sorted(
         [(None, "1", "click", START), ("a", "1", "click", START), ("b", None, None, START)], key=str)
+
+
+@pytest.mark.parametrize("mode", ["update", "complete"])
+def test_all_detectors_in_one_aggregation(spark, tmp_path, mode):
+    rows = sorted((row for row in made_up(5) if row[0] not in (None, "old")), key=lambda row: row[3])
+    codes = spark.createDataFrame([("1", 0), ("2", 1), ("63", 63), ("64", 64), ("1000", 200), ("007", 5), ("x", 6), ("", 7), ("9" * 30, 8)],
+                                  "category_id string, code long")
+    options = {"window_duration": "20 minutes", "slide_duration": "10 minutes"}
+    limits = (9, 1, 4)
+    result, table = None, str(tmp_path / "t")
+    for number, part in enumerate((rows[:200], rows[200:])):
+        add_batch(tmp_path / "spool", number, lines_of(part))
+        result = detect_all_early(stream_of(spark, tmp_path / "spool"), codes, *limits, **options)
+        sink = changes_sink(table) if mode == "update" else snapshot_sink(table)
+        run_stream(result, sink, str(tmp_path / "c"), mode, AVAILABLE_NOW)
+    found = read_changes(spark, table, ["ip", "window_start"]) if mode == "update" else read_snapshot(spark, table).where("flagged")
+    wanted = detect_all(frame(spark, rows).withColumn("timestamp", F.col("timestamp").cast("timestamp")), *limits, **options)
+    assert sorted(map(str, found.select(wanted.columns).collect())) == sorted(map(str, wanted.collect())) and found.count() > 0
+    few = detect_all_early(frame(spark, rows), codes.where("code < 2"), *limits, **options)
+    assert few.agg(F.max("n_categories")).first()[0] == 3  # the others count as one
+    with pytest.raises(ValueError, match="codes"):
+        detect_all_early(frame(spark, rows), codes.withColumn("code", F.col("code") - 1000))
