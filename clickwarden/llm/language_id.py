@@ -8,7 +8,8 @@ cuts of all training words, becomes its new probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from string import punctuation
 
 import numpy as np
@@ -25,11 +26,9 @@ from clickwarden.llm.words import CACHED_LENGTH, CACHED_WORDS
 TRAINING_DOCS, ROUNDS = 1000, 3
 #: A language's piece that no word uses still counts as seen so often; a character outside the vocabulary has this probability.
 SMOOTHING, UNKNOWN = 0.1, 1e-7
-#: Languages with a model at most, those of most training documents.
-MOST_LANGUAGES = 256
 UNDETERMINED = "und"
-#: Longer words are scored in parts of this many characters.
-LONGEST_WORD = 64
+#: Sums, of a place in a word and a language, that are held at once, about.
+CELLS = 2_600_000
 START = "▁"  # what the vocabulary's pieces have in place of the blank before a word
 
 
@@ -45,24 +44,50 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
-        self.known = {piece[:end]: -1 for piece in pieces for end in range(1, len(piece))}  # beginnings of pieces
-        self.known.update((piece, at) for at, piece in enumerate(pieces))
+        # The pieces as a tree: node and character to the node below, as one sorted list; each node's piece, or -1.
+        below: dict[int, int] = {}
+        ends = [-1]
+        for at, piece in enumerate(pieces):
+            node = 0
+            for mark in piece:
+                key = node << 21 | ord(mark)
+                if (found := below.get(key)) is None:
+                    found = below[key] = len(ends)
+                    ends.append(-1)
+                node = found
+            ends[node] = at
+        self.steps = np.array(sorted(below) or [-1], np.int64)
+        self.nodes = np.array([below[key] for key in sorted(below)] or [0], np.int64)
+        self.ends = np.array(ends, np.int64)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """(word, start, end, piece) of every piece in every word; piece len(pieces) is an unknown character."""
-        unknown, known, out = len(self.pieces), self.known, []
-        for at, word in enumerate(words):
-            size = len(word)
-            for start in range(size):
-                end, single = start + 1, False
-                while end <= size and (piece := known.get(word[start:end])) is not None:
-                    if piece >= 0:
-                        out += (at, start, end, piece)
-                        single |= end == start + 1
-                    end += 1
-                if not single:
-                    out += (at, start, start + 1, unknown)
-        return tuple(np.array(out, np.int64).reshape(-1, 4).T)
+        """(word, start, end, piece) of every piece in every word, in this order; piece len(pieces) is an unknown character."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        marks = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        stops = np.cumsum(sizes)
+        place, node, length = np.arange(marks.size), np.zeros(marks.size, np.int64), 0
+        single = np.zeros(marks.size, bool)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while place.size:  # all places whose characters so far begin a piece
+            step = node << 21 | marks[place + length]
+            at = np.minimum(np.searchsorted(self.steps, step), self.steps.size - 1)
+            on = self.steps[at] == step
+            place, node, length = place[on], self.nodes[at[on]], length + 1
+            piece = self.ends[node]
+            whole = piece >= 0
+            found.append((place[whole], np.full(int(whole.sum()), length), piece[whole]))
+            if length == 1:
+                single[place[whole]] = True
+            more = place + length < stops[word[place]]
+            place, node = place[more], node[more]
+        unknown = np.flatnonzero(~single)
+        found.append((unknown, np.ones(unknown.size, np.int64), np.full(unknown.size, len(self.pieces))))
+        place, length, piece = (np.concatenate(part) for part in zip(*found, strict=True))
+        order = np.lexsort((length, place))
+        place, length, piece = place[order], length[order], piece[order]
+        start = place - (stops - sizes)[word[place]]
+        return word[place], start, start + length, piece
 
     def forward(self, words: list[str], model: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray, np.ndarray]:
         """Log-probability of each word in each language, the edges, and the sums over all beginnings.
@@ -126,15 +151,27 @@ def _core(word: str) -> str:
     return word.strip(punctuation)
 
 
-def _cut(word: str) -> list[str]:
-    """The parts of a core that are scored; none of an empty one."""
-    word = START + word if word else ""
-    return [word[at:at + LONGEST_WORD] for at in range(0, len(word), LONGEST_WORD)]
+def _marked(core: str) -> str:
+    """The core as pieces spell it, with what stands for the blank before it; nothing stays nothing."""
+    return START + core if core else ""
+
+
+def _alike(words: list[str], languages: int) -> Iterator[list[int]]:
+    """Numbers of words of like length, so many that their sums fit CELLS; a single long word may exceed them."""
+    order = sorted(range(len(words)), key=lambda at: len(words[at]))
+    first = 0
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and (len(words[order[last]]) + 1) * (last + 1 - first) * languages <= CELLS:
+            last += 1
+        yield order[first:last]
+        first = last
 
 
 class LanguageModel:
     def __init__(self, languages: list[str], pieces: list[str], model: np.ndarray):
         self.languages, self.pieces, self.model = languages, pieces, model
+        self.key = uuid.uuid4().hex
 
     def scorer(self):
         """Words to log-probabilities in each language, as rows; remembers a bounded number of words and of their cores."""
@@ -146,12 +183,10 @@ class LanguageModel:
                     kept.clear()
             new = {word: _core(word) for word in set(words).difference(known)}
             unseen = list(set(new.values()).difference(cores))
-            parts = [(at, part) for at, core in enumerate(unseen) for part in _cut(core)]
-            values = np.zeros((len(unseen), len(self.languages)), np.float32)
-            for first in range(0, len(parts), 10_000):
-                some = parts[first:first + 10_000]
-                logs = lattice.forward([part for _, part in some], self.model)[0]
-                np.add.at(values, [at for at, _ in some], logs)
+            marked = list(map(_marked, unseen))
+            values = np.zeros((len(unseen), len(self.languages)))
+            for some in _alike(marked, len(self.languages)):
+                values[some] = lattice.forward([marked[at] for at in some], self.model)[0]
             cores.update(zip(unseen, values, strict=True))
             known.update((word, cores[core]) for word, core in new.items())
             out = [known[word] for word in words]
@@ -172,7 +207,7 @@ class LanguageModel:
         names = self.languages
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score = self.scorer()
+            score = _scorer(self)
             for batch in batches:
                 found, scores = [], []
                 for first in range(0, batch.num_rows, 256):
@@ -198,11 +233,22 @@ class LanguageModel:
         return texts.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+_scorers: dict[str, Callable] = {}
+
+
+def _scorer(model: LanguageModel) -> Callable[[list[str]], list[np.ndarray]]:
+    """One for a worker, of the model that it uses just now."""
+    if model.key not in _scorers:
+        _scorers.clear()
+        _scorers[model.key] = model.scorer()
+    return _scorers[model.key]
+
+
 def fit(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> LanguageModel:
     """Learns from rows with a language and a text: of each language TRAINING_DOCS documents at most.
 
-    What reaches the driver is a table of pieces by languages. An empty table gives a model without languages.
+    What reaches the driver is a table of pieces by languages, so as many languages as there may be. An empty table gives a model without languages.
     """
     pieces = read_pieces(pieces_path)
     rows = keyed_texts(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where(
@@ -212,8 +258,7 @@ def fit(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str
     # Ranks are taken of ids alone; the texts come after.
     places = (chosen.select("lang", "place", "doc_id").withColumn("rank", F.row_number().over(limit))
               .where(F.col("rank") <= TRAINING_DOCS).groupBy("lang").agg(
-                  F.max("place").alias("last"), F.max("rank").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES))
+                  F.max("place").alias("last")))
     sample = chosen.join(F.broadcast(places), "lang").where(F.col("place") <= F.col("last"))
     words = saved(sample.select("lang", F.explode(F.split(F.lower("text"), BREAK)).alias("word"))
                   .where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
@@ -233,13 +278,11 @@ def _round(words: DataFrame, pieces: list[str], number: dict[str, int], model: n
         lattice, uses = Lattice(pieces), np.zeros_like(model)
         for rows in batches:
             langs = rows["lang"].map(number).to_numpy()
-            parts = [(part, lang, n) for word, lang, n in zip(rows["word"], langs, rows["n"], strict=True)
-                     for part in _cut(_core(word))]
-            for first in range(0, len(parts), 10_000):
-                some = parts[first:first + 10_000]
+            marked, n = [_marked(_core(word)) for word in rows["word"]], rows["n"].to_numpy()
+            for some in _alike(marked, model.shape[1]):
                 weights = np.zeros((len(some), model.shape[1]))
-                weights[np.arange(len(some)), [lang for _, lang, _ in some]] = [n for _, _, n in some]
-                uses += lattice.expected([part for part, _, _ in some], weights, model)
+                weights[np.arange(len(some)), langs[some]] = n[some]
+                uses += lattice.expected([marked[at] for at in some], weights, model)
         piece, lang = np.nonzero(uses)
         yield pd.DataFrame({"piece": piece, "lang": lang, "uses": uses[piece, lang]})
 

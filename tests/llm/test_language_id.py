@@ -83,3 +83,57 @@ def test_odd_texts(spark):
     assert rows[0]["score"] == 0 and rows[5]["lang_pred"] in ("de", "en")
     empty = language_id.fit(documents(spark, []), public_tokenizers.path("piece_bpe_32k.model"))
     assert by_id(empty.predict(frame))[0]["lang_pred"] == "und"
+
+
+def plain_forward(word, model):
+    """Log of the sum over all cuts of a word, place by place."""
+    sums = [np.zeros(model.shape[1])]
+    for end in range(1, len(word) + 1):
+        ways = [sums[start] + np.log(model[PIECES.index(word[start:end])]) for start in range(max(0, end - 3), end)
+                if word[start:end] in PIECES]
+        if word[end - 1] not in PIECES:
+            ways.append(sums[end - 1] + np.log(model[-1]))
+        top = np.max(ways, axis=0)
+        sums.append(top + np.log(np.exp(np.array(ways) - top).sum(0)))
+    return sums[-1]
+
+
+def test_long_words_are_summed_whole(toy):
+    lattice, model = toy
+    rng = np.random.default_rng(3)
+    words = ["▁" + "".join(rng.choice(list("abx"), 3000)), "▁ab", "", "b" * 63 + "ab" * 40]
+    logs = lattice.forward(words, model)[0]
+    for word, log in zip(words, logs, strict=True):
+        assert np.allclose(log, plain_forward(word, model), rtol=1e-9)
+
+
+def test_edges_of_any_words(toy):
+    lattice, _ = toy
+    words = ["", "abax", "▁", "😀ab", "x", "", "\udfff"]
+    found = list(zip(*(part.tolist() for part in lattice.edges(words)), strict=True))
+    wanted = []
+    for at, word in enumerate(words):
+        for start in range(len(word)):
+            ends = [end for end in range(start + 1, len(word) + 1) if word[start:end] in PIECES]
+            if start + 1 not in ends:
+                wanted.append((at, start, start + 1, len(PIECES)))
+            wanted += [(at, start, end, PIECES.index(word[start:end])) for end in ends]
+    assert found == sorted(wanted)
+
+
+def test_words_of_like_length_are_taken_together(monkeypatch):
+    monkeypatch.setattr(language_id, "CELLS", 20)
+    words = ["a" * 50, "b", "", "cc", "d", "ee"]
+    groups = list(language_id._alike(words, 2))
+    assert sorted(at for group in groups for at in group) == list(range(6)) and groups[-1] == [0]
+    assert all(len(group) == 1 or (max(len(words[at]) for at in group) + 1) * len(group) * 2 <= 20 for group in groups)
+
+
+def test_many_languages_repeated_rows_and_ties(spark):
+    texts = ["shared words here"] * 300
+    frame = documents(spark, texts, [f"l{at:03d}" for at in range(300)])
+    model = language_id.fit(frame.union(frame), public_tokenizers.path("piece_bpe_32k.model"))
+    assert model.languages == [f"l{at:03d}" for at in range(300)]  # none is left out
+    rows = model.predict(documents(spark, ["shared words"] * 2)).collect()
+    assert len(rows) == 2 and {row["lang_pred"] for row in rows} == {"l000"}  # equal languages go by name
+    assert model.predict(documents(spark, [])).collect() == []
