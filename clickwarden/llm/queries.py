@@ -100,6 +100,33 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingles FROM d),
+        t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared, any_value(a.n) + any_value(b.n) AS sizes
+            FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM p WHERE 100 * n_shared >= 90 * (sizes - n_shared)),
+        reached(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM s UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.root = links.a)
+        SELECT s.doc_id, len(any_value(shingles))::BIGINT AS n_shingles, min(root) AS component_id
+        FROM s JOIN reached USING (doc_id) GROUP BY s.doc_id
+    """,
+    "op9_mtree_search": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+            FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p
+        QUALIFY rank <= 20
+    """,
     "op11_impact_search": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
