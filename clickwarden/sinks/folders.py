@@ -1,6 +1,8 @@
 """Folders and small files of any file system Spark can reach, and numbered commits among them.
 
-Names that begin with `_` are not seen by Spark's readers, so what such a folder holds is not part of a table until it is moved.
+Names that begin with `_` are not seen by Spark's readers, so what such a folder holds is not part of a table until it is moved. Moving
+is what makes commits whole: on HDFS and alike it is atomic and never replaces a file. Object stores copy instead; there a table
+needs one writer at a time.
 """
 
 from __future__ import annotations
