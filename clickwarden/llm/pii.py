@@ -26,7 +26,7 @@ PATTERNS = {
 }
 #: A text without this has no mention of the kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+OCTET = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 #: Words on either side of a mention that are its context; different contexts, or distinct texts, that an entity and a
 #: term must have in common: with fewer, each rare word of a text would give away whatever the text mentions.
 CONTEXT_WORDS, LEAST_CONTEXTS = 5, 3

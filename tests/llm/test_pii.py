@@ -1,6 +1,7 @@
 """Personal data against plain Python, and the terms that the method adds."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -15,6 +16,7 @@ HARD = [
     "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111222 41111111111111112222233333 4 1 1 1",
     "+1 (269) 555-3296 +49.30.1234567 +1 +12 (((( +1234567890123456 ++33 1 23 45 67 89)", "9" * 20000, "a" * 30000 + "@",
     "é😀 me@exämple.com me@example.com 😀 1.1.1.1", "+1 4111 1111 1111 1111", "-1-2-3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9",
+    "0.0.0.0 10.0.0.1 127.0.0.1, 000.0.00.007 0.1.2.3 256.0.0.1 00256.1.1.1 0000255.00.1.0 1.1.1.300 0.0.0", "10.0.0.1" * 3,
     "x@y.z " * 300, "tel +44 20 7946 0958.", "@@@@ .. +++",
 ]
 
@@ -60,6 +62,13 @@ def test_patterns(spark):
     check(by_id(pii.digest(pii.sanitise(documents(spark, texts)))), dict(enumerate(texts)))
 
 
+def test_random_strings(spark):
+    rng = random.Random(8)
+    marks = ["0", "00", "1", "25", "255", "256", "9", "4111111111111111", ".", ".", ".", "-", " ", "+", "(", ")", "@", "a", "é", "\n"]
+    texts = ["".join(rng.choices(marks, k=rng.randrange(3, 30))) for _ in range(20_000)]
+    check(by_id(pii.digest(pii.sanitise(documents(spark, texts)))), dict(enumerate(texts)))
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     texts = {row["doc_id"]: row["text"] for row in spark.read.parquet(f"{folder}/documents.parquet").collect()}
@@ -120,4 +129,5 @@ def test_null_and_empty(spark):
 def test_overlapping_spans_are_replaced_as_one(spark):
     rows = by_id(pii.sanitise(documents(spark, ["call +1 4111 1111 1111 now", "+1 41111111111111111"])))
     assert rows[0]["text"] == "call [PHONE] now"
-    assert rows[1]["text"] == "+1 41111111111111111" if not any(map(len, plain(rows[1]["text"]).values())) else True
+    # 18 digits that pass Luhn are a card; with the 1 before it the phone would have 18 digits, too many.
+    assert rows[1]["text"] == "+[CARD]"
