@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "quality") -> Gam:
     """Learns from documents whose id has a label 0 or 1 in `labels`: TRAINING_ROWS of them at most.
 
-    Rows with a null id or label are left out; of several labels for one id the largest counts.
+    Rows with a null id or label are left out; of several labels for one id the largest counts, of several texts the first in order, null
+    being none. Empty and very long texts are measured like any other; an empty table gives a model that knows nothing.
     """
     chosen = (labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
               .where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -196,9 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = _feature_rows(batch)
             yield pa.RecordBatch.from_arrays([batch.column(2), *map(pa.array, rows.T)], names=["label", *FEATURES])
 
-    texts = keyed_texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = keyed_texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
+        F.min("text").alias("text")).select("doc_id", "text", "label")
     schema = ", ".join(["label int", *[f"{name} double" for name in FEATURES]])
-    found = texts.mapInArrow(measure, schema).limit(2 * TRAINING_ROWS).toPandas().sort_values(["label", *FEATURES])
+    found = texts.mapInArrow(measure, schema).toPandas().sort_values(["label", *FEATURES])
     return fit_gam(found[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), found["label"].to_numpy(float))
 
 

@@ -55,3 +55,14 @@ def test_odd_texts_and_no_labels(spark):
     scores = {key: row["score"] for key, row in by_id(quality_gam.predict(frame, model)).items()}
     assert len(scores) == len(TEXTS) and set(scores.values()) == {0.5}
     assert scores[0] == scores[1]
+
+
+def test_repeated_rows_and_ids_change_nothing(spark):
+    rows = [(at, f"{'good words here ' * 20} {at}" if at % 2 else "x " * (at + 1), at % 2) for at in range(60)]
+    docs = spark.createDataFrame([row[:2] for row in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(row[0], row[2]) for row in rows], "doc_id long, quality int")
+    more = spark.createDataFrame([(at, "z" * 5000) for at in range(60)] + [(None, "x")], "doc_id long, text string")
+    models = [quality_gam.fit(docs, labels), quality_gam.fit(docs.union(docs).union(more), labels.union(labels))]
+    scores = [by_id(quality_gam.predict(docs, model)) for model in models]
+    assert {key: row["score"] for key, row in scores[0].items()} == {key: row["score"] for key, row in scores[1].items()}
+    assert quality_gam.predict(docs.where("doc_id < 0"), models[0]).collect() == []
