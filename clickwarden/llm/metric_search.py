@@ -21,16 +21,22 @@ from clickwarden.llm.common import saved
 PIVOTS, REGION, SUBTREE, PAGE, BLOCK = 256, 1024, 8192, 128, 4096
 #: Distances are floating point; bounds give way by this part of them.
 SLACK = 1e-7
+#: Scaled components and squared lengths stay below; from EXACT on, products are summed as whole numbers, as floating point no longer is.
+TOO_LARGE, TOO_LONG, EXACT = 2.0**32, 2.0**63, 2.0**53
+#: As a score: none so far.
+NONE = -(2**63)
 
 PAGES = ("pivot int, part int, page int, routing array<long>, lift double, radius double, to_parent double, ids array<long>, "
          "vectors array<long>, distances array<double>")
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id and the vector as whole numbers floor(scale * x); without nulls and vectors that hold null, NaN or infinity."""
+    """vec_id and the vector as whole numbers floor(scale * x); without nulls and vectors that hold null, NaN or infinity, or are so long
+    that a product with one of like length does not fit 64 bits."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(
-        F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select(
+        F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < TOO_LARGE))).where(
+        F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + (F.abs(x * scale) + 1) * (F.abs(x * scale) + 1)) < TOO_LONG).select(
         "vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("long")).alias("vector"))
 
 
@@ -61,7 +67,7 @@ class Index:
     @staticmethod
     def build(vectors: DataFrame) -> Index | None:
         """None for an empty table."""
-        norm = F.aggregate("vector", F.lit(0).cast("long"), lambda acc, x: acc + x * x)
+        norm = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
         row = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size"), F.max(norm).alias("most")).first()
         if not row["n"]:
             return None
@@ -132,7 +138,7 @@ class Index:
                     chosen = np.zeros(away.shape, bool)
                     chosen[np.arange(len(rows)), own] = True
                     if not home:
-                        reach = _reach(points, rows["least"].to_numpy(float), most)
+                        reach = _reach(points, rows["least"].to_numpy(np.int64), most)
                         chosen = ~chosen & (radii >= 0) & (away - radii <= reach[:, None])
                     at, pivot = np.nonzero(chosen)
                     at, pivot = np.repeat(at, parts[pivot]), np.repeat(pivot, parts[pivot])
@@ -147,16 +153,16 @@ class Index:
             return _search_subtree(pages, asked, k, size, most)
 
         def searched(asked: DataFrame, home: bool) -> DataFrame:
-            spread = asked.mapInPandas(visit(home), "ask long, query_id long, vector array<long>, least double, up double, pivot int, part int")
+            spread = asked.mapInPandas(visit(home), "ask long, query_id long, vector array<long>, least long, up double, pivot int, part int")
             spread = spread.withColumn("block", F.pmod(F.xxhash64("ask"), F.lit(blocks)).cast("int"))
             pages = self.pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
             keys = ("pivot", "part", "block")
             return saved(pages.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
                 find, "ask long, query_id long, vec_id long, score long"))
 
-        asked = queries.select("ask", F.col("vec_id").alias("query_id"), "vector", F.lit(float("-inf")).alias("least"))
+        asked = queries.select("ask", F.col("vec_id").alias("query_id"), "vector", F.lit(NONE).cast("long").alias("least"))
         first = searched(asked, True)
-        kth = _best(first, k).where(F.col("rank") == k).select("ask", F.col("score").cast("double").alias("kth"))
+        kth = _best(first, k).where(F.col("rank") == k).select("ask", F.col("score").alias("kth"))
         rest = asked.join(kth, "ask", "left").select(
             "ask", "query_id", "vector", F.coalesce("kth", "least").alias("least"))
         return _best(first.union(searched(rest, False)), k).select("query_id", "rank", "vec_id", "score")
@@ -168,10 +174,10 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _reach(points: np.ndarray, least: np.ndarray, most: float) -> np.ndarray:
-    """The distance at which a score falls to `least`, and a little more."""
+    """The distance at which a score falls to `least`, and a little more; without end where there is none so far."""
     squares = (points * points).sum(1) + most
-    return np.sqrt(np.maximum(squares - 2 * np.where(np.isfinite(least), least, 0), 0)) * (1 + SLACK) + SLACK + np.where(
-        np.isfinite(least), 0, np.inf)
+    some = least != NONE
+    return np.sqrt(np.maximum(squares - 2 * np.where(some, least, 0).astype(float), 0)) * (1 + SLACK) + SLACK + np.where(some, 0, np.inf)
 
 
 def _search_subtree(pages: pd.DataFrame, asked: pd.DataFrame, k: int, size: int, most: float) -> pd.DataFrame:
@@ -180,7 +186,9 @@ def _search_subtree(pages: pd.DataFrame, asked: pd.DataFrame, k: int, size: int,
     if not len(pages) or not len(asked):
         return empty
     points, names = _matrix(asked["vector"], size), asked["query_id"].to_numpy()
-    least = asked["least"].to_numpy(float).copy()
+    least = asked["least"].to_numpy(np.int64).copy()
+    exact = most >= EXACT
+    whole = points.astype(np.int64)
     # A page's routing point lies at least |d(query, pivot) - d(routing, pivot)| away: pages that this rules out cost no distance.
     least_away = np.abs(asked["up"].to_numpy(float)[:, None] - pages["to_parent"].to_numpy()) - pages["radius"].to_numpy()
     pages = pages[(least_away <= _reach(points, least, most)[:, None]).any(0)]
@@ -190,9 +198,9 @@ def _search_subtree(pages: pd.DataFrame, asked: pd.DataFrame, k: int, size: int,
     away = _distances(points, np.zeros(len(points)), routing, lifts)
     bounds = np.maximum(away - pages["radius"].to_numpy(), 0)
     order = np.argsort(bounds, axis=1, kind="stable")
-    entries = [(np.asarray(ids), np.asarray(flat, float).reshape(len(ids), -1), np.asarray(distances)) for ids, flat, distances in
+    entries = [(np.asarray(ids), np.asarray(flat, np.int64 if exact else float).reshape(len(ids), -1), np.asarray(distances)) for ids, flat, distances in
                zip(pages["ids"], pages["vectors"], pages["distances"], strict=True)]
-    scores = np.full((len(points), k), -np.inf)
+    scores = np.full((len(points), k), NONE)
     ids = np.full((len(points), k), np.iinfo(np.int64).max)
     active = np.arange(len(points))
     for turn in range(len(pages)):
@@ -211,21 +219,21 @@ def _search_subtree(pages: pd.DataFrame, asked: pd.DataFrame, k: int, size: int,
             columns = np.flatnonzero(wanted.any(0))
             if not columns.size:
                 continue
-            found = points[mine] @ vectors[columns].T
-            found[~wanted[:, columns] | (names[mine][:, None] == entry_ids[columns])] = -np.inf
+            found = whole[mine] @ vectors[columns].T if exact else (points[mine] @ vectors[columns].T).astype(np.int64)
+            found[~wanted[:, columns] | (names[mine][:, None] == entry_ids[columns])] = NONE
             better = found.max(1) >= least[mine]
             mine, found = mine[better], found[better]
             if not mine.size:
                 continue
             every = np.concatenate((scores[mine], found), 1)
             every_ids = np.concatenate((ids[mine], np.broadcast_to(entry_ids[columns], found.shape)), 1)
-            best = np.lexsort((every_ids, -every), axis=1)[:, :k]
+            best = np.lexsort((every_ids, ~every), axis=1)[:, :k]  # ~ turns the order, also of the least number
             scores[mine] = np.take_along_axis(every, best, 1)
             ids[mine] = np.take_along_axis(every_ids, best, 1)
             least[mine] = np.maximum(least[mine], scores[mine, -1])
-    held = np.isfinite(scores)
+    held = scores != NONE
     at, _ = np.nonzero(held)
-    return pd.DataFrame({"ask": asked["ask"].to_numpy()[at], "query_id": names[at], "vec_id": ids[held], "score": scores[held].astype(np.int64)})
+    return pd.DataFrame({"ask": asked["ask"].to_numpy()[at], "query_id": names[at], "vec_id": ids[held], "score": scores[held]})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame | None, k: int, scale: int = 64, id_col: str = "vec_id",
@@ -233,7 +241,8 @@ def top_k(vectors: DataFrame, queries: DataFrame | None, k: int, scale: int = 64
     """query_id, rank (from 1), vec_id, score: for each query its k rows with the largest integer inner product.
 
     Both tables hold (id, vector); components count as floor(scale * x), and short vectors as if zeros followed. A query does not find rows with
-    its own id. Null ids, null vectors and vectors with null or non-finite components take no part. Fewer rows than
+    its own id. Null ids, null vectors and vectors with null or non-finite components take no part, nor do those whose scaled components reach
+    2^32 or whose scaled length reaches 2^31.5, as their products do not fit 64 bits. Fewer rows than
     k: all of them. A row that is there twice is found twice, but asked for once; each different vector under one id is
     a query with ranks of its own. `queries` None: every row is one.
     """

@@ -66,3 +66,17 @@ def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(row["vec_id"], row["embedding"]) for row in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     assert found(op9_mtree_search(spark, folder)) == brute(rows, lambda key: key % 20 == 0, 20)
+
+
+def test_large_components(spark):
+    """Products beyond 2^53 are exact; what does not fit 64 bits takes no part and nothing crashes."""
+    rng = np.random.default_rng(9)
+    rows = [(at, (rng.normal(size=6) * 1e7).tolist()) for at in range(150)]
+    rows += [(200, [2e7, 2e7 + 1 / 64, -2e7, 0.0, 1.0, 2.0]), (220, [2e7, 2e7, -2e7, 0.0, 1.0, 2.0])]
+    usual = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    beyond = [(400, [1e8] * 6), (420, [1e300] * 6), (440, [-1e300, 0.0, 0.0, 0.0, 0.0, 0.0]), (460, [6.7e7] * 6)]
+    frame = usual.union(spark.createDataFrame(beyond, "vec_id long, embedding array<double>"))
+    got = found(metric_search.top_k(frame, frame.where("vec_id % 20 = 0"), 20))
+    wanted = brute(rows, lambda key: key % 20 == 0, 20)
+    assert max(abs(row[3]) for row in wanted) > 2**53
+    assert got == wanted
