@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickwarden.llm.common import saved
+from clickwarden.llm.common import delete_folders, noted, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     ones, until nothing changes; the rounds grow with the logarithm of the longest path. Minima are taken before the
     shuffle, so a node with many links costs no more than others; the joins are ones that Spark can split.
     """
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    with noted() as folders:
+        edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = (0, None, None)
     while (state := _state(edges)) != before:
         before = state
@@ -24,7 +25,10 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = saved(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        old = folders
+        with noted() as folders:
+            edges = saved(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        delete_folders(old, edges)
     return edges.toDF("node", "root")
 
 
