@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickwarden.llm.common import WORD, keyed_texts, saved
@@ -289,19 +289,25 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest_links(every: DataFrame, firsts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Step 3: all links between documents of different classes."""
+    """Step 3: all links between documents of different classes.
+
+    Of a set's prefix only shingles that stand in another class's prefix too can be shared there: what two sets share before a common
+    shingle of both prefixes is in both prefixes. `before` counts these; the rest of what stands before is its own.
+    """
     ones = firsts.select(F.col("first").alias("doc_id")).distinct().join(
         roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     prefixes = saved(_prefixes(every, percent).join(ones, "doc_id").select(
         F.posexplode("tokens").alias("place", "token"), "doc_id", "size", F.coalesce("root", "doc_id").alias("root")))
     shared = prefixes.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
         "low < high").select("token")
-    rows = saved(prefixes.join(shared, "token"))
-    left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "size", "root", "place")])
+    met = prefixes.join(shared, "token").withColumn(
+        "before", F.count(F.lit(1)).over(Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = saved(met.where(100 * (F.col("before") + F.col("size") - F.col("place")) >= percent * F.col("size")))
+    left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "size", "root", "place", "before")])
                    for side in ("a", "b"))
     needed = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / (100 + percent))
-    # At most the shingles before both places, this one and those behind both are shared.
-    reach = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    # At most the shared ones before both places, this one and those behind both are shared.
+    reach = F.least("before_a", "before_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     pairs = left.join(right, "token").where(
         (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & (reach >= needed))
     # Behind its prefix a set has ceil(percent * size / 100) - 1 shingles, and of one of the two no more can be shared.
