@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickwarden.llm.common import WORD, keyed_texts, saved
+from clickwarden.llm.common import WORD, delete_folders, keyed_texts, noted, saved
 from clickwarden.llm.components import components
 
 #: Keys of a document in step 2, each of two minima; and about the most documents, and shingles, of a block.
@@ -218,6 +218,22 @@ def _only(frame: DataFrame, ids: DataFrame) -> DataFrame:
     return frame.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """The saved rows, of three numbers at most, to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _told_apart(keyed: DataFrame) -> DataFrame:
+    """Rows of one key of each group of keys that the same documents share: a family that agrees on all keys meets once.
+
+    Groups are told apart by size and 128 bits over their members.
+    """
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"),
+                                      F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
+    one = saved(groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return keyed.join(_small(one), "key", "left_semi")
+
+
 def _blocks(keyed: DataFrame, seed: int) -> DataFrame:
     """Documents that share a key with others, and their block among them."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m")).where("n > 1")
@@ -231,11 +247,11 @@ def _family_links(every: DataFrame, firsts: DataFrame, percent: int) -> DataFram
     """Step 2: links within blocks of documents that agree on a key."""
     one = (every["print"] == firsts["print"]) & (every["doc_id"] == firsts["first"])
     keyed = every.select("doc_id", "print", "n_shingles", "keys").join(firsts, one, "left_semi").dropDuplicates(["print"])
-    met = _blocks(keyed.select("doc_id", "n_shingles", F.explode("keys").alias("key")), 7)
+    met = _blocks(_told_apart(saved(keyed.select("doc_id", "n_shingles", F.explode(F.array_distinct("keys")).alias("key")))), 7)
     active = saved(_only(every.select("doc_id", "shingles"), saved(met.select("doc_id").distinct())))
 
     def within(blocks: DataFrame) -> DataFrame:
-        return saved(blocks.select("doc_id", "key", "block").join(active, "doc_id").groupBy("key", "block")
+        return saved(active.join(_small(blocks.select("doc_id", "key", "block")), "doc_id").groupBy("key", "block")
                      .applyInPandas(_block_links(percent), "a long, b long"))
 
     links, split = within(met), met.where("split")
@@ -294,13 +310,13 @@ def _rest_links(every: DataFrame, firsts: DataFrame, roots: DataFrame, percent:
     Of a set's prefix only shingles that stand in another class's prefix too can be shared there: what two sets share before a common
     shingle of both prefixes is in both prefixes. `before` counts these; the rest of what stands before is its own.
     """
-    ones = firsts.select(F.col("first").alias("doc_id")).distinct().join(
-        roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    prefixes = saved(_prefixes(every, percent).join(ones, "doc_id").select(
-        F.posexplode("tokens").alias("place", "token"), "doc_id", "size", F.coalesce("root", "doc_id").alias("root")))
-    shared = prefixes.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
-        "low < high").select("token")
-    met = prefixes.join(shared, "token").withColumn(
+    ones = saved(firsts.select(F.col("first").alias("doc_id")).distinct().join(
+        roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")))
+    prefixes = saved(_prefixes(every, percent).join(_small(ones), "doc_id").select(
+        F.posexplode("tokens").alias("place", "token"), "doc_id", "size", "root"))
+    shared = saved(prefixes.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low < high").select("token"))
+    met = prefixes.join(_small(shared), "token").withColumn(
         "before", F.count(F.lit(1)).over(Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)))
     rows = saved(met.where(100 * (F.col("before") + F.col("size") - F.col("place")) >= percent * F.col("size")))
     left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "size", "root", "place", "before")])
@@ -333,8 +349,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     """
     every = saved(shingle_sets(docs, n, id_col, text_col))
     firsts = saved(every.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("first")))
-    family = _family_links(every, firsts, percent)
-    rest = _rest_links(every, firsts, components(family), percent)
+    with noted() as folders:
+        family = _family_links(every, firsts, percent)
+    delete_folders(folders, family)
+    with noted() as folders:
+        rest = saved(_rest_links(every, firsts, components(family), percent))
+    delete_folders(folders, rest)
     roots = components(family.union(rest))
     named = every.select("doc_id", "n_shingles", "print").join(firsts, "print", "left").withColumn(
         "first", F.coalesce("first", "doc_id"))
