@@ -6,13 +6,16 @@ lines and copies are gone, personal data is replaced. The last stage returns pla
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickwarden.llm import divergence_rules, line_dedup, ngram_join, packing, pii
-from clickwarden.llm.common import saved, table
+from clickwarden.llm.common import delete_folders, noted, saved, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 OTHERS = ("lang", "source", "n_chars")
 #: Broadcast this many ids of documents at most; more are joined by a shuffle.
@@ -64,21 +67,41 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [
+#: By folder and number of a stage, the tables that it has saved on its way.
+_left: dict[tuple[str, int], list[str]] = {}
+
+
+def _tidied(number: int, stage: Stage) -> Stage:
+    """The stage, which first deletes the tables that the one before it saved on its way, as that one's result has been written by now."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_folders(_left.pop((sf_dir, number - 1), []), docs)
+        with noted() as folders:
+            result = stage(spark, docs, sf_dir)
+        _left[sf_dir, number] = folders
+        return result
+
+    return run_stage
+
+
+STAGES = [(name, _tidied(number, stage)) for number, (name, stage) in enumerate([
     ("quality_rules", quality_rules),
     ("line_dedup", line_deduplication),
     ("ngram_jaccard_join", near_duplicates),
     ("pii", personal_data),
     ("best_fit_packing", pack_sequences),
-]
+])]
 
 #: SQL has neither the tokenizer nor the searches; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over `documents`; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+    """The stages one after the other over `documents`; each result is written and read again, and goes when the next is there."""
+    docs, written = table(spark, sf_dir, "documents"), []
+    for number, (_, stage) in enumerate(STAGES):
+        result = stage(spark, docs, sf_dir)
+        with noted() as folders:
+            docs = saved(result)
+        delete_folders(_left.pop((sf_dir, number), []) + written, docs)
+        written = folders
     return docs
