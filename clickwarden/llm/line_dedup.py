@@ -89,10 +89,17 @@ def _refined(rows: DataFrame, max_edits: int) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), number (from 0), line (without white space around it) and its hashes: the lines with a word."""
+    return _hashed(_split(docs))
+
+
+def _split(docs: DataFrame) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda line: F.trim(line, F.lit(WHITE)))
-    return (docs.where("text is not null").select(
+    return docs.where("text is not null").select(
         "doc_id", F.xxhash64("text").alias("t"), F.posexplode(lines).alias("number", "line")).where("line <> ''")
-        .withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")}))
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
 def edits_at_most(a: Column, b: Column, limit: int) -> Column:
@@ -182,6 +189,16 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
+def _with_lines(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """The entries with the columns of their lines. A line is joined once, with all its entries, and not once for each of them.
+
+    A line has some dozens of entries at most at a level, whatever the number of lines.
+    """
+    own = [name for name in entries.columns if name not in ("h", "g")]
+    of_line = entries.groupBy("h", "g").agg(F.collect_list(F.struct(*own)).alias("own"))
+    return of_line.join(lines, ["h", "g"]).select(*lines.columns, F.inline("own"))
+
+
 def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Pairs (h_a, g_a, h_b, g_b) of different lines within max_edits, each pair once."""
     long = lines.where(F.char_length("line") >= max(least_chars, 2 * max_edits + 2))
@@ -196,10 +213,12 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
     pairs = None
     for again in range(REFINEMENTS + 1):
         found, looks = F.col("role").bitwiseAND(F.lit(FOUND)) > 0, F.col("role").bitwiseAND(F.lit(LOOKS)) > 0
-        sums = state.groupBy("key").agg(F.count_if(found).alias("n"), F.count_if(looks).alias("m"))
+        sums = (state.groupBy("key").agg(F.count_if(found).alias("n"), F.count_if(looks).alias("m"),
+                                         F.min("h").alias("low"), F.max("h").alias("high"))
+                .where("n > 0 and m > 0 and low <> high"))  # no other key pairs lines
         hot = F.col("n") * F.col("m") > (HOT_PAIRS if again < REFINEMENTS else 2**62)
-        marked = saved(state.join(sums.select("key", hot.alias("hot")), "key").join(signed, ["h", "g"]))
-        cold = marked.where("not hot")
+        marked = saved(state.join(sums.select("key", hot.alias("hot")), "key"))
+        cold = saved(_with_lines(marked.where("not hot").select("h", "g", "key", "role").distinct(), signed))
         one, two = (cold.where(side).select("key", *[F.col(name).alias(f"{name}_{letter}") for name in ("h", "g", "one", "two")])
                     for side, letter in ((found, "a"), (looks, "b")))
         a, b = (F.struct(F.col(f"h_{side}").alias("h"), F.col(f"g_{side}").alias("g")) for side in "ab")
@@ -207,9 +226,9 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
         close = (differ("one") <= 2 * max_edits) & (differ("two") <= 4 * max_edits)
         met = one.join(two, "key").where((a != b) & close).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         pairs = met if pairs is None else pairs.union(met)
-        if again == REFINEMENTS or (rest := marked.where("hot")).isEmpty():
+        if again == REFINEMENTS or (rest := marked.where("hot").drop("hot")).isEmpty():
             break
-        state = saved(_refined(rest.drop("hot", "one", "two").join(texts, ["h", "g"]), max_edits).distinct())
+        state = saved(_refined(_with_lines(rest, texts), max_edits).distinct())
     pairs = saved(pairs.distinct().select(F.col("a.h").alias("h_a"), F.col("a.g").alias("g_a"),
                                           F.col("b.h").alias("h_b"), F.col("b.g").alias("g_b")))
     first, second = texts.toDF("h_a", "g_a", "line_a"), texts.toDF("h_b", "g_b", "line_b")
@@ -228,7 +247,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
     go by a hash of the text (t). Of the other columns those in `keep` come along.
     """
     texts = keyed_texts(docs, id_col, text_col, *keep)
-    lines = lines_of(texts)
+    lines = _hashed(saved(_split(texts)))  # read five times
     places = F.struct("doc_id", "t", "number")
     firsts = saved(lines.groupBy("h", "g").agg(F.min(places).alias("first"), F.count(F.lit(1)).alias("n")))
     near = near_lines(lines, max_edits, least_chars)

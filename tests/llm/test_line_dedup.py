@@ -141,3 +141,29 @@ def brute_by_blocks(texts):
 def _windows(line):
     """Eight characters around each of several places: two edits leave one of them whole in both lines, as sets of all."""
     return {line[at:at + 8] for at in range(0, len(line) - 7)}
+
+
+def test_a_line_of_a_large_family_is_joined_once(spark, monkeypatch):
+    """Lines that share two of three segments have many entries under shared keys, and entries that no other line shares go at once."""
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 50)
+    joined = []
+    plain = line_dedup.saved
+
+    def watched(frame):
+        table = plain(frame)
+        if "key" in table.columns and "role" in table.columns:
+            joined.append((table.columns, table))
+        return table
+
+    monkeypatch.setattr(line_dedup, "saved", watched)
+    rng = random.Random(5)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = [head + "".join(rng.choice("ijklmnop") for _ in range(40)) for _ in range(120)] + [head + "x" * 40, head + "x" * 39 + "y"]
+    near = line_dedup.near_lines(line_dedup.lines_of(documents(spark, texts)))
+    assert near.count() == 1
+    marked = [table for columns, table in joined if "hot" in columns]
+    assert len(marked) > 1
+    for table in marked:
+        assert {"one", "two"}.isdisjoint(table.columns)
+        alone = table.groupBy("key").agg(F.count_distinct("h").alias("lines")).where("lines < 2")
+        assert alone.isEmpty()
