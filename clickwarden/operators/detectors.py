@@ -100,9 +100,9 @@ def detect_all(events: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int =
     One read and two shuffles, where running the detectors one by one takes three reads and four
     shuffles. On a stream it runs in append mode.
     """
-    any_test = _any_test(max_events, max_ratio, max_categories, missing_views)
+    flagged = any_test(max_events, max_ratio, max_categories, missing_views)
     if _in_runs(events, window_duration, slide_duration):
-        activity = window_activity(events, window_duration, slide_duration, any_test, {**EVENT_COUNT, **ACTION_COUNTS}, True)
+        activity = window_activity(events, window_duration, slide_duration, flagged, {**EVENT_COUNT, **ACTION_COUNTS}, True)
     else:
         activity = activity_per_window(events, window_duration, slide_duration, watermark_delay)
     return judge_activity(activity, max_events, max_ratio, max_categories, missing_views)
@@ -126,8 +126,8 @@ def judge_activity(activity: DataFrame, max_events: int = MAX_EVENTS, max_ratio:
     those without a reason too, with a column `flagged`."""
     tests = _tests(max_events, max_ratio, max_categories, missing_views)
     reasons = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
-    any_test = _any_test(max_events, max_ratio, max_categories, missing_views)
-    kept = activity.withColumn("flagged", any_test) if keep_passed else activity.filter(any_test)
+    flagged = any_test(max_events, max_ratio, max_categories, missing_views)
+    kept = activity.withColumn("flagged", flagged) if keep_passed else activity.filter(flagged)
     return _detections(kept, reasons.alias("reasons"), "n_events", "clicks", "views", "n_categories", *["flagged"] * keep_passed)
 
 
@@ -139,7 +139,7 @@ def _tests(max_events: int, max_ratio: int, max_categories: int, missing_views:
     }
 
 
-def _any_test(*limits) -> Column:
+def any_test(*limits) -> Column:
     high, ratio, spread = _tests(*limits).values()
     return high | ratio | spread
 

@@ -21,8 +21,9 @@ from clickwarden.defaults import WINDOW
 from clickwarden.functions.events import EVENT_COLUMNS, tag_events
 from clickwarden.functions.times import duration_seconds
 from clickwarden.operators.counts import ACTION_COUNTS, EVENT_COUNT, with_window
-from clickwarden.operators.detectors import judge_activity
-from clickwarden.operators.panes import category_bits, first_window_end, in_windows
+from clickwarden.operators.detectors import any_test, judge_activity
+from clickwarden.operators.panes import (
+    RUNS_FROM, WORD_BITS, category_bits, first_window_end, in_windows, window_runs, windows_of_a_pane)
 from clickwarden.sinks.folders import CommitLog, Folder
 
 TAGGED = "ip string, category_id string, type string, timestamp timestamp, value string, reject_reason string, file string, kind string"
@@ -168,7 +169,13 @@ class EventStore:
     def detect_all(self, max_events: int, max_ratio: int, max_categories: int, window_duration: str = WINDOW,
                    slide_duration: str | None = None, missing_views: str = "one") -> DataFrame:
         """What `operators.detect_all` finds among all events, from the counts alone."""
-        return judge_activity(self.activity(window_duration, slide_duration), max_events, max_ratio, max_categories, missing_views)
+        window, slide = self._checked(window_duration), self._checked(slide_duration or window_duration)
+        if windows_of_a_pane(window, slide) < RUNS_FROM:
+            activity = self.activity(window, slide)
+        else:  # by running sums: only flagged windows are written out
+            flagged = any_test(max_events, max_ratio, max_categories, missing_views)
+            activity = window_runs(_by_category(self.partials()), window, slide, COUNTS, flagged, ["category"])
+        return judge_activity(activity, max_events, max_ratio, max_categories, missing_views)
 
     def follow(self, path: str, max_events: int, max_ratio: int, max_categories: int, watermark_delay: str,
                window_duration: str = WINDOW, slide_duration: str | None = None, missing_views: str = "one") -> Followed | None:
@@ -221,6 +228,14 @@ def _merged(partials: DataFrame, keys: list[str]) -> DataFrame:
     return partials.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), *[F.sum(name).alias(name) for name in COUNTS])
 
 
+def _by_category(partials: DataFrame) -> DataFrame:
+    """The rows by pane once for each category in their bits, as `category`; the first of these has the counts."""
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda at: F.call_function("getbit", "bits", at) == 1)
+    rows = partials.select("ip", "window", "word", "other", *COUNTS, F.posexplode(numbers).alias("nth", "number"))
+    return rows.select("ip", "window", F.struct("word", "other", "number").alias("category"),
+                       *[F.when(F.col("nth") == 0, F.col(name)).otherwise(0).alias(name) for name in COUNTS])
+
+
 def _activity(by_window: DataFrame) -> DataFrame:
     return _merged(by_window, ["ip", "window", "word", "other"]).groupBy("ip", "window").agg(
         *[F.sum(name).alias(name) for name in COUNTS], F.sum(F.bit_count("bits")).alias("n_categories"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickwarden import detect_all, parse_events
+from clickwarden.operators.detectors import judge_activity
 from clickwarden.sinks import changes_sink, merge_changes, parquet_sink, read_appended, read_changes
 from clickwarden.sinks.folders import CommitLog, Folder
 from clickwarden.sources import read_spool_events
@@ -279,3 +280,17 @@ def test_times_before_the_epoch_and_empty_stores(spark, tmp_path):
     epoch = datetime(1970, 1, 1)
     rows = {row["window"]["start"]: row["n_events"] for row in store.activity("2 minutes", "1 minute").collect()}
     assert rows == {epoch - timedelta(minutes=2): 1, epoch - timedelta(minutes=1): 2, epoch: 1}
+
+
+def test_many_windows_to_a_pane_are_running_sums(spark, tmp_path):
+    """Of a pane with 12 windows no row is written for each of them; the detections are those of the events."""
+    rows, spool = made_up(11, 300, 600), tmp_path / "spool"
+    store = EventStore(spark, str(tmp_path / "store"), "5 minutes")
+    for number in range(3):  # groups of one pane stand in several batches
+        add_batch(spool, number, lines(rows[number::3]))
+    ingest_all(store, spool, 1)
+    found = store.detect_all(*LIMITS, "1 hour", "5 minutes")
+    assert plain(found) == plain(detect_all(batch_events(spark, rows), *LIMITS, "1 hour", "5 minutes"))
+    assert plain(found) == plain(judge_activity(store.activity("1 hour", "5 minutes"), *LIMITS))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [lead(" in text and "bit_or" not in text
