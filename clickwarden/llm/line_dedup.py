@@ -41,50 +41,78 @@ def _places(budget: int, delta: int) -> list[tuple[int, int]]:
 
 
 def _placed(rows: DataFrame, places: list[tuple[int, int, int, int]]) -> DataFrame:
-    """Each row with each of the places (budget, delta, segment, shift), as the column p."""
-    return rows.withColumn("p", F.explode(F.array(*[
+    """Each row with each of the places (budget, delta, j, shift) for its own budget and delta, if it has them."""
+    placed = rows.withColumn("p", F.explode(F.array(*[
         F.struct(*[F.lit(value).alias(name) for name, value in zip(("budget", "delta", "j", "shift"), place, strict=True)])
         for place in places])))
+    own = [F.col(f"p.{name}") == F.col(name) for name in ("budget", "delta") if name in rows.columns]
+    for test in own:
+        placed = placed.where(test)
+    return placed.drop("budget", "delta").select("*", "p.*").drop("p")
 
 
-def _entries(rows: DataFrame, *kept: str | Column) -> DataFrame:
-    """Rows (line, key, role, start, size, p) to entries one level below: key, role, start, size, delta, budget.
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows (size, budget, delta, j, shift) with the `begin` and `length` of their segment in the part."""
+    parts, j, other = F.col("budget") + 1, F.col("j"), F.col("size") - F.col("delta")
+    base = F.floor(other / parts).cast("int")
+    even = parts - (other - base * parts)  # so many segments come before those with one more
+    return rows.withColumns({"length": base + F.when(j > even, 1).otherwise(0),
+                             "begin": (j - 1) * base + F.greatest(F.lit(0), j - 1 - even) + F.col("shift")})
 
-    The part of `size` characters from `start` (from 0) is cut for the place p. Only unshifted segments are found; one
-    that is looked for is looked for at all places. Of the two parts beside a segment the right one is
-    refined next, for the last segment the left one.
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows (line, key, role, start, size, and a place) as entries, under the key of their segment.
+
+    The part of `size` characters from `start` (from 0) is cut. Only unshifted segments are found; one that is looked
+    for is looked for at all places.
     """
-    parts, j, shift, delta = F.col("p.budget") + 1, F.col("p.j"), F.col("p.shift"), F.col("p.delta")
-    rows = rows.withColumn("other", F.col("size") - delta).withColumn("base", F.floor(F.col("other") / parts).cast("int"))
-    even = parts - (F.col("other") - F.col("base") * parts)  # so many segments come before those with one more
-    rows = rows.withColumns({
-        "length": F.col("base") + F.when(j > even, 1).otherwise(0),
-        "begin": (j - 1) * F.col("base") + F.greatest(F.lit(0), j - 1 - even) + shift,
-        "role": F.when((shift == 0) & (delta == 0), F.col("role")).when(F.col("role") == FOUND, 0).otherwise(LOOKS),
-        "left": (j == parts) & (parts > 1)})
-    begin, length, left = F.col("begin"), F.col("length"), F.col("left")
-    return rows.where((begin >= 0) & (begin + length <= F.col("size")) & (F.col("role") > 0)).select(
-        *kept, F.xxhash64("key", j, F.substring("line", F.col("start") + begin + 1, length)).alias("key"), "role",
-        F.when(left, F.col("start")).otherwise(F.col("start") + begin + length).alias("start"),
-        F.when(left, begin).otherwise(F.col("size") - begin - length).alias("size"),
-        F.when(left, shift).otherwise(delta - shift).alias("delta"),
-        F.when(left, j - 1).otherwise(parts - j).alias("budget"))
+    role = (F.when((F.col("shift") == 0) & (F.col("delta") == 0), F.col("role"))
+            .when(F.col("role") == FOUND, 0).otherwise(LOOKS))
+    begin, length = F.col("begin"), F.col("length")
+    return (_cut(rows).withColumn("role", role).where((begin >= 0) & (begin + length <= F.col("size")) & (F.col("role") > 0))
+            .withColumn("key", F.xxhash64("key", "j", F.substring("line", F.col("start") + begin + 1, length))))
 
 
 def _line_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    """The entries of whole lines, for each length that a line can be close to."""
+    """The entries of whole lines (h, g, key, role, delta, j, shift), for each length that a line can be close to."""
     places = [(max_edits, delta, j, shift) for delta in range(max_edits + 1) for j, shift in _places(max_edits, delta)]
     sized = _placed(lines.select("h", "g", "line", F.char_length("line").alias("size")), places)
-    return _entries(sized.withColumns({"key": F.xxhash64(F.col("size") - F.col("p.delta")), "role": F.lit(BOTH),
-                                       "start": F.lit(0)}), "h", "g")
+    return _keyed(sized.withColumns({"key": F.xxhash64(F.col("size") - F.col("delta")), "role": F.lit(BOTH),
+                                     "start": F.lit(0)})).select("h", "g", "key", "role", "delta", "j", "shift")
+
+
+def _sides(entries: DataFrame) -> DataFrame:
+    """Entries with their lines to h, g, key, role and what is refined next: start, size, delta, budget, apart, differs, behind.
+
+    Of the two parts beside a segment that is the left one, for the first segment the right one. Some matching segment j has
+    j - 1 edits before it, no fewer, so what lies left of segment 2 and up is not equal in the two lines: `apart` says that the
+    part is of such a one, and `differs` stands for what cannot be equal. `behind` is the other part, where there is one.
+    """
+    parts, j, shift, delta = F.col("budget") + 1, F.col("j"), F.col("shift"), F.col("delta")
+    start, size, begin, left = F.col("start"), F.col("size"), F.col("begin"), F.col("j") > 1
+    end = begin + F.col("length")
+    before, after = F.substring("line", start + 1, begin), F.substring("line", start + end + 1, size - end)
+    right = {"start": start + end, "size": size - end, "delta": delta - shift, "budget": parts - j}
+    return _cut(entries).select(
+        "h", "g", "key", "role", *[F.when(left, value).otherwise(right[name]).alias(name)
+                                   for name, value in (("start", start), ("size", begin), ("delta", shift), ("budget", j - 1))],
+        (left | F.col("apart")).alias("apart"),
+        F.when(left, F.xxhash64(before)).when(F.col("apart"), F.xxhash64(after)).otherwise(F.col("h")).alias("differs"),
+        F.when(left & (j < parts), F.struct(*[value.alias(name) for name, value in right.items()],
+                                            F.xxhash64(after).alias("hash"))).alias("behind"))
 
 
 def _refined(rows: DataFrame, max_edits: int) -> DataFrame:
     """The entries one level below of rows (h, g, line, and an entry's columns)."""
-    places = [(budget, delta, j, shift) for budget in range(max_edits + 1) for delta in range(-budget, budget + 1)
-              for j, shift in _places(budget, delta)]
-    own = (F.col("p.budget") == F.col("budget")) & (F.col("p.delta") == F.col("delta"))
-    return _entries(_placed(rows, places).where(own).drop("budget", "delta"), "h", "g")
+    return _sides(_keyed(_placed(rows, [(budget, delta, j, shift) for budget in range(max_edits + 1)
+                                        for delta in range(-budget, budget + 1) for j, shift in _places(budget, delta)])))
+
+
+def _turned(entries: DataFrame) -> DataFrame:
+    """Entries with `turn`, whether what lies behind the segment is refined next and not what lies before it."""
+    turn, names = F.col("turn"), ("start", "size", "delta", "budget")
+    return entries.withColumns({**{name: F.when(turn, F.col(f"behind.{name}")).otherwise(F.col(name)) for name in names},
+                                "apart": F.col("apart") & ~turn}).drop("turn", "differs", "behind")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -210,14 +238,18 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
     texts = saved(long.select("h", "g", "line").join(wanted, ["h", "g"], "left_semi").groupBy("h", "g")
                   .agg(F.min("line").alias("line")))
     signed = saved(texts.select("h", "g", *_signatures(F.col("line"))))
+    state = saved(_sides(_with_lines(state, texts).withColumns({
+        "start": F.lit(0), "size": F.char_length("line"), "budget": F.lit(max_edits), "apart": F.lit(False)})))
     pairs = None
     for again in range(REFINEMENTS + 1):
         found, looks = F.col("role").bitwiseAND(F.lit(FOUND)) > 0, F.col("role").bitwiseAND(F.lit(LOOKS)) > 0
-        sums = (state.groupBy("key").agg(F.count_if(found).alias("n"), F.count_if(looks).alias("m"),
-                                         F.min("h").alias("low"), F.max("h").alias("high"))
+        # Refined is the side with more different texts, as one that the lines have in common tells none apart.
+        turn = F.approx_count_distinct("behind.hash", 0.1) > F.approx_count_distinct("differs", 0.1)
+        sums = (state.groupBy("key").agg(F.count_if(found).alias("n"), F.count_if(looks).alias("m"), turn.alias("turn"),
+                                         F.min("differs").alias("low"), F.max("differs").alias("high"))
                 .where("n > 0 and m > 0 and low <> high"))  # no other key pairs lines
         hot = F.col("n") * F.col("m") > (HOT_PAIRS if again < REFINEMENTS else 2**62)
-        marked = saved(state.join(sums.select("key", hot.alias("hot")), "key"))
+        marked = saved(state.join(sums.select("key", "turn", hot.alias("hot")), "key"))
         cold = saved(_with_lines(marked.where("not hot").select("h", "g", "key", "role").distinct(), signed))
         one, two = (cold.where(side).select("key", *[F.col(name).alias(f"{name}_{letter}") for name in ("h", "g", "one", "two")])
                     for side, letter in ((found, "a"), (looks, "b")))
@@ -226,7 +258,7 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
         close = (differ("one") <= 2 * max_edits) & (differ("two") <= 4 * max_edits)
         met = one.join(two, "key").where((a != b) & close).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         pairs = met if pairs is None else pairs.union(met)
-        if again == REFINEMENTS or (rest := marked.where("hot").drop("hot")).isEmpty():
+        if again == REFINEMENTS or (rest := _turned(marked.where("hot").drop("hot"))).isEmpty():
             break
         state = saved(_refined(_with_lines(rest, texts), max_edits).distinct())
     pairs = saved(pairs.distinct().select(F.col("a.h").alias("h_a"), F.col("a.g").alias("g_a"),

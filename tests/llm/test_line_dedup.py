@@ -167,3 +167,37 @@ def test_a_line_of_a_large_family_is_joined_once(spark, monkeypatch):
         assert {"one", "two"}.isdisjoint(table.columns)
         alone = table.groupBy("key").agg(F.count_distinct("h").alias("lines")).where("lines < 2")
         assert alone.isEmpty()
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_families_refined_to_the_end_equal_all_pairs(spark, monkeypatch, limit):
+    """Edits on one side, the other or both of what a family shares, and keys refined down to parts of a few characters."""
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 1)
+    rng = random.Random(limit)
+    stem = "".join(rng.choice("abcdefgh ") for _ in range(46)).strip()
+    stems = [stem, "v1 " + stem, "v2 " + stem, stem + " a", stem + " b"]
+    texts = [edited(rng, rng.choice(stems), rng.choice([0, 1, 2, limit + 1])) for _ in range(60)]
+    texts += [f"{rng.choice('ab')} {stem} {rng.randrange(10**6):06d}" for _ in range(30)]
+    texts += [f"{rng.randrange(10**6):06d} {stem} {rng.choice('ab')}" for _ in range(30)]
+    assert found(line_dedup.dedup_lines(documents(spark, texts), max_edits=limit)) == brute(dict(enumerate(texts)), limit)
+
+
+@pytest.mark.parametrize("line", ["{head}{number}{tail}", "{number}{head}{tail}", "{kind}{head}{tail}{number}", "{number}{head}{tail}{kind}"])
+def test_rows_of_a_large_family_do_not_grow_with_each_refinement(spark, monkeypatch, line):
+    """Lines that share all but a number: a key is refined where its lines differ, so entries become fewer and not more."""
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 50)
+    rows, plain = [], line_dedup.saved
+
+    def watched(frame):
+        table = plain(frame)
+        if "hot" in table.columns:
+            rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "saved", watched)
+    rng = random.Random(7)
+    head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(48)) + "." for _ in range(2))
+    texts = [line.format(head=head, tail=tail, number=f"{at * 7919 % 10007:05d}{at * 104729 % 100003:06d}", kind="xy"[at % 2])
+             for at in range(200)]
+    assert found(line_dedup.dedup_lines(documents(spark, texts))) == brute(dict(enumerate(texts)))
+    assert max(rows) <= 3 * rows[0]
