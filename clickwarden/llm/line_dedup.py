@@ -3,9 +3,9 @@
 All of it is DataFrame functions. Equal lines are found by 128 bits of hash. For the others a line of length l is cut into
 max_edits + 1 segments; a line within max_edits of it holds one of them unchanged, at one of a few places that depend on the
 two lengths. So each line enters its own segments under (length, number, text) and looks up its substrings under the lengths
-it can be close to. Where many lines meet under one key, the key is refined: what is left of the line beside the
-matching segment is cut in the same way, with the edits left for it, so that no key pairs all lines that share a
-beginning. Pairs are verified by a banded bit-parallel edit distance.
+it can be close to. Where many lines meet under one key, the key is refined: of the line's parts beside the matching
+segment the one with more different texts is cut in the same way, with the edits left for it, so that no key pairs all lines
+that share a beginning, an end or both. Pairs are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
