@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickwarden.defaults import CLICK, VIEW, WINDOW
 from clickwarden.functions.events import filter_actions
 from clickwarden.functions.times import event_window
+from clickwarden.operators.pane_state import windows_from_state
 from clickwarden.operators.panes import WORD_BITS, category_bits, in_windows, pane_seconds, window_runs
 
 # Codes that a row of state has a bit for: 64 KB at most.
@@ -124,14 +125,20 @@ def category_words(events: DataFrame, window_duration: str, slide_duration: str,
     of the dictionary at most. On streams, append mode only.
     """
     counts = counts or {}
+    panes = _pane_words(events, window_duration, slide_duration, watermark_delay, counts, dictionary)
+    return in_windows(panes, window_duration, slide_duration).groupBy("ip", "window", "word", "other").agg(
+        F.bit_or("bits").alias("bits"), *[F.sum(name).alias(name) for name in counts])
+
+
+def _pane_words(events: DataFrame, window_duration: str, slide_duration: str, watermark_delay: str | None,
+                counts: dict[str, str], dictionary: DataFrame | None = None) -> DataFrame:
+    """(ip, window, word, other, bits, counts), `window` being the pane."""
     paned = with_pane(events, window_duration, slide_duration, watermark_delay)
     if dictionary is not None:
         paned = paned.join(dictionary.select("category_id", "code"), "category_id", "left")
     coded = paned.select("*", *category_bits(dictionary is not None))
-    keys = ["ip", "window", "word", "other"]
-    panes = coded.groupBy(*keys).agg(F.bit_or("bit").alias("bits"), *[F.expr(count).alias(name) for name, count in counts.items()])
-    return in_windows(panes, window_duration, slide_duration).groupBy(*keys).agg(
-        F.bit_or("bits").alias("bits"), *[F.sum(name).alias(name) for name in counts])
+    return coded.groupBy("ip", "window", "word", "other").agg(
+        F.bit_or("bit").alias("bits"), *[F.expr(count).alias(name) for name, count in counts.items()])
 
 
 def activity_early(events: DataFrame, dictionary: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
@@ -157,11 +164,19 @@ def activity_early(events: DataFrame, dictionary: DataFrame, window_duration: st
 
 
 def window_activity(events: DataFrame, window_duration: str, slide_duration: str, keep: Column,
-                    sums: dict[str, str], categories: bool) -> DataFrame:
-    """(ip, window, sums, n_categories if asked for) of the sliding windows of a batch for which `keep` holds, by running sums."""
+                    sums: dict[str, str], categories: bool, watermark_delay: str | None = None,
+                    above: dict[str, int] | None = None) -> DataFrame:
+    """(ip, window, sums, n_categories if asked for) of the sliding windows for which `keep` holds, by running sums: over a batch,
+    or over the panes that a stream in append mode keeps for each ip. `above` is as in `windows_from_state`, which takes it."""
+    above = {name: 0 for name in (*sums, "n_categories")} if above is None else above
+    if events.isStreaming and categories:
+        panes = _pane_words(events, window_duration, slide_duration, watermark_delay, sums)
+        return windows_from_state(panes, window_duration, slide_duration, list(sums), keep, above, words=True)
     by = ["category_id"] if categories else []
-    panes = with_pane(events, window_duration, slide_duration).groupBy("ip", "window", *by).agg(
+    panes = with_pane(events, window_duration, slide_duration, watermark_delay).groupBy("ip", "window", *by).agg(
         *[F.expr(count).alias(name) for name, count in (sums or EVENT_COUNT).items()])
+    if events.isStreaming:
+        return windows_from_state(panes, window_duration, slide_duration, list(sums), keep, above)
     return window_runs(panes, window_duration, slide_duration, list(sums), keep, by)
 
 

@@ -4,8 +4,9 @@ All return `ip, window_start, window_end, event_time`, what the ip was flagged f
 behind it. `event_time` is the last instant of the window; on a stream it carries the watermark, so
 that detections can be windowed again. All limits are strict: a group equal to its limit passes.
 
-`mode` is the output mode a stream will run in: naming "append" lets sliding windows be put together from panes. Batches
-with many windows to a pane write out the flagged windows only (`panes.window_runs`).
+`mode` is the output mode a stream will run in: naming "append" lets sliding windows be put together from panes. With many
+windows to a pane, batches write out the flagged windows only (`panes.window_runs`), and streams in append mode take keyed
+state (`pane_state.windows_from_state`), which needs the RocksDB state store.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ def detect_high_activity(events: DataFrame, max_events: int = MAX_EVENTS, window
                          mode: str | None = None) -> DataFrame:
     """Ips with more than `max_events` events, of any type, in a window."""
     too_many = F.col("n_events") > _limit("max_events", max_events)
-    if _in_runs(events, window_duration, slide_duration):
-        flagged = window_activity(events, window_duration, slide_duration, too_many, EVENT_COUNT, False)
+    if _in_runs(events, window_duration, slide_duration, mode):
+        flagged = window_activity(events, window_duration, slide_duration, too_many, EVENT_COUNT, False, watermark_delay,
+                                  {"n_events": max_events})
     else:
         flagged = count_per_window(events, window_duration, slide_duration, watermark_delay, mode).filter(too_many)
     return _detections(flagged, F.lit(HIGH_ACTIVITY).alias("reason"), "n_events")
@@ -50,9 +52,11 @@ def detect_click_view_ratio(events: DataFrame, max_ratio: int = MAX_RATIO, windo
     with a column `flagged` by which `read_changes` leaves them out.
     """
     flagged = _too_many_clicks(max_ratio, missing_views)
-    if _in_runs(events, window_duration, slide_duration):
-        counts = window_activity(filter_actions(events, CLICK, VIEW), window_duration, slide_duration,
-                                 F.lit(True) if keep_passed else flagged, ACTION_COUNTS, False)
+    if _in_runs(events, window_duration, slide_duration, mode):
+        # A stream counts all types, as a filter would be pushed below the watermark.
+        acting = events if events.isStreaming else filter_actions(events, CLICK, VIEW)
+        counts = window_activity(acting, window_duration, slide_duration, F.lit(True) if keep_passed else flagged,
+                                 ACTION_COUNTS, False, watermark_delay, None if keep_passed else {"clicks": max_ratio})
     else:
         counts = action_counts_per_window(events, window_duration, slide_duration, watermark_delay, mode)
     counts = counts.withColumn("flagged", flagged) if keep_passed else counts.filter(flagged)
@@ -74,8 +78,9 @@ def detect_category_spread(events: DataFrame, max_categories: int = MAX_CATEGORI
     """
     limit = _limit("max_categories", max_categories)
     reason = F.lit(CATEGORY_SPREAD).alias("reason")
-    if scope == "per_window" and _in_runs(events, window_duration, slide_duration):
-        counts = window_activity(events, window_duration, slide_duration, F.col("n_categories") > limit, {}, True)
+    if scope == "per_window" and _in_runs(events, window_duration, slide_duration, mode):
+        counts = window_activity(events, window_duration, slide_duration, F.col("n_categories") > limit, {}, True, watermark_delay,
+                                 {"n_categories": max_categories})
         return _detections(counts, reason, "n_categories")
     if scope == "per_window":
         counts = distinct_categories_per_window(events, window_duration, slide_duration, watermark_delay, mode,
@@ -101,8 +106,9 @@ def detect_all(events: DataFrame, max_events: int = MAX_EVENTS, max_ratio: int =
     shuffles. On a stream it runs in append mode.
     """
     flagged = any_test(max_events, max_ratio, max_categories, missing_views)
-    if _in_runs(events, window_duration, slide_duration):
-        activity = window_activity(events, window_duration, slide_duration, flagged, {**EVENT_COUNT, **ACTION_COUNTS}, True)
+    if _in_runs(events, window_duration, slide_duration, "append"):
+        activity = window_activity(events, window_duration, slide_duration, flagged, {**EVENT_COUNT, **ACTION_COUNTS}, True,
+                                   watermark_delay, {"n_events": max_events, "clicks": max_ratio, "n_categories": max_categories})
     else:
         activity = activity_per_window(events, window_duration, slide_duration, watermark_delay)
     return judge_activity(activity, max_events, max_ratio, max_categories, missing_views)
@@ -156,8 +162,8 @@ def _too_many_clicks(max_ratio: int, missing_views: str) -> Column:
     return too_many & (F.col("views") > 0) if missing_views == "drop" else too_many
 
 
-def _in_runs(events: DataFrame, window_duration: str, slide_duration: str | None) -> bool:
-    return not events.isStreaming and windows_of_a_pane(window_duration, slide_duration) >= RUNS_FROM
+def _in_runs(events: DataFrame, window_duration: str, slide_duration: str | None, mode: str | None) -> bool:
+    return (not events.isStreaming or mode == "append") and windows_of_a_pane(window_duration, slide_duration) >= RUNS_FROM
 
 
 def _detections(flagged: DataFrame, *columns) -> DataFrame:

@@ -66,9 +66,10 @@ def in_steps(spark: SparkSession, sf_dir: str, detect: Callable[[DataFrame], Dat
     return result
 
 
-def finish_in_steps(spark: SparkSession, sf_dir: str, detect, mode: str, keys=WINDOW_KEYS) -> DataFrame:
+def finish_in_steps(spark: SparkSession, sf_dir: str, detect, mode: str, keys=WINDOW_KEYS,
+                    settings: dict[str, str] | None = None) -> DataFrame:
     folder = scratch_dir(spark)
-    result = in_steps(spark, sf_dir, detect, sink_of(mode, folder), folder, mode)
+    result = in_steps(spark, sf_dir, detect, sink_of(mode, folder), folder, mode, settings)
     return written(spark, folder, result, mode, keys)
 
 
@@ -89,12 +90,13 @@ def high_activity_sliding(spark, sf_dir):
 
 def high_activity_by_the_hour(spark, sf_dir):
     return finish_in_steps(spark, sf_dir, lambda events: detect_high_activity(
-        events, batch.MAX_EVENTS, batch.DAY, batch.HOUR, watermark_delay=WATERMARK, mode="append"), "append")
+        events, batch.MAX_EVENTS, batch.DAY, batch.HOUR, watermark_delay=WATERMARK, mode="append"), "append", settings=STATE_STORE)
 
 
 def all_detectors_by_the_hour(spark, sf_dir):
     return finish_in_steps(spark, sf_dir, lambda events: detect_all(
-        events, batch.MAX_EVENTS, batch.MAX_RATIO, batch.MAX_CATEGORIES, batch.DAY, batch.HOUR, watermark_delay=WATERMARK), "append")
+        events, batch.MAX_EVENTS, batch.MAX_RATIO, batch.MAX_CATEGORIES, batch.DAY, batch.HOUR, watermark_delay=WATERMARK),
+        "append", settings=STATE_STORE)
 
 
 def each_ip_once(spark, sf_dir):

@@ -17,10 +17,12 @@ from clickwarden.operators.blocklist import combine_detections
 from clickwarden.operators.counts import DEDUP_SALTS, SALT_BY
 from clickwarden.operators.detectors import (
     detect_all, detect_category_spread, detect_click_view_ratio, detect_high_activity)
+from clickwarden.operators.panes import RUNS_FROM, windows_of_a_pane
 from clickwarden.session import build_session
 from clickwarden.sinks import (
     CASSANDRA, Sink, blocklist_sink, cassandra_options, cassandra_sink, console_sink, newly_flagged_sink, parquet_sink, table_writer)
 from clickwarden.sources import read_kafka_events, read_spool_events
+from clickwarden.streaming.changes import STATE_STORE
 from clickwarden.streaming.run import AVAILABLE_NOW, LateRows, run_stream, start_stream
 from clickwarden.streaming.typed import has_typed, read_typed_events, start_typing
 
@@ -228,7 +230,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
     spark.streams.addListener(late)
     try:
         run_app(raw, detect, sink, options.checkpoint, options.mode, options.trigger, options.timeout, options.rejects,
-                events_path=options.events)
+                events_path=options.events,
+                settings=STATE_STORE if windows_of_a_pane(options.window, options.slide) >= RUNS_FROM else None)
     finally:
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(LISTENER_MILLISECONDS)
         spark.streams.removeListener(late)

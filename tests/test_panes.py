@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickwarden import (
-    action_counts_per_window, activity_per_window, category_dictionary, category_words, count_per_window, detect_all, detect_all_early,
+    action_counts_per_window, activity_per_window, category_dictionary, category_words, combine_detections, count_per_window, detect_all,
+    detect_all_early,
     detect_category_spread, detect_click_view_ratio, detect_high_activity, distinct_categories_per_window, first_of_each_ip)
 from clickwarden.operators import detectors
 from clickwarden.operators.counts import with_pane
@@ -15,7 +16,7 @@ from clickwarden.operators.panes import in_windows, pane_seconds, windows_of_a_p
 from clickwarden.sinks import changes_sink, parquet_sink, read_appended, read_changes, read_snapshot, snapshot_sink
 from clickwarden.sources import read_spool_events
 from clickwarden.functions import parse_events
-from clickwarden.streaming import AVAILABLE_NOW, run_stream
+from clickwarden.streaming import AVAILABLE_NOW, STATE_STORE, run_stream
 from tests.data import add_batch, frame, line
 
 EPOCH = datetime(1970, 1, 1)
@@ -197,6 +198,58 @@ def test_append_stream_equals_batch_over_restarts(spark, tmp_path, name):
     assert found.count() > 0
 
 
+MANY = {"window_duration": "20 minutes", "slide_duration": "2 minutes"}
+
+
+@pytest.mark.parametrize("name", ["high", "ratio", "spread", "all", "uneven", "combined"])
+def test_append_stream_with_many_windows_a_pane(spark, tmp_path, name):
+    """From keyed state, over restarts: the rows of a batch, and no row of state for each window that a pane is in."""
+    rows = sorted((row for row in made_up(6) if row[0] not in (None, "old")), key=lambda row: row[3])
+    # Its watermark passes the end of a window to the second; before it, some that come late within the delay.
+    edge = START + timedelta(minutes=71)
+    rows = [row for row in rows if row[3] <= edge] + [("b", "x", "click", edge)] + [row for row in rows if row[3] > edge]
+    closing = [("z", "1", "view", START + timedelta(days=1))]
+    uneven = {"window_duration": "21 minutes", "slide_duration": "2 minutes"}
+    detect = {
+        "high": lambda events, **more: detect_high_activity(events, 5, **MANY, **more),
+        "ratio": lambda events, **more: detect_click_view_ratio(events, 0, "20 minutes", "2 minutes", "drop", **more),
+        "spread": lambda events, **more: detect_category_spread(events, 3, **MANY, **more),
+        "all": lambda events, mode=None, **more: detect_all(events, 9, 1, 4, **MANY, **more),
+        "uneven": lambda events, mode=None, **more: detect_all(events, 9, 1, 4, **uneven, **more),
+        "combined": lambda events, mode=None, **more: combine_detections(
+            detect_all(events, 9, 1, 4, **MANY, **more), window_duration="40 minutes"),
+    }[name]
+    cut = rows.index(("b", "x", "click", edge)) + 1
+    swapped = [*rows[:100], *rows[110:150], *rows[100:110], *rows[150:cut]]
+    spool, result, written = tmp_path / "spool", None, 0
+    for number, part in enumerate((swapped[:105], swapped[105:180], swapped[180:], rows[cut:], closing)):
+        add_batch(spool, number, lines_of(part))
+        result = detect(stream_of(spark, spool), watermark_delay="10 minutes", mode="append")
+        query = run_stream(result, parquet_sink(str(tmp_path / "table")), str(tmp_path / "checkpoint"), trigger=AVAILABLE_NOW,
+                           settings=STATE_STORE)
+        written += sum(state["numRowsUpdated"] for progress in query.recentProgress for state in progress["stateOperators"])
+    found = read_appended(spark, str(tmp_path / "table"), result.schema)
+    wanted = detect(frame(spark, rows).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    assert sorted(map(str, found.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    assert found.count() > 0
+    # A pane is written once with each of its words, an ip once a batch and not for each of the 10 windows of a pane.
+    assert name == "combined" or written < 1.5 * len(rows)
+
+
+def test_windows_are_told_once_the_watermark_has_passed_them(spark, tmp_path):
+    """Those that no event closes are kept; the next batch tells them though it has no event of the ip."""
+    minute = int((START - EPOCH).total_seconds())
+    counts = []
+    for number, (name, at) in enumerate([("a", 0), ("z", 12), ("z", 13), ("z", 60)]):
+        add_batch(tmp_path / "spool", number, [line(name, 1, "click", minute + 60 * at)])
+        result = detect_high_activity(stream_of(spark, tmp_path / "spool"), 0, **MANY, watermark_delay="1 minute", mode="append")
+        run_stream(result, parquet_sink(str(tmp_path / "table")), str(tmp_path / "checkpoint"), trigger=AVAILABLE_NOW, settings=STATE_STORE)
+        found = read_appended(spark, str(tmp_path / "table"), result.schema).where("ip = 'a'")
+        counts.append(sorted((row["window_end"].replace(tzinfo=None) - START) // timedelta(minutes=1) for row in found.collect()))
+    # An event at minute 0 is in the windows that end at 2, 4, ..., 20; the watermark is at 11, 12 and 59.
+    assert counts == [[], [2, 4, 6, 8, 10], [2, 4, 6, 8, 10, 12], [2, 4, 6, 8, 10, 12, 14, 16, 18, 20]]
+
+
 def test_each_ip_once_until_it_is_let_go(spark, tmp_path):
     minute = int((START - EPOCH).total_seconds())
     parts = [["a", "b", "a"], ["a", "c"], ["b", "d"], ["e"], ["f"], ["a"]]
