@@ -136,8 +136,11 @@ def _pane_words(events: DataFrame, window_duration: str, slide_duration: str, wa
     paned = with_pane(events, window_duration, slide_duration, watermark_delay)
     if dictionary is not None:
         paned = paned.join(dictionary.select("category_id", "code"), "category_id", "left")
-    coded = paned.select("*", *category_bits(dictionary is not None))
-    return coded.groupBy("ip", "window", "word", "other").agg(
+    return _by_words(paned, counts, dictionary is not None)
+
+
+def _by_words(windowed: DataFrame, counts: dict[str, str], dictionary: bool = False) -> DataFrame:
+    return windowed.select("*", *category_bits(dictionary)).groupBy("ip", "window", "word", "other").agg(
         F.bit_or("bit").alias("bits"), *[F.expr(count).alias(name) for name, count in counts.items()])
 
 
@@ -197,21 +200,25 @@ def distinct_categories_per_window(events: DataFrame, window_duration: str = WIN
             F.sum(F.bit_count("bits")).alias("n_categories"))
     if events.isStreaming and mode == "append":
         windowed = with_window(events, window_duration, slide_duration, watermark_delay)
-        pairs = windowed.groupBy("ip", "window", "category_id").agg(F.count(F.lit(1)).alias("n_events"))
-    else:
-        pairs = category_window_pairs(events, window_duration, slide_duration, watermark_delay, salts, salt_by)
+        return _by_words(windowed, {}).groupBy("ip", "window").agg(F.sum(F.bit_count("bits")).alias("n_categories"))
+    pairs = category_window_pairs(events, window_duration, slide_duration, watermark_delay, salts, salt_by)
     return pairs.groupBy("ip", "window").agg(F.count(F.lit(1)).alias("n_categories"))
 
 
 def activity_per_window(events: DataFrame, window_duration: str = WINDOW, slide_duration: str | None = None,
                         watermark_delay: str | None = None) -> DataFrame:
-    """(ip, window, n_events, clicks, views, n_categories) from one scan; on streams, append mode only."""
+    """(ip, window, n_events, clicks, views, n_categories) from one scan; on streams, append mode only.
+
+    A stream keeps a row of state for each 64 categories of an ip and window (`category_bits`), not for each category.
+    """
+    counts = {**EVENT_COUNT, **ACTION_COUNTS}
     if by_panes(events, window_duration, slide_duration, "append"):
-        words = category_words(events, window_duration, slide_duration, watermark_delay, {**EVENT_COUNT, **ACTION_COUNTS})
-        return words.groupBy("ip", "window").agg(
-            *[F.sum(name).alias(name) for name in (*EVENT_COUNT, *ACTION_COUNTS)],
-            F.sum(F.bit_count("bits")).alias("n_categories"))
-    pairs = category_pair_counts(events, window_duration, slide_duration, watermark_delay)
-    return pairs.groupBy("ip", "window").agg(
-        F.sum("n_events").alias("n_events"), F.sum("clicks").alias("clicks"), F.sum("views").alias("views"),
-        F.count(F.lit(1)).alias("n_categories"))
+        words = category_words(events, window_duration, slide_duration, watermark_delay, counts)
+    elif events.isStreaming:
+        words = _by_words(with_window(events, window_duration, slide_duration, watermark_delay), counts)
+    else:
+        pairs = category_pair_counts(events, window_duration, slide_duration, watermark_delay)
+        return pairs.groupBy("ip", "window").agg(
+            *[F.sum(name).alias(name) for name in counts], F.count(F.lit(1)).alias("n_categories"))
+    return words.groupBy("ip", "window").agg(
+        *[F.sum(name).alias(name) for name in counts], F.sum(F.bit_count("bits")).alias("n_categories"))

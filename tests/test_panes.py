@@ -250,6 +250,29 @@ def test_windows_are_told_once_the_watermark_has_passed_them(spark, tmp_path):
     assert counts == [[], [2, 4, 6, 8, 10], [2, 4, 6, 8, 10, 12], [2, 4, 6, 8, 10, 12, 14, 16, 18, 20]]
 
 
+@pytest.mark.parametrize("name", ["all", "spread"])
+def test_append_stream_keeps_words_of_categories(spark, tmp_path, name):
+    """In tumbling windows too: 100 numbers are two rows of state, not 100, and names, null and odd numbers count as before."""
+    odd = ["007", "x", "", None, "9" * 30, "-1"]
+    rows = [(ip, category, kind, START + timedelta(seconds=60 * place)) for ip in "ab" for place in range(2)
+            for kind in ("click", "view") for category in [*map(str, range(100)), *odd]]
+    closing = [("z", "1", "view", START + timedelta(days=1))]
+    detect = {
+        "all": lambda events, **more: detect_all(events, 100, 1, 5, "20 minutes", **more),
+        "spread": lambda events, **more: detect_category_spread(events, 5, "20 minutes", **more),
+    }[name]
+    add_batch(tmp_path / "spool", 0, lines_of(rows))
+    add_batch(tmp_path / "spool", 1, lines_of(closing))
+    result = detect(stream_of(spark, tmp_path / "spool"), watermark_delay="1 minute")
+    query = run_stream(result, parquet_sink(str(tmp_path / "table")), str(tmp_path / "checkpoint"), trigger=AVAILABLE_NOW)
+    found = read_appended(spark, str(tmp_path / "table"), result.schema)
+    wanted = detect(frame(spark, rows).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    assert sorted(map(str, found.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    assert [row["n_categories"] for row in found.collect()] == [106, 106]
+    # Each ip: two words and six names, and a row for the window; then z.
+    assert sum(state["numRowsUpdated"] for progress in query.recentProgress for state in progress["stateOperators"]) <= 2 * 9 + 1
+
+
 def test_each_ip_once_until_it_is_let_go(spark, tmp_path):
     minute = int((START - EPOCH).total_seconds())
     parts = [["a", "b", "a"], ["a", "c"], ["b", "d"], ["e"], ["f"], ["a"]]
